@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The leaderboards are one-shot reads of four tables; the reference has no
+stream, watermark, stateful step or UDF, so nothing streaming is built.
+A caller that wants periodic refresh reruns a leaderboard on a schedule.
+"""
