@@ -19,16 +19,12 @@ def first_acquisition(ctransfers: DataFrame) -> DataFrame:
     )
 
 
-def _calendar_bounds(ctransfers: DataFrame, snapshot: Column, max_days: int) -> tuple[Column, Column]:
-    """(first day, last day) of the calendar as scalar columns.
-
-    The first day is the day of the earliest transfer (a scalar subquery: a
-    global min, combined map-side); the last day is the snapshot's day, or
-    ``max_days - 1`` days after the first day if that is earlier.
-    """
+def _calendar_end(ctransfers: DataFrame, snapshot: Column, max_days: int) -> Column:
+    """Last calendar day: the snapshot's day, or ``max_days - 1`` days after the
+    first transfer's day if that is earlier. The first day is a scalar
+    subquery (a global min, combined map-side) referenced exactly once."""
     start = ctransfers.agg(F.min("day").cast("date").alias("start")).scalar()
-    end = F.least(trunc_ntz("day", snapshot).cast("date"), F.date_add(start, max_days - 1))
-    return start, end
+    return F.least(trunc_ntz("day", snapshot).cast("date"), F.date_add(start, max_days - 1))
 
 
 def calendar(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALENDAR_DAYS) -> DataFrame:
@@ -66,15 +62,16 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     the calendar-times-wallets form of the reference query, without its
     days x wallets rows.
     """
-    start, end = _calendar_bounds(ctransfers, snapshot, max_days)
+    after_end = F.date_add(_calendar_end(ctransfers, snapshot, max_days), 1)
     changes = daily_change(ctransfers).join(first_acquisition(ctransfers), "wallet", "inner")
     per_wallet = Window.partitionBy("wallet").orderBy("time")
     balance = F.sum("daily_change").over(per_wallet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after_end = F.date_add(end, 1)
-    next_change = F.coalesce(F.lead(F.col("time").cast("date")).over(per_wallet), after_end)
     day = F.col("time").cast("date")
-    span = F.datediff(F.least(next_change, after_end), F.greatest(day, start))
-    counted = F.when((balance > 0) & (span > 0), span).otherwise(0)
+    # Days this change stands for: up to the next change, cut at the calendar
+    # end (least() skips the null lead of a wallet's last change). No change
+    # lies before the calendar's first day, which is the earliest of them all.
+    span = F.datediff(F.least(F.lead(day).over(per_wallet), after_end), day)
+    counted = F.when(balance > 0, F.greatest(span, F.lit(0))).otherwise(0)
     return (
         changes.select("wallet", "time_first_acquisition", counted.alias("_days"))
         .groupBy("wallet")

@@ -71,9 +71,10 @@ def current_owner(ctransfers: DataFrame) -> DataFrame:
     (wallet, nft_contract_address, token_id, num_held=1). An aggregate with
     ``max_by`` rather than a rank window: it is combined map-side, so a token
     with a huge history costs one partial row per task, not one task.
-    Ties on (block, event) are broken by sender, then receiver.
+    (block, event) identifies an ERC-721 transfer; should it ever repeat, the
+    greater receiver wins, so the result is still repeatable.
     """
-    latest = F.struct("block_number", "event_index", "from_address", "to_address")
+    latest = F.struct("block_number", "event_index", "to_address")
     return (
         ctransfers.filter(~F.col("is_erc1155"))
         .groupBy(*TOKEN_KEYS)

@@ -13,15 +13,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every job built on this library relies on. AQE re-plans joins from
-# the measured size of each shuffle (runtime broadcast only below the
-# threshold), splits skewed partitions and coalesces small ones.
+# the measured size of each finished shuffle (a runtime broadcast only below
+# its threshold, so the size is known, not estimated), splits skewed
+# partitions and coalesces small ones. The static threshold stays at Spark's
+# default: file-size estimates are only a guess at in-memory size.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
 

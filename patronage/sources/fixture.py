@@ -10,6 +10,8 @@ ERC-721 transfer (computed with the chunked window of
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,13 +143,44 @@ def names_from_customers(customer: DataFrame) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str, chunk_events: int = DEFAULT_CHUNK_EVENTS) -> Tables:
-    """The four tables derived from ``{sf_dir}/events.parquet`` and ``customer.parquet``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return Tables(
-        transfers=conform(transfers_from_events(events, chunk_events), "transfers"),
-        sales=conform(sales_from_events(events), "sales"),
-        token_prices=conform(token_prices_from_events(events), "token_prices"),
-        names=conform(names_from_customers(customer), "names"),
-    )
+class FixtureTables:
+    """The four tables derived from ``{sf_dir}/events.parquet`` and
+    ``{sf_dir}/customer.parquet``; each is defined on first use (a logical
+    plan only: nothing is read until a query runs)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, chunk_events: int = DEFAULT_CHUNK_EVENTS):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self.chunk_events = chunk_events
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
+
+    @cached_property
+    def transfers(self) -> DataFrame:
+        return conform(transfers_from_events(self.events, self.chunk_events), "transfers")
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        return conform(sales_from_events(self.events), "sales")
+
+    @cached_property
+    def token_prices(self) -> DataFrame:
+        return conform(token_prices_from_events(self.events), "token_prices")
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return conform(names_from_customers(self.customer), "names")
+
+    def as_tables(self) -> Tables:
+        return Tables(self.transfers, self.sales, self.token_prices, self.names)
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, chunk_events: int = DEFAULT_CHUNK_EVENTS) -> FixtureTables:
+    """The four NFT tables derived from the driver tables in ``sf_dir``."""
+    return FixtureTables(spark, sf_dir, chunk_events)
