@@ -13,20 +13,15 @@ def names_in_use(names: DataFrame) -> DataFrame:
     return names.filter(F.col("ens_set") == "Y").select("owner", "ens_name")
 
 
-def with_display_name(
-    df: DataFrame, names: DataFrame, wallet_col: str = "wallet", bounded_rows: int | None = None
-) -> DataFrame:
+def with_display_name(df: DataFrame, names: DataFrame, wallet_col: str = "wallet") -> DataFrame:
     """Add ``ens_or_wallet`` ('<name>.eth' for a wallet with a name in use, else the wallet).
 
-    ``bounded_rows``: the caller guarantees ``df`` has at most this many rows
-    (a top-k result). The names table is then first cut down with a semi-join
-    against a broadcast of those wallets, so the (large) names table is
-    streamed once and never shuffled.
+    A plain left join on the wallet. Applied to a top-k page, the left side is
+    k rows; Spark chooses the join from the size of the names side (broadcast
+    when it is small, else one shuffle of the filtered, two-column names
+    table), and the page itself is computed once.
     """
     in_use = names_in_use(names)
-    if bounded_rows is not None:
-        wanted = F.broadcast(df.select(F.col(wallet_col).alias("owner")))
-        in_use = in_use.join(wanted, "owner", "left_semi")
     joined = df.join(in_use, df[wallet_col] == in_use["owner"], "left")
     return joined.withColumn("ens_or_wallet", display_name(F.col("ens_name"), df[wallet_col])).drop(
         "owner", "ens_name"

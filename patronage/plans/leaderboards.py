@@ -5,7 +5,8 @@ Shape of every plan: filters on contract and snapshot reach the scans; the big
 tables are reduced to one row per wallet by partial + final aggregation;
 the top ``page_size`` rows are taken with a single ordered limit
 (TakeOrderedAndProject); only then are those few wallets looked up in the
-names table. Ties are broken by wallet so the page is repeatable.
+names table (so a duplicate name can never push a wallet off the page).
+Ties are broken by wallet so the page is repeatable.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def _named_page(top: DataFrame, names: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
-    named = with_display_name(top, names, "wallet", bounded_rows=n)
+    named = with_display_name(top, names, "wallet")
     return named.select("rank", "ens_or_wallet", *columns).orderBy("rank")
 
 

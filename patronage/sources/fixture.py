@@ -70,30 +70,42 @@ def test_contracts() -> list[str]:
 
 
 def transfers_from_events(events: DataFrame, chunk_events: int = DEFAULT_CHUNK_EVENTS) -> DataFrame:
-    ev = events.select(
+    """ERC-721 rows (sender = previous receiver of the token) united with
+    ERC-1155 rows (sender = the zero address).
+
+    The two kinds are separate branches of a union whose ``erc1155_value`` is
+    a literal null in the ERC-721 branch, so Catalyst drops the whole branch
+    (and its window) for queries that keep ERC-1155 rows only.
+    """
+    is1155 = F.col("event_id") % ERC1155_EVERY == 0
+    common = [
         contract_of(F.col("event_type")).alias("nft_address"),
         F.regexp_replace(F.col("props"), "[^0-9]", "").alias("tokenid"),
         F.col("ts").alias("block_timestamp"),
         wallet_of(F.col("user_id")).alias("nft_to_address"),
-        F.when(F.col("event_id") % ERC1155_EVERY == 0, F.col("event_id") % ERC1155_MOD + 1)
-        .cast("long")
-        .alias("erc1155_value"),
         F.col("event_id").alias("block_number"),
         F.lit(0).alias("event_index"),
-        (F.col("event_id") % ERC1155_EVERY == 0).alias("_is1155"),
-        F.expr(f"event_id div {int(chunk_events)}").alias("_chunk"),
-    )
-    with_prev = previous_in_group(
-        ev,
-        keys=["nft_address", "tokenid", "_is1155"],
+    ]
+    erc721 = events.filter(~is1155).select(*common, F.expr(f"event_id div {int(chunk_events)}").alias("_chunk"))
+    erc721 = previous_in_group(
+        erc721,
+        keys=["nft_address", "tokenid"],
         chunk="_chunk",
         order=["block_number"],
         value="nft_to_address",
         out="_prev",
+    ).select(
+        *[c for c in erc721.columns if c != "_chunk"],
+        # null literal above the window: a filter on it folds here
+        F.lit(None).cast("long").alias("erc1155_value"),
+        F.coalesce(F.col("_prev"), wallet_of(F.lit(0))).alias("nft_from_address"),
+    )
+    erc1155 = events.filter(is1155).select(
+        *common,
+        (F.col("event_id") % ERC1155_MOD + 1).cast("long").alias("erc1155_value"),
+        wallet_of(F.lit(0)).alias("nft_from_address"),
     )
-    zero = wallet_of(F.lit(0))
-    sender = F.when(F.col("_is1155"), zero).otherwise(F.coalesce(F.col("_prev"), zero))
-    return with_prev.withColumn("nft_from_address", sender).drop("_prev", "_is1155", "_chunk")
+    return erc721.unionByName(erc1155)
 
 
 def sales_from_events(events: DataFrame) -> DataFrame:
