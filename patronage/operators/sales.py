@@ -67,7 +67,7 @@ def sale_eth_values(
             "creator_fee_eth",
             eth_value(F.col("creator_fee"), F.col("currency_symbol"), F.col("token_price"), F.col("weth_price")),
         )
-        .withColumn("priced", F.col("token_price").isNotNull() & F.col("weth_price").isNotNull())
+        .withColumn("priced", F.try_divide(F.col("token_price"), F.col("weth_price")).isNotNull())
         .drop("hour", "token_price", "weth_price")
     )
     return in_eth.unionByName(converted).withColumnRenamed("seller_address", "wallet")
@@ -101,7 +101,8 @@ def unpriced_sales(
     sales: DataFrame, token_prices: DataFrame, contracts: Contracts, snapshot: Column
 ) -> DataFrame:
     """Per currency symbol: sales in scope, and those whose ETH value is unknown
-    because a token or WETH price is missing (they drop out of ETH sums)."""
+    because a token or WETH price is missing or the WETH price is 0 (they drop
+    out of ETH sums)."""
     rows = sale_eth_values(sales, token_prices, contracts, snapshot)
     return rows.groupBy("currency_symbol").agg(
         F.count(F.lit(1)).alias("num_sales"),

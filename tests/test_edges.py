@@ -1,0 +1,358 @@
+"""Edge rows: each case of the semantics table, on small in-memory tables."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import contract, ts, wallet
+from patronage import operators as ops
+from patronage.functions.addresses import parse_contract_list, parse_contracts
+from patronage.functions.timefuncs import resolve_snapshot
+from patronage.operators.checks import DuplicateKeyError, check_inputs
+from patronage.plans.leaderboards import fee_leaderboard, holder_leaderboard, holding_period_leaderboard
+from patronage.plans.params import Params
+
+C1, C2 = contract("a"), contract("b")
+ZERO = wallet(0)
+DEAD = "0x000000000000000000000000000000000000dead"
+SNAP = "2024-01-25 00:00:00"
+NOW = "2024-02-01 10:30:00"
+
+
+def one(df):
+    rows = df.collect()
+    assert len(rows) == 1, rows
+    return rows[0][0]
+
+
+# ---------------------------------------------------------------- addresses
+
+MESSY = (
+    f" {C1.upper()} ;;0x{'1' * 41};{'2' * 42};{C2}\n;  {C1}  ;0x{'3' * 40}"
+)
+
+
+def test_parse_contract_list_python():
+    assert parse_contract_list(MESSY) == [C1, "0x" + "3" * 40]
+
+
+def test_parse_contracts_spark_same_rule(spark):
+    got = [r[0] for r in parse_contracts(spark, MESSY).collect()]
+    assert sorted(got) == sorted(parse_contract_list(MESSY))
+
+
+def test_parse_list_input():
+    assert parse_contract_list([C1, C1.upper(), "nope"]) == [C1]
+
+
+# ---------------------------------------------------------------- snapshot
+
+
+@pytest.mark.parametrize(
+    "snapshot,expected",
+    [
+        ("2032-01-01 12:00", "2024-02-01 00:00:00"),  # future: start of today
+        ("2024-01-20 17:45", "2024-01-20 00:00:00"),  # past: start of that day
+        ("2024-02-01 10:30", "2024-02-01 00:00:00"),  # this very minute: that day
+    ],
+)
+def test_resolve_snapshot(spark, snapshot, expected):
+    got = one(spark.range(1).select(resolve_snapshot(snapshot, NOW)))
+    assert got == ts(expected)
+
+
+def test_snapshot_is_constant_folded(spark):
+    plan = spark.range(1).select(resolve_snapshot(SNAP, NOW).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_timestamp_ntz" not in plan and "date_trunc" not in plan
+
+
+def _transfer(c, token, when, frm, to, block, value=None, event=0):
+    return (c, str(token), ts(when), frm, to, value, block, event)
+
+
+@pytest.mark.parametrize(
+    "newest,expected",
+    [
+        ("2024-01-31 23:00:00", "2024-01-31 00:00:00"),  # newest before snapshot: one day back
+        ("2024-02-01 00:00:00", "2024-02-01 00:00:00"),  # at snapshot: kept
+        ("2024-02-01 09:00:00", "2024-02-01 00:00:00"),  # after: kept
+        ("2024-01-30 09:00:00", "2024-02-01 00:00:00"),  # none in 24 h: kept
+    ],
+)
+def test_check_snapshot(make_tables, newest, expected):
+    t = make_tables(transfers=[_transfer(C1, 1, newest, ZERO, wallet(5), 1)])
+    snap = resolve_snapshot("2032-01-01 12:00", NOW)
+    assert one(ops.check_snapshot(t.transfers, snap, NOW)) == ts(expected)
+
+
+# ---------------------------------------------------------------- ownership
+
+
+def _params(**kw):
+    base = dict(addresses=f"{C1};{C2}", snapshot_time=SNAP, now=NOW)
+    base.update(kw)
+    return Params(**base)
+
+
+def test_snapshot_midnight_inclusive(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-25 00:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 2, "2024-01-25 00:00:00.000001", ZERO, wallet(6), 2),
+        ]
+    )
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    assert [r["token_id"] for r in ct.collect()] == ["1"]
+
+
+MINT_SELL_BUY = [
+    _transfer(C1, 7, "2024-01-01 10:00:00", ZERO, wallet(5), 1),
+    _transfer(C1, 7, "2024-01-03 10:00:00", wallet(5), wallet(6), 2),
+    _transfer(C1, 7, "2024-01-06 10:00:00", wallet(6), wallet(5), 3),
+]
+
+
+def test_mint_sell_buy_back_owner_and_gap(make_tables):
+    t = make_tables(transfers=MINT_SELL_BUY)
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    owners = ops.current_owner(ct).collect()
+    assert [(r["wallet"], r["token_id"]) for r in owners] == [(wallet(5), "7")]
+    held = {r["wallet"]: r["days_held"] for r in ops.days_held(ct, p.snapshot()).collect()}
+    # wallet 5: Jan 1, 2 (then sold on the 3rd), again Jan 6 .. Jan 25 = 2 + 20
+    assert held == {wallet(5): 22, wallet(6): 3}
+
+
+def test_in_and_out_same_day_not_counted(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 1, "2024-01-10 02:00:00", wallet(5), wallet(6), 2),
+        ]
+    )
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    held = {r["wallet"]: r["days_held"] for r in ops.days_held(ct, p.snapshot()).collect()}
+    assert wallet(5) not in held
+    assert held[wallet(6)] == 16  # Jan 10 .. Jan 25
+
+
+def test_burn_is_not_a_holder(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 1, "2024-01-11 01:00:00", wallet(5), DEAD, 2),
+            _transfer(C1, 2, "2024-01-11 01:00:00", ZERO, wallet(7), 3),
+        ]
+    )
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    holders = {r["wallet"] for r in ops.current_holders(ops.current_owner(ct)).collect()}
+    assert holders == {wallet(7)}
+
+
+def test_erc1155_balances(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 9, "2024-01-10 01:00:00", ZERO, wallet(5), 1, value=5),
+            _transfer(C1, 9, "2024-01-11 01:00:00", wallet(5), wallet(6), 2, value=2),
+            _transfer(C2, 4, "2024-01-10 01:00:00", ZERO, wallet(8), 3, value=1),
+            _transfer(C2, 4, "2024-01-12 01:00:00", wallet(8), ZERO, 4, value=1),
+        ]
+    )
+    p = _params()
+    ct_all = ops.contract_transfers(t.transfers, p.addresses, p.snapshot(), include_erc1155=True)
+    bal = {(r["wallet"], r["token_id"]): r["num_held"] for r in ops.token_balances(ct_all).collect()}
+    assert bal == {(wallet(5), "9"): 3, (wallet(6), "9"): 2}
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    assert ct.count() == 0
+    assert ops.current_owner(ct).count() == 0
+    both = ops.all_holdings(ct_all).collect()
+    assert {r["num_held"] for r in both} == {3, 2}
+
+
+# ---------------------------------------------------------------- sales
+
+
+def _sale(seller, c, when, tx, sym, addr, price, usd, fee, fee_usd):
+    return (seller, c, ts(when), str(tx), sym, addr, price, usd, fee, fee_usd)
+
+
+def test_seller_with_null_fees_only(make_tables):
+    t = make_tables(sales=[_sale(wallet(5), C1, "2024-01-10 01:00:00", 1, "ETH", "ETH", 1.0, 2.0, None, None)])
+    row = fee_leaderboard(t, _params()).collect()[0]
+    assert row["creator_fee_usd"] == 0.0
+    assert row["creator_fee_eth"] is None
+    assert row["creator_fee_perc"] == 0.0
+
+
+HOUR = "2024-01-10 01:00:00"
+APE = contract("d")
+WETH = contract("a")
+
+
+@pytest.mark.parametrize(
+    "prices,expected",
+    [
+        ([(ts(HOUR), APE, "APE", 2.0), (ts(HOUR), WETH, "WETH", 4.0)], 0.5),  # 1 * 2 / 4
+        ([(ts(HOUR), WETH, "WETH", 4.0)], None),  # token price missing
+        ([(ts(HOUR), APE, "APE", 2.0)], None),  # WETH price missing
+        ([(ts(HOUR), APE, "APE", 2.0), (ts(HOUR), WETH, "WETH", 0.0)], None),  # WETH price 0
+    ],
+)
+def test_priced_in_other_token(make_tables, prices, expected):
+    t = make_tables(
+        sales=[_sale(wallet(5), C1, "2024-01-10 01:30:00", 1, "APE", APE, 1.0, 2.0, 1.0, 0.2)],
+        prices=prices,
+    )
+    p = _params()
+    row = ops.sale_eth_values(t.sales, t.token_prices, p.addresses, p.snapshot()).collect()[0]
+    assert row["creator_fee_eth"] == expected
+    unpriced = ops.unpriced_sales(t.sales, t.token_prices, p.addresses, p.snapshot()).collect()[0]
+    assert unpriced["num_unpriced"] == (0 if expected is not None else 1)
+
+
+def test_null_symbol_falls_to_conversion(make_tables):
+    t = make_tables(sales=[_sale(wallet(5), C1, HOUR, 1, None, None, 1.0, 2.0, 1.0, 0.2)])
+    p = _params()
+    row = ops.sale_eth_values(t.sales, t.token_prices, p.addresses, p.snapshot()).collect()[0]
+    assert row["price_eth"] is None
+
+
+def test_sales_filters(make_tables):
+    t = make_tables(
+        sales=[
+            _sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 0.0, 0.1, 0.1),  # no USD price
+            _sale(wallet(5), C1, HOUR, 2, "ETH", "ETH", 1.0, 2.0, 0.1, -1.0),  # negative fee
+            _sale(wallet(5), contract("c"), HOUR, 3, "ETH", "ETH", 1.0, 2.0, 0.1, 0.1),  # other contract
+            _sale(wallet(5), C1, "2024-01-26 00:00:00", 4, "ETH", "ETH", 1.0, 2.0, 0.1, 0.1),  # after snapshot
+            _sale(wallet(5), C1, HOUR, 5, "WETH", WETH, 3.0, 6.0, None, None),  # kept, fee null
+        ]
+    )
+    p = _params()
+    rows = ops.sales_by_seller(t.sales, t.token_prices, p.addresses, p.snapshot(), exact_txns=True).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r["vol_eth"], r["vol_usd"], r["creator_fee_usd"], r["num_txns"]) == (3.0, 6.0, None, 1)
+
+
+def test_duplicate_price_key_fails(make_tables):
+    t = make_tables(prices=[(ts(HOUR), APE, "APE", 2.0), (ts(HOUR), APE, "APE", 3.0)])
+    with pytest.raises(DuplicateKeyError):
+        check_inputs(t)
+
+
+def test_two_weth_tokens_fail(make_tables):
+    t = make_tables(prices=[(ts(HOUR), WETH, "WETH", 2.0), (ts(HOUR), contract("f"), "WETH", 3.0)])
+    with pytest.raises(DuplicateKeyError):
+        check_inputs(t)
+
+
+def test_two_names_fail(make_tables):
+    t = make_tables(names=[(wallet(5), "alice", "Y"), (wallet(5), "bob", "Y"), (wallet(6), "carol", "N")])
+    with pytest.raises(DuplicateKeyError):
+        check_inputs(t)
+
+
+def test_names_resolution(make_tables):
+    t = make_tables(
+        sales=[
+            _sale(wallet(w), C1, HOUR, w, "ETH", "ETH", 1.0, 2.0, 0.1, 0.1 * w)
+            for w in (5, 6, 7)
+        ],
+        names=[(wallet(5), "alice", "Y"), (wallet(6), "bob", "N"), (wallet(7), None, "Y")],
+    )
+    got = [r["ens_or_wallet"] for r in fee_leaderboard(t, _params()).collect()]
+    assert got == [wallet(7), wallet(6), "alice.eth"]
+
+
+# ---------------------------------------------------------------- leaderboards
+
+
+def test_holder_without_sales_sorts_first(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 2, "2024-01-10 01:00:00", ZERO, wallet(6), 2),
+        ],
+        sales=[_sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 2.0, 0.1, 0.2)],
+    )
+    rows = holder_leaderboard(t, _params()).collect()
+    assert [r["ens_or_wallet"] for r in rows] == [wallet(6), wallet(5)]
+    assert rows[0]["creator_fee_usd"] is None and rows[0]["creator_fee_perc"] is None
+    assert rows[1]["creator_fee_perc"] == pytest.approx(0.1)
+
+
+def test_ties_at_page_end_lower_wallet_first(make_tables):
+    sales = [_sale(wallet(w), C1, HOUR, w, "ETH", "ETH", 1.0, 2.0, 0.1, 0.5) for w in range(20, 5, -1)]
+    t = make_tables(sales=sales)
+    rows = fee_leaderboard(t, _params(page_size=10)).collect()
+    assert [r["ens_or_wallet"] for r in rows] == [wallet(w) for w in range(6, 16)]
+    assert [r["rank"] for r in rows] == list(range(1, 11))
+
+
+def test_no_valid_address_gives_empty_results(make_tables):
+    t = make_tables(
+        transfers=[_transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1)],
+        sales=[_sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 2.0, 0.1, 0.2)],
+    )
+    p = _params(addresses="not-an-address; 0x12")
+    for fn, cols in [
+        (fee_leaderboard, 5),
+        (holder_leaderboard, 7),
+        (holding_period_leaderboard, 8),
+    ]:
+        df = fn(t, p)
+        assert df.count() == 0
+        assert len(df.columns) == cols
+
+
+def test_catalog_selection_as_contracts(spark, make_tables):
+    from patronage.sources.catalog import catalog, select_collections
+
+    memeland = select_collections(catalog(spark), brands=["Memeland"]).select("address")
+    mvp = "0x6efc003d3f3658383f06185503340c2cf27a57b6"
+    t = make_tables(
+        transfers=[
+            _transfer(mvp, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(6), 2),
+        ]
+    )
+    rows = holder_leaderboard(t, _params(addresses=memeland)).collect()
+    assert [r["ens_or_wallet"] for r in rows] == [wallet(5)]
+
+
+def test_manual_collections(spark):
+    from patronage.sources.catalog import manual_collections
+
+    rows = manual_collections(spark, f"{C1};{C2}").collect()
+    assert [(r.brand, r.collection, r.address) for r in rows] == [(C1, C1, C1), (C2, C2, C2)]
+
+
+# ---------------------------------------------------------------- calendar
+
+
+def test_calendar_stops_at_cap(make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "1994-01-01 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 2, "2024-01-01 01:00:00", ZERO, wallet(6), 2),
+        ]
+    )
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    cal = ops.calendar(ct, p.snapshot())
+    assert cal.count() == 10_000
+    assert one(cal.agg(F.max("time"))) == dt.datetime(1994, 1, 1) + dt.timedelta(days=9999)
+    held = {r["wallet"]: r["days_held"] for r in ops.days_held(ct, p.snapshot()).collect()}
+    # wallet 6 received after the calendar's last day: never counted
+    assert held == {wallet(5): 10_000}
+
+
+def test_calendar_length(make_tables):
+    t = make_tables(transfers=MINT_SELL_BUY)
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    assert ops.calendar(ct, p.snapshot()).count() == 25  # Jan 1 .. Jan 25
