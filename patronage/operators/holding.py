@@ -57,14 +57,39 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     ``days_held`` counts calendar days whose end-of-day running balance is
     above 0. Computed sparsely: only the days a wallet's balance changes are
     materialised; each change day stands for the days up to the next change
-    (or to the calendar end). The window is per wallet over its change days,
-    so its size is bounded by the calendar length, not by the data. Equal to
-    the calendar-times-wallets form of the reference query, without its
-    days x wallets rows.
+    (or to the calendar end). Equal to the calendar-times-wallets form of the
+    reference query, without its days x wallets rows.
+
+    One aggregate per (day, wallet) carries both the net change and the
+    earliest receipt of that day; one window per wallet (bounded by the
+    number of calendar days, not by the data) gives the running balance, the
+    next change day and the wallet's first receipt, so no second aggregate and
+    no join are needed. Wallets that never received are left out.
     """
     after_end = F.date_add(_calendar_end(ctransfers, snapshot, max_days), 1)
-    changes = daily_change(ctransfers).join(first_acquisition(ctransfers), "wallet", "inner")
+    moves = F.explode(
+        F.array(
+            F.struct(
+                F.col("to_address").alias("wallet"),
+                F.col("amount").alias("delta"),
+                F.col("block_time").alias("received"),
+            ),
+            F.struct(
+                F.col("from_address").alias("wallet"),
+                (-F.col("amount")).alias("delta"),
+                F.lit(None).cast("timestamp_ntz").alias("received"),
+            ),
+        )
+    ).alias("m")
+    per_day = (
+        ctransfers.select("day", moves)
+        .select("day", "m.wallet", "m.delta", "m.received")
+        .filter(F.col("wallet").isNotNull())
+        .groupBy(F.col("day").alias("time"), "wallet")
+        .agg(F.sum("delta").alias("daily_change"), F.min("received").alias("first_received"))
+    )
     per_wallet = Window.partitionBy("wallet").orderBy("time")
+    whole_wallet = Window.partitionBy("wallet")
     balance = F.sum("daily_change").over(per_wallet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     day = F.col("time").cast("date")
     # Days this change stands for: up to the next change, cut at the calendar
@@ -73,7 +98,12 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     span = F.datediff(F.least(F.lead(day).over(per_wallet), after_end), day)
     counted = F.when(balance > 0, F.greatest(span, F.lit(0))).otherwise(0)
     return (
-        changes.select("wallet", "time_first_acquisition", counted.alias("_days"))
+        per_day.select(
+            "wallet",
+            F.min("first_received").over(whole_wallet).alias("time_first_acquisition"),
+            counted.alias("_days"),
+        )
+        .filter(F.col("time_first_acquisition").isNotNull())
         .groupBy("wallet")
         .agg(
             F.sum("_days").cast("long").alias("days_held"),
