@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from patronage.functions.naming import display_name
 
 
-def names_in_use(names: DataFrame) -> DataFrame:
-    """(owner, ens_name) of names marked in use."""
-    return names.filter(F.col("ens_set") == "Y").select("owner", "ens_name")
-
-
-def with_display_name(df: DataFrame, names: DataFrame, wallet_col: str = "wallet") -> DataFrame:
+def names_in_use(names: DataFrame, smallest_only: bool = False) -> DataFrame:
+    """(owner, ens_name) of names marked in use; with ``smallest_only`` one row
+    per owner (its smallest name), combined map-side."""
+    in_use = names.filter(F.col("ens_set") == "Y").select("owner", "ens_name")
+    if smallest_only:
+        in_use = in_use.groupBy("owner").agg(F.min("ens_name").alias("ens_name"))
+    return in_use
+
+
+def with_display_name(
+    df: DataFrame, names: DataFrame, wallet_col: str = "wallet", smallest_name: bool = False
+) -> DataFrame:
     """Add ``ens_or_wallet`` ('<name>.eth' for a wallet with a name in use, else the wallet).
 
     A plain left join on the wallet. Applied to a top-k page, the left side is
@@ -21,7 +27,7 @@ def with_display_name(df: DataFrame, names: DataFrame, wallet_col: str = "wallet
     when it is small, else one shuffle of the filtered, two-column names
     table), and the page itself is computed once.
     """
-    in_use = names_in_use(names)
+    in_use = names_in_use(names, smallest_only=smallest_name)
     joined = df.join(in_use, df[wallet_col] == in_use["owner"], "left")
     return joined.withColumn("ens_or_wallet", display_name(F.col("ens_name"), df[wallet_col])).drop(
         "owner", "ens_name"

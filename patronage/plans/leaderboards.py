@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.pricing import div0null
+from patronage.operators.checks import check_inputs
 from patronage.operators.holding import days_held
 from patronage.operators.names import with_display_name
 from patronage.operators.ownership import contract_transfers, current_holders, current_owner
@@ -31,17 +32,24 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def _named_page(top: DataFrame, names: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
-    named = with_display_name(top, names, "wallet")
+def _named_page(top: DataFrame, tables: Tables, params: Params, columns: Sequence[str]) -> DataFrame:
+    named = with_display_name(top, tables.names, "wallet", smallest_name=params.smallest_name)
     return named.select("rank", "ens_or_wallet", *columns).orderBy("rank")
 
 
+def _checked(tables: Tables, params: Params) -> Tables:
+    if params.validate:
+        check_inputs(tables)
+    return tables
+
+
 def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
     """Who paid the most creator fees on the chosen contracts.
 
     Columns: rank, ens_or_wallet, creator_fee_usd (null as 0), creator_fee_eth,
     creator_fee_perc (fee / volume in USD, 0 when unknown). Ordered by fee USD.
     """
+    tables = _checked(tables, params)
     snap = params.snapshot()
     sellers = sales_by_seller(tables.sales, tables.token_prices, params.addresses, snap, exact_txns=False)
     scored = sellers.select(
@@ -52,7 +60,7 @@ def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
     )
     order = [F.col("creator_fee_usd").desc(), F.col("wallet").asc()]
     top = top_ranked(scored, order, params.page_size)
-    return _named_page(top, tables.names, params.page_size, ["creator_fee_usd", "creator_fee_eth", "creator_fee_perc"])
+    return _named_page(top, tables, params, ["creator_fee_usd", "creator_fee_eth", "creator_fee_perc"])
 
 
 def holders_with_fees(tables: Tables, params: Params) -> DataFrame:
@@ -82,7 +90,7 @@ def holder_leaderboard(tables: Tables, params: Params) -> DataFrame:
     The reference also left-joins days held here without using a column of
     it (one row per wallet, so no effect on the result); it is not computed.
     """
-    rows = holders_with_fees(tables, params)
+    rows = holders_with_fees(_checked(tables, params), params)
     order = [
         F.col("num_held").desc(),
         F.col("num_collections").desc(),
@@ -90,13 +98,14 @@ def holder_leaderboard(tables: Tables, params: Params) -> DataFrame:
         F.col("wallet").asc(),
     ]
     top = top_ranked(rows, order, params.page_size)
-    return _named_page(top, tables.names, params.page_size, HOLDER_COLUMNS)
+    return _named_page(top, tables, params, HOLDER_COLUMNS)
 
 
 def holding_period_leaderboard(tables: Tables, params: Params) -> DataFrame:
     """Current holders ranked by days held (the leaderboard's title), then as
     the holder leaderboard. Columns: rank, ens_or_wallet, days_held, then the
     holder columns."""
+    tables = _checked(tables, params)
     snap = params.snapshot()
     ct = contract_transfers(tables.transfers, params.addresses, snap)
     held = days_held(ct, snap).select("wallet", "days_held")
@@ -109,4 +118,4 @@ def holding_period_leaderboard(tables: Tables, params: Params) -> DataFrame:
         F.col("wallet").asc(),
     ]
     top = top_ranked(rows, order, params.page_size)
-    return _named_page(top, tables.names, params.page_size, ["days_held", *HOLDER_COLUMNS])
+    return _named_page(top, tables, params, ["days_held", *HOLDER_COLUMNS])

@@ -25,6 +25,10 @@ class Params:
     first column holds addresses (e.g. a catalog selection).
     ``now``: fixed "current time" (default: the session's local time), so that
     results can be repeated.
+    ``validate``: first check that price keys and names in use are unique
+    (raises DuplicateKeyError; three small aggregate jobs).
+    ``smallest_name``: if a wallet has several names in use, show the smallest
+    instead of repeating the wallet's row.
     """
 
     addresses: str | Iterable[str] | DataFrame
@@ -33,6 +37,8 @@ class Params:
     page_size: int = DEFAULT_PAGE_SIZE
     excluded_wallets: tuple[str, ...] = field(default=DEFAULT_EXCLUDED_WALLETS)
     creator_fee_perc: float = DEFAULT_CREATOR_FEE_PERC
+    validate: bool = False
+    smallest_name: bool = False
 
     def snapshot(self) -> Column:
         return resolve_snapshot(self.snapshot_time, self.now)

@@ -356,3 +356,15 @@ def test_calendar_length(make_tables):
     p = _params()
     ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
     assert ops.calendar(ct, p.snapshot()).count() == 25  # Jan 1 .. Jan 25
+
+
+def test_validate_flag_raises_on_duplicate_names(make_tables):
+    t = make_tables(
+        sales=[_sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 2.0, 0.1, 0.2)],
+        names=[(wallet(5), "alice", "Y"), (wallet(5), "bob", "Y")],
+    )
+    assert fee_leaderboard(t, _params()).count() == 2  # as the source query: the row doubles
+    with pytest.raises(DuplicateKeyError):
+        fee_leaderboard(t, _params(validate=True))
+    rows = fee_leaderboard(t, _params(smallest_name=True)).collect()
+    assert [r["ens_or_wallet"] for r in rows] == ["alice.eth"]
