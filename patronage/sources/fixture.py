@@ -102,7 +102,9 @@ def transfers_from_events(events: DataFrame, chunk_events: int = DEFAULT_CHUNK_E
     )
     erc1155 = events.filter(is1155).select(
         *common,
-        (F.col("event_id") % ERC1155_MOD + 1).cast("long").alias("erc1155_value"),
+        # never null on these rows (event_id is set); saying so lets Catalyst
+        # drop this branch for queries that keep ERC-721 rows only
+        F.coalesce(F.col("event_id") % ERC1155_MOD + 1, F.lit(1)).cast("long").alias("erc1155_value"),
         wallet_of(F.lit(0)).alias("nft_from_address"),
     )
     return erc721.unionByName(erc1155)
