@@ -53,9 +53,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a local one only where none is configured (tests)."""
+    """Return the checkpoint folder the session names in ``spark.checkpoint.dir``.
+
+    On a cluster that folder must be shared storage and is required. Only a
+    local-mode session (tests, benchmark) without one gets a fresh local
+    folder of its own.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         current = tempfile.mkdtemp(prefix="patronage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
