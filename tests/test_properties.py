@@ -134,3 +134,32 @@ def test_owner_unique_and_rank_consistent(spark, make_tables, seed):
         F.count(F.lit(1)).alias("n"), F.max("rank_desc").alias("mx"), F.countDistinct("rank_desc").alias("d")
     )
     assert per_token.filter((F.col("n") != F.col("mx")) | (F.col("n") != F.col("d"))).count() == 0
+
+
+def test_address_rule_same_in_python_and_spark(spark):
+    """Random messy address lists: the parameter parser and the Spark
+    expression keep the same addresses."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from patronage.functions.addresses import parse_contract_list, valid_addresses
+
+    hexchars = "0123456789abcdefABCDEF"
+    part = st.one_of(
+        st.text(alphabet=hexchars, min_size=39, max_size=41).map(lambda h: "0x" + h),
+        st.text(alphabet=hexchars, min_size=40, max_size=40).map(lambda h: "0X" + h),
+        st.text(alphabet=hexchars + "xg \n\t", max_size=45),
+    )
+    padded = st.tuples(st.sampled_from(["", " ", "  ", "\n", "\t"]), part, st.sampled_from(["", " ", "\n"])).map(
+        lambda t: "".join(t)
+    )
+    texts = st.lists(padded, max_size=6).map(";".join)
+
+    @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(texts, min_size=1, max_size=8))
+    def check(batch):
+        df = spark.createDataFrame([(t,) for t in batch], "t string")
+        got = [r[0] for r in df.select(valid_addresses(F.col("t"))).collect()]
+        assert [sorted(g) for g in got] == [sorted(parse_contract_list(t)) for t in batch]
+
+    check()
