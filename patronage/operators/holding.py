@@ -62,9 +62,10 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
 
     One aggregate per (day, wallet) carries both the net change and the
     earliest receipt of that day; one window per wallet (bounded by the
-    number of calendar days, not by the data) gives the running balance, the
-    next change day and the wallet's first receipt, so no second aggregate and
-    no join are needed. Wallets that never received are left out.
+    number of calendar days, not by the data) gives the running balance and
+    the next change day; the per-wallet total then also takes the first
+    receipt, so no second aggregate and no join are needed. Wallets that
+    never received are left out.
     """
     after_end = F.date_add(_calendar_end(ctransfers, snapshot, max_days), 1)
     moves = F.explode(
@@ -89,7 +90,6 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
         .agg(F.sum("delta").alias("daily_change"), F.min("received").alias("first_received"))
     )
     per_wallet = Window.partitionBy("wallet").orderBy("time")
-    whole_wallet = Window.partitionBy("wallet")
     balance = F.sum("daily_change").over(per_wallet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     day = F.col("time").cast("date")
     # Days this change stands for: up to the next change, cut at the calendar
@@ -98,16 +98,11 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     span = F.datediff(F.least(F.lead(day).over(per_wallet), after_end), day)
     counted = F.when(balance > 0, F.greatest(span, F.lit(0))).otherwise(0)
     return (
-        per_day.select(
-            "wallet",
-            F.min("first_received").over(whole_wallet).alias("time_first_acquisition"),
-            counted.alias("_days"),
-        )
-        .filter(F.col("time_first_acquisition").isNotNull())
+        per_day.select("wallet", "first_received", counted.alias("_days"))
         .groupBy("wallet")
         .agg(
             F.sum("_days").cast("long").alias("days_held"),
-            F.min("time_first_acquisition").alias("time_first_acquisition"),
+            F.min("first_received").alias("time_first_acquisition"),
         )
-        .filter(F.col("days_held") > 0)
+        .filter(F.col("time_first_acquisition").isNotNull() & (F.col("days_held") > 0))
     )
