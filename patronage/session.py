@@ -27,6 +27,24 @@ RECOMMENDED_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle sizing for a job that reads about ``input_bytes``.
+
+    Starts with enough shuffle partitions that each holds about
+    ``target_partition_bytes`` of the input (so a full shuffle of the big
+    table fits executor memory and spills little), and lets AQE coalesce
+    partitions that turn out small. For 100 TB this gives about 400,000
+    initial partitions, coalesced to what the shuffle actually writes.
+    """
+    partitions = max(200, -(-input_bytes // target_partition_bytes))
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 * 1024 * 1024)),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply RECOMMENDED_CONF to a running session (runtime SQL settings only)."""
     for key, value in RECOMMENDED_CONF.items():
