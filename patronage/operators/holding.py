@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.timefuncs import trunc_ntz
-from patronage.operators.ownership import _signed_moves
+from patronage.operators.ownership import signed_moves
 
 # Fixed value: the calendar has at most this many days.
 MAX_CALENDAR_DAYS = 10_000
@@ -45,7 +45,7 @@ def daily_change(ctransfers: DataFrame) -> DataFrame:
     partial aggregate (so the zero address that sends every mint is combined
     before the shuffle).
     """
-    moves = _signed_moves(ctransfers, "day")
+    moves = signed_moves(ctransfers, "day")
     return moves.groupBy(F.col("day").alias("time"), "wallet").agg(
         F.sum("delta").alias("daily_change")
     )

@@ -83,7 +83,7 @@ def current_owner(ctransfers: DataFrame) -> DataFrame:
     )
 
 
-def _signed_moves(ctransfers: DataFrame, *carry: str) -> DataFrame:
+def signed_moves(ctransfers: DataFrame, *carry: str) -> DataFrame:
     """Two rows per transfer: the receiver gains ``amount``, the sender loses it."""
     moves = F.explode(
         F.array(
@@ -99,7 +99,7 @@ def token_balances(ctransfers: DataFrame) -> DataFrame:
 
     ``ctransfers`` must come from ``contract_transfers(..., include_erc1155=True)``.
     """
-    moves = _signed_moves(ctransfers.filter(F.col("is_erc1155")), *TOKEN_KEYS)
+    moves = signed_moves(ctransfers.filter(F.col("is_erc1155")), *TOKEN_KEYS)
     return (
         moves.groupBy("wallet", *TOKEN_KEYS)
         .agg(F.sum("delta").alias("num_held"))
