@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.addresses import parse_contract_list, valid_addresses
@@ -12,8 +12,9 @@ from patronage.functions.addresses import parse_contract_list, valid_addresses
 Contracts = str | Iterable[str] | DataFrame
 
 
-def in_contracts(df: DataFrame, column: str, contracts: Contracts) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is one of the chosen contracts.
+def in_contracts(df: DataFrame, column: str, contracts: Contracts, also: Column | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is one of the chosen contracts (and that
+    satisfy ``also``, applied in the same filter).
 
     A string or list is parsed on the spot and becomes a literal IN list, which
     the Parquet reader uses to skip row groups. A DataFrame (first column holds
@@ -21,9 +22,11 @@ def in_contracts(df: DataFrame, column: str, contracts: Contracts) -> DataFrame:
     applied as a left-semi join; Spark sizes that join itself.
     """
     if isinstance(contracts, DataFrame):
+        kept = df.filter(also) if also is not None else df
         first = contracts.columns[0]
         wanted = contracts.select(
             F.explode(valid_addresses(F.col(first).cast("string"))).alias(column)
         )
-        return df.join(wanted, column, "left_semi")
-    return df.filter(F.col(column).isin(parse_contract_list(contracts)))
+        return kept.join(wanted, column, "left_semi")
+    cond = F.col(column).isin(parse_contract_list(contracts))
+    return df.filter(cond if also is None else also & cond)

@@ -29,6 +29,7 @@ def with_display_name(
     """
     in_use = names_in_use(names, smallest_only=smallest_name)
     joined = df.join(in_use, df[wallet_col] == in_use["owner"], "left")
-    return joined.withColumn("ens_or_wallet", display_name(F.col("ens_name"), df[wallet_col])).drop(
-        "owner", "ens_name"
+    return joined.select(
+        *[df[c] for c in df.columns],
+        display_name(in_use["ens_name"], df[wallet_col]).alias("ens_or_wallet"),
     )

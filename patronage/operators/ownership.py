@@ -36,10 +36,10 @@ def contract_transfers(
     the token), with ``with_rank_asc`` also ``rank_asc`` (1 = mint).
     ERC-1155 transfers are left out unless ``include_erc1155``.
     """
-    t = transfers.filter(F.col("block_timestamp") <= snapshot)
+    cond = F.col("block_timestamp") <= snapshot
     if not include_erc1155:
-        t = t.filter(F.col("erc1155_value").isNull())
-    t = in_contracts(t, "nft_address", contracts)
+        cond = cond & F.col("erc1155_value").isNull()
+    t = in_contracts(transfers, "nft_address", contracts, also=cond)
     out = t.select(
         F.col("nft_address").alias("nft_contract_address"),
         F.col("tokenid").alias("token_id"),

@@ -13,12 +13,12 @@ from patronage.operators.contracts import Contracts, in_contracts
 def sales_in_scope(sales: DataFrame, contracts: Contracts, snapshot: Column) -> DataFrame:
     """Sales of the chosen contracts up to the snapshot, with a USD price and a
     fee that is not negative (a missing fee counts as 0)."""
-    scoped = sales.filter(
+    cond = (
         (F.col("block_timestamp") <= snapshot)
         & (F.col("price_usd") > 0)
         & (F.coalesce(F.col("creator_fee_usd"), F.lit(0.0)) >= 0)
     )
-    return in_contracts(scoped, "nft_address", contracts)
+    return in_contracts(sales, "nft_address", contracts, also=cond)
 
 
 def hourly_rates(token_prices: DataFrame, snapshot: Column | None = None) -> DataFrame:
@@ -49,28 +49,24 @@ def sale_eth_values(
     scoped = sales_in_scope(sales, contracts, snapshot)
     native = is_native_eth(F.col("currency_symbol"))
 
-    in_eth = (
-        scoped.filter(native)
-        .withColumn("price_eth", F.col("price"))
-        .withColumn("creator_fee_eth", F.col("creator_fee"))
-        .withColumn("priced", F.lit(True))
+    base = [F.col("seller_address").alias("wallet")] + [F.col(c) for c in scoped.columns if c != "seller_address"]
+
+    in_eth = scoped.filter(native).select(
+        *base,
+        F.col("price").alias("price_eth"),
+        F.col("creator_fee").alias("creator_fee_eth"),
+        F.lit(True).alias("priced"),
     )
     rates = hourly_rates(token_prices, snapshot)
     other = scoped.filter(~native).withColumn("hour", trunc_ntz("hour", F.col("block_timestamp")))
-    converted = (
-        other.join(rates, ["hour", "currency_address"], "left")
-        .withColumn(
-            "price_eth",
-            eth_value(F.col("price"), F.col("currency_symbol"), F.col("token_price"), F.col("weth_price")),
-        )
-        .withColumn(
-            "creator_fee_eth",
-            eth_value(F.col("creator_fee"), F.col("currency_symbol"), F.col("token_price"), F.col("weth_price")),
-        )
-        .withColumn("priced", F.try_divide(F.col("token_price"), F.col("weth_price")).isNotNull())
-        .drop("hour", "token_price", "weth_price")
+    token_price, weth_price, symbol = F.col("token_price"), F.col("weth_price"), F.col("currency_symbol")
+    converted = other.join(rates, ["hour", "currency_address"], "left").select(
+        *base,
+        eth_value(F.col("price"), symbol, token_price, weth_price).alias("price_eth"),
+        eth_value(F.col("creator_fee"), symbol, token_price, weth_price).alias("creator_fee_eth"),
+        F.try_divide(token_price, weth_price).isNotNull().alias("priced"),
     )
-    return in_eth.unionByName(converted).withColumnRenamed("seller_address", "wallet")
+    return in_eth.unionByName(converted)
 
 
 def sales_by_seller(

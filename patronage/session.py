@@ -61,6 +61,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Python call-site capture for error messages: a few JVM calls per
+        # DataFrame call; off for tests and the benchmark
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
