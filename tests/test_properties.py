@@ -163,3 +163,44 @@ def test_address_rule_same_in_python_and_spark(spark):
         assert [sorted(g) for g in got] == [sorted(parse_contract_list(t)) for t in batch]
 
     check()
+
+
+def hot_history(n_hot: int = 240, n_cold: int = 60):
+    """One token takes most transfers and one wallet receives most of them."""
+    rng = random.Random(99)
+    rows, owners = [], {}
+    t0 = dt.datetime(2024, 1, 1)
+    plan = [("7", i) for i in range(n_hot)] + [(str(rng.randrange(1, 5)), n_hot + i) for i in range(n_cold)]
+    rng.shuffle(plan)
+    for k, (tok, _) in enumerate(plan):
+        c = contract("a")
+        to = wallet(3) if rng.random() < 0.5 else wallet(rng.randrange(4, 9))
+        frm = owners.get((c, tok), wallet(0))
+        owners[(c, tok)] = to
+        rows.append((c, tok, t0 + dt.timedelta(hours=3 * k), frm, to, None, k, 0))
+    return rows
+
+
+@pytest.mark.parametrize("chunk_blocks", [7, 50])
+def test_hot_token_and_wallet(spark, make_tables, chunk_blocks):
+    rows = hot_history()
+    t = make_tables(transfers=rows)
+    p = Params(addresses=[contract("a")], snapshot_time=SNAP, now=NOW)
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot(), with_rank=True, chunk_blocks=chunk_blocks)
+    plain = ops.contract_transfers(t.transfers, p.addresses, p.snapshot()).withColumn(
+        "rank_desc",
+        F.row_number()
+        .over(Window.partitionBy("nft_contract_address", "token_id").orderBy(F.col("block_number").desc()))
+        .cast("long"),
+    )
+    cols = ["token_id", "block_number", "rank_desc"]
+    assert sorted(ct.select(cols).collect()) == sorted(plain.select(cols).collect())
+    got = {r["wallet"]: r["days_held"] for r in ops.days_held(ct, p.snapshot()).collect()}
+    snap = dt.datetime.fromisoformat(SNAP)
+    assert got == dense_days_held(rows, snap)
+    owner = {r["token_id"]: r["wallet"] for r in ops.current_owner(ct).collect()}
+    last = {}
+    for r in rows:
+        if r[2] <= snap:
+            last[r[1]] = r[4]
+    assert owner == last
