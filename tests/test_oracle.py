@@ -55,3 +55,24 @@ def test_approx_txns_close_to_exact(spark):
     assert sum(rel) / len(rel) <= 0.05
     for w, n in exact.items():
         assert abs(approx[w] - n) <= max(2, 0.25 * n), (w, approx[w], n)
+
+
+DUCK_TO_SPARK = {
+    "BIGINT": "bigint",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "TIMESTAMP": "timestamp_ntz",
+    "BOOLEAN": "boolean",
+    "INTEGER": "int",
+}
+
+
+@pytest.mark.parametrize("name", ORACLE_KEYS)
+def test_types_match_duckdb(spark, name):
+    from tools.compare import duck
+
+    sdf = E.queries()[name](spark, SF_SMALL)
+    spark_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    rel = duck(SF_SMALL).sql(E.oracle_sql()[name])
+    duck_types = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
