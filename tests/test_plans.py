@@ -98,3 +98,26 @@ def test_eth_sales_skip_the_price_join(stored):
     assert "Union" in plan
     # the native-ETH branch reads sales without any join above its scan
     assert plan.count("Join") >= 1
+
+
+def _scans_per_table(plan: str) -> dict:
+    import re
+
+    counts = {}
+    for m in re.finditer(r"FileScan parquet .*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\]", plan):
+        counts[m.group(1)] = counts.get(m.group(1), 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize(
+    "fn,expected",
+    [
+        # sales twice: ETH/WETH rows, and the rows that need a price
+        (fee_leaderboard, {"sales": 2, "token_prices": 2, "names": 1}),
+        (holder_leaderboard, {"transfers": 1, "sales": 2, "token_prices": 2, "names": 1}),
+        # transfers once more for days held and once for its calendar start
+        (holding_period_leaderboard, {"transfers": 3, "sales": 2, "token_prices": 2, "names": 1}),
+    ],
+)
+def test_no_subtree_computed_twice(stored, fn, expected):
+    assert _scans_per_table(plan_of(fn(stored, PARAMS))) == expected
