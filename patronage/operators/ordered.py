@@ -43,8 +43,10 @@ def previous_in_group(
     inside a group. The order should be total inside a group.
     """
     keys = list(keys)
-    order_key = F.struct(*[F.col(c) for c in order])
-    last_of_chunk = df.groupBy(*keys, chunk).agg(F.max_by(F.col(value), order_key).alias(_CARRY))
+    # the greatest (order..., value) of each chunk; with a total order this is
+    # the chunk's last row
+    last = F.max(F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))).alias("_last")
+    last_of_chunk = df.groupBy(*keys, chunk).agg(last).select(*keys, chunk, F.col("_last._v").alias(_CARRY))
     before = Window.partitionBy(*keys).orderBy(chunk)
     carry = last_of_chunk.select(*keys, chunk, F.lag(_CARRY).over(before).alias(_CARRY))
 

@@ -17,6 +17,11 @@ from patronage.operators.ordered import position_in_group
 DEFAULT_CHUNK_BLOCKS = 100_000
 
 TOKEN_KEYS = ["nft_contract_address", "token_id"]
+# The same keys in the order used to group and partition: token first. After
+# the contract filter only a few contracts remain, and a sort whose leading
+# key barely varies falls back to comparing whole strings (about 10% of the
+# per-token window's time at 1.6M events).
+TOKEN_SORT_KEYS = ["token_id", "nft_contract_address"]
 
 
 def contract_transfers(
@@ -58,28 +63,29 @@ def contract_transfers(
     keys = ("block_number", "event_index", "from_address", "to_address")
     if with_rank:
         out = position_in_group(
-            out, TOKEN_KEYS, "_chunk", [F.col(c).desc() for c in keys], "rank_desc", descending=True
+            out, TOKEN_SORT_KEYS, "_chunk", [F.col(c).desc() for c in keys], "rank_desc", descending=True
         )
     if with_rank_asc:
-        out = position_in_group(out, TOKEN_KEYS, "_chunk", [F.col(c).asc() for c in keys], "rank_asc")
+        out = position_in_group(out, TOKEN_SORT_KEYS, "_chunk", [F.col(c).asc() for c in keys], "rank_asc")
     return out.drop("_chunk")
 
 
 def current_owner(ctransfers: DataFrame) -> DataFrame:
     """ERC-721 holdings: the receiver of each token's latest transfer.
 
-    (wallet, nft_contract_address, token_id, num_held=1). An aggregate with
-    ``max_by`` rather than a rank window: it is combined map-side, so a token
-    with a huge history costs one partial row per task, not one task.
-    (block, event) identifies an ERC-721 transfer; should it ever repeat, the
-    greater receiver wins, so the result is still repeatable.
+    (wallet, nft_contract_address, token_id, num_held=1). An aggregate, the
+    greatest (block, event, receiver) per token, rather than a rank window: it
+    is combined map-side, so a token with a huge history costs one partial row
+    per task, not one task. (block, event) identifies an ERC-721 transfer;
+    should it ever repeat, the greater receiver wins, so the result is still
+    repeatable.
     """
-    latest = F.struct("block_number", "event_index", "to_address")
+    latest = F.max(F.struct("block_number", "event_index", "to_address")).alias("latest")
     return (
         ctransfers.filter(~F.col("is_erc1155"))
-        .groupBy(*TOKEN_KEYS)
-        .agg(F.max_by(F.col("to_address"), latest).alias("wallet"))
-        .select("wallet", *TOKEN_KEYS, F.lit(1).cast("long").alias("num_held"))
+        .groupBy(*TOKEN_SORT_KEYS)
+        .agg(latest)
+        .select(F.col("latest.to_address").alias("wallet"), *TOKEN_KEYS, F.lit(1).cast("long").alias("num_held"))
     )
 
 

@@ -89,7 +89,7 @@ def transfers_from_events(events: DataFrame, chunk_events: int = DEFAULT_CHUNK_E
     erc721 = events.filter(~is1155).select(*common, F.expr(f"event_id div {int(chunk_events)}").alias("_chunk"))
     erc721 = previous_in_group(
         erc721,
-        keys=["nft_address", "tokenid"],
+        keys=["tokenid", "nft_address"],  # varied key first, see ownership.TOKEN_SORT_KEYS
         chunk="_chunk",
         order=["block_number"],
         value="nft_to_address",

@@ -73,7 +73,7 @@ def test_topk_is_one_ordered_limit(stored, fn):
 def test_current_owner_is_an_aggregate(stored):
     ct = ops.contract_transfers(stored.transfers, PARAMS.addresses, PARAMS.snapshot())
     plan = plan_of(ops.current_owner(ct))
-    assert "max_by" in plan
+    assert "max(" in plan or "max_by" in plan
     assert "Window" not in plan
 
 
