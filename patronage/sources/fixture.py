@@ -86,19 +86,37 @@ def transfers_from_events(events: DataFrame, chunk_events: int = DEFAULT_CHUNK_E
         F.col("event_id").alias("block_number"),
         F.lit(0).alias("event_index"),
     ]
-    erc721 = events.filter(~is1155).select(*common, F.expr(f"event_id div {int(chunk_events)}").alias("_chunk"))
+    # The sender window runs on compact columns (event kind, token, user id,
+    # event id); the 42-character addresses are built after it, since
+    # W(previous user) is the previous W(user). Unknown event types share one
+    # null kind, as they share one null contract. A filter on nft_address only
+    # refers to the kind, a window key, so it still runs below the window.
+    kind = F.when(F.col("event_type").isin(*CONTRACT_LETTER), F.col("event_type")).alias("_kind")
+    erc721 = events.filter(~is1155).select(
+        kind,
+        F.regexp_replace(F.col("props"), "[^0-9]", "").alias("tokenid"),
+        "ts",
+        "user_id",
+        "event_id",
+        F.expr(f"event_id div {int(chunk_events)}").alias("_chunk"),
+    )
     erc721 = previous_in_group(
         erc721,
-        keys=["tokenid", "nft_address"],  # varied key first, see ownership.TOKEN_SORT_KEYS
+        keys=["tokenid", "_kind"],  # varied key first, see ownership.TOKEN_SORT_KEYS
         chunk="_chunk",
-        order=["block_number"],
-        value="nft_to_address",
-        out="_prev",
+        order=["event_id"],
+        value="user_id",
+        out="_prev_user",
     ).select(
-        *[c for c in erc721.columns if c != "_chunk"],
+        contract_of(F.col("_kind")).alias("nft_address"),
+        "tokenid",
+        F.col("ts").alias("block_timestamp"),
+        wallet_of(F.col("user_id")).alias("nft_to_address"),
+        F.col("event_id").alias("block_number"),
+        F.lit(0).alias("event_index"),
         # null literal above the window: a filter on it folds here
         F.lit(None).cast("long").alias("erc1155_value"),
-        F.coalesce(F.col("_prev"), wallet_of(F.lit(0))).alias("nft_from_address"),
+        F.coalesce(wallet_of(F.col("_prev_user")), wallet_of(F.lit(0))).alias("nft_from_address"),
     )
     erc1155 = events.filter(is1155).select(
         *common,
