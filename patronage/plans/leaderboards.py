@@ -27,7 +27,11 @@ from patronage.sources.tables import Tables
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in ``order`` with ``rank`` 1..n (row position)."""
+    """The first ``n`` rows in ``order`` with ``rank`` 1..n (row position).
+
+    The ordered limit is one TakeOrderedAndProject (k rows per task, then k);
+    the un-partitioned window that numbers them sees only those ``n`` rows.
+    """
     top = df.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
