@@ -155,16 +155,23 @@ def sales_from_events(events: DataFrame) -> DataFrame:
 
 
 def token_prices_from_events(events: DataFrame) -> DataFrame:
+    """Hourly average value per contract. Grouped by (hour, event kind);
+    the contract and symbol, both functions of the kind, are built on the
+    aggregated rows (unknown kinds form one null group, as their null
+    contract would)."""
     et = F.col("event_type")
-    symbol = F.when(et == "view", F.lit(PRICE_SYMBOL["view"])).when(et == "error", F.lit(PRICE_SYMBOL["error"]))
-    for kind, letter in CONTRACT_LETTER.items():
-        if kind not in PRICE_SYMBOL:
-            symbol = symbol.when(et == kind, F.lit(letter))
-    return events.groupBy(
+    hourly = events.groupBy(
         trunc_ntz("hour", F.col("ts")).alias("hour"),
-        contract_of(et).alias("token_address"),
-        symbol.alias("symbol"),
+        F.when(et.isin(*CONTRACT_LETTER), et).alias("_kind"),
     ).agg(F.avg("value").alias("price"))
+    kind = F.col("_kind")
+    symbol = F.when(kind == "view", F.lit(PRICE_SYMBOL["view"])).when(kind == "error", F.lit(PRICE_SYMBOL["error"]))
+    for name, letter in CONTRACT_LETTER.items():
+        if name not in PRICE_SYMBOL:
+            symbol = symbol.when(kind == name, F.lit(letter))
+    return hourly.select(
+        "hour", contract_of(kind).alias("token_address"), symbol.alias("symbol"), "price"
+    )
 
 
 def names_from_customers(customer: DataFrame) -> DataFrame:
