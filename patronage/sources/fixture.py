@@ -65,7 +65,7 @@ def contract_of(event_type: Column) -> Column:
     return expr
 
 
-def test_contracts() -> list[str]:
+def fixture_contracts() -> list[str]:
     return [contract_address(CONTRACT_LETTER[t]) for t in TEST_CONTRACT_TYPES]
 
 
