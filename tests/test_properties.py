@@ -204,3 +204,26 @@ def test_hot_token_and_wallet(spark, make_tables, chunk_blocks):
         if r[2] <= snap:
             last[r[1]] = r[4]
     assert owner == last
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_chunked_windows_with_null_keys_and_values(spark, chunk):
+    """Null group keys form one group and null values are carried as values,
+    exactly as in a plain window."""
+    rng = random.Random(7 + chunk)
+    data = [
+        (rng.choice(["x", None]), rng.choice([1, None]), i, rng.choice([f"v{i}", None]))
+        for i in rng.sample(range(300), 120)
+    ]
+    df = spark.createDataFrame(data, "g string, h int, o long, v string").withColumn(
+        "ch", F.expr(f"o div {chunk}")
+    )
+    got = previous_in_group(df, ["g", "h"], "ch", ["o"], "v", "prev")
+    want = df.withColumn("prev", F.lag("v").over(Window.partitionBy("g", "h").orderBy("o")))
+    cols = ["g", "h", "o", "v", "prev"]
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    assert sorted(got.select(cols).collect(), key=key) == sorted(want.select(cols).collect(), key=key)
+    pos = position_in_group(df, ["g", "h"], "ch", [F.col("o").desc()], "pos", descending=True)
+    want_pos = df.withColumn("pos", F.row_number().over(Window.partitionBy("g", "h").orderBy(F.col("o").desc())).cast("long"))
+    cols = ["g", "h", "o", "pos"]
+    assert sorted(pos.select(cols).collect(), key=key) == sorted(want_pos.select(cols).collect(), key=key)
