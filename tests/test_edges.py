@@ -368,3 +368,18 @@ def test_validate_flag_raises_on_duplicate_names(make_tables):
         fee_leaderboard(t, _params(validate=True))
     rows = fee_leaderboard(t, _params(smallest_name=True)).collect()
     assert [r["ens_or_wallet"] for r in rows] == ["alice.eth"]
+
+
+def test_contracts_as_messy_dataframe(spark, make_tables):
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C2, 1, "2024-01-10 01:00:00", ZERO, wallet(6), 2),
+            _transfer(contract("c"), 1, "2024-01-10 01:00:00", ZERO, wallet(7), 3),
+        ]
+    )
+    chosen = spark.createDataFrame([(f"  {C1.upper()} ",), (C1,), ("bad",), (f"{C2};{C1}",)], "address string")
+    by_df = ops.contract_transfers(t.transfers, chosen, resolve_snapshot(SNAP, NOW))
+    by_text = ops.contract_transfers(t.transfers, f"{C1};{C2}", resolve_snapshot(SNAP, NOW))
+    assert sorted(by_df.collect()) == sorted(by_text.collect())
+    assert by_df.count() == 2
