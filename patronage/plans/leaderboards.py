@@ -36,9 +36,25 @@ def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+# The column headers the dashboard shows, kept as column
+# metadata ("label") on the leaderboard results. "# of days held" labels the
+# holding-period board, which the dashboard only names in its title.
+LABELS = {
+    "rank": "# RANK",
+    "ens_or_wallet": "Wallet",
+    "num_held": "# of tokens held",
+    "num_collections": "# of collections held",
+    "creator_fee_usd": "Creator Fees Paid (USD)",
+    "creator_fee_eth": "Creator Fees Paid (ETH)",
+    "creator_fee_perc": "Creator Fees Percent",
+    "days_held": "# of days held",
+}
+
+
 def _named_page(top: DataFrame, tables: Tables, params: Params, columns: Sequence[str]) -> DataFrame:
     named = with_display_name(top, tables.names, "wallet", smallest_name=params.smallest_name)
-    return named.select("rank", "ens_or_wallet", *columns).orderBy("rank")
+    shaped = [F.col(c).alias(c, metadata={"label": LABELS[c]}) for c in ["rank", "ens_or_wallet", *columns]]
+    return named.select(*shaped).orderBy("rank")
 
 
 def _checked(tables: Tables, params: Params) -> Tables:

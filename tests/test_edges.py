@@ -383,3 +383,10 @@ def test_contracts_as_messy_dataframe(spark, make_tables):
     by_text = ops.contract_transfers(t.transfers, f"{C1};{C2}", resolve_snapshot(SNAP, NOW))
     assert sorted(by_df.collect()) == sorted(by_text.collect())
     assert by_df.count() == 2
+
+
+def test_leaderboard_columns_carry_labels(make_tables):
+    t = make_tables(sales=[_sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 2.0, 0.1, 0.2)])
+    df = fee_leaderboard(t, _params())
+    labels = [f.metadata.get("label") for f in df.schema.fields]
+    assert labels == ["# RANK", "Wallet", "Creator Fees Paid (USD)", "Creator Fees Paid (ETH)", "Creator Fees Percent"]
