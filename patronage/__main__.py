@@ -74,7 +74,9 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.getActiveSession()
     spark = configure(spark) if spark is not None else local_session()
-    run(args, spark).show(args.page_size, truncate=False)
+    board = run(args, spark)
+    shown = board.select(*[board[f.name].alias(f.metadata.get("label", f.name)) for f in board.schema.fields])
+    shown.show(args.page_size, truncate=False)
     return 0
 
 
