@@ -390,3 +390,15 @@ def test_leaderboard_columns_carry_labels(make_tables):
     df = fee_leaderboard(t, _params())
     labels = [f.metadata.get("label") for f in df.schema.fields]
     assert labels == ["# RANK", "Wallet", "Creator Fees Paid (USD)", "Creator Fees Paid (ETH)", "Creator Fees Percent"]
+
+
+def test_calendar_guard_when_start_after_end(spark, make_tables):
+    """Transfers exist but none before the snapshot: empty calendar and days, no error."""
+    t = make_tables(transfers=[_transfer(C1, 1, "2024-01-30 01:00:00", ZERO, wallet(5), 1)])
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
+    assert ops.calendar(ct, p.snapshot()).count() == 0
+    assert ops.days_held(ct, p.snapshot()).count() == 0
+    # the guard itself: a start after the end gives no days, not an error
+    late = ops.contract_transfers(t.transfers, p.addresses, resolve_snapshot("2024-02-10 00:00:00", NOW))
+    assert ops.calendar(late, resolve_snapshot("2024-01-01 00:00:00", NOW)).count() == 0
