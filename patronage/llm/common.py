@@ -20,18 +20,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, on storage all executors
+    share; only a local-mode session (tests) without one gets a temporary folder."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isEmpty():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there,
-    so that later jobs neither recompute it nor depend on one executor's disk.
-    The folder is the one the session names; only a local-mode session (tests)
-    without one gets a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+    so that later jobs neither recompute it nor depend on one executor's disk."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

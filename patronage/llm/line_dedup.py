@@ -32,10 +32,9 @@ def line_key(line):
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def mark_repeated_lines(
-    docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``docs`` plus ``_lines`` (all lines) and ``_drop`` (positions to drop)."""
+def line_rows(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (``_row``, ``_id``, ``_text``, ``_version``) and, for every line long
+    enough, (``_id``, ``_version``, ``_pos``, ``h1``, ``h2``)."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         id_column(f"`{doc_id}`").alias("_id"),
@@ -48,7 +47,7 @@ def mark_repeated_lines(
         .select("_id", "_version", "_pos", digest128(F.col("_key")).alias("_h"))
         .select("_id", "_version", "_pos", "_h.h1", "_h.h2")
     )
-    return rows, lines, min_docs
+    return rows, lines
 
 
 def drop_positions(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -75,7 +74,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that stay, plus ``n_lines`` (before)
     and ``n_dropped`` in a struct ``line_dedup`` (so that no column name clashes)."""
-    rows, lines, min_docs = mark_repeated_lines(docs, min_chars, min_docs, doc_id, text)
+    rows, lines = line_rows(docs, min_chars, doc_id, text)
     kept = (
         rows.join(drop_positions(lines, min_docs), ["_id", "_version"], "left")
         .withColumn("_lines", F.split("_text", "\n"))

@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, quality_rules
+from . import chat, fingerprint, html_text, line_dedup, near_dup, packing, pieces, quality_model, quality_rules, suffix_dedup
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_prob_minhash(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_fingerprint(spark, sf_dir):
+    return fingerprint.edit_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_chat_format(spark, sf_dir):
     """All conversations (one row a turn) and conversation -7 (a messages record)."""
     text = "\\### Assistant: </turn> ok"
@@ -17,6 +35,18 @@ def op4_chat_format(spark, sf_dir):
     return chat.chat_digest(chat.format_chat(turns))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.rules_digest(table(spark, sf_dir, "documents"))
 
@@ -25,10 +55,21 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return quality_model.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_prob_minhash": op1_prob_minhash,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_format": op4_chat_format,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_html_text": op6_html_text,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {
