@@ -38,12 +38,12 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--snapshot", default=DEFAULT_SNAPSHOT)
     p.add_argument("--now", default=None, help="fixed current time (default: now)")
     p.add_argument("--page-size", type=int, default=DEFAULT_PAGE_SIZE)
-    p.add_argument("--validate", action="store_true", help="fail on duplicate price or name keys")
+    p.add_argument("--allow-duplicates", action="store_true", help="do not fail on duplicate price or name keys")
     return p
 
 
 def run(args: argparse.Namespace, spark) -> "DataFrame":  # noqa: F821
-    from patronage.sources.catalog import catalog, select_collections
+    from patronage.sources.catalog import choose_addresses
     from patronage.sources.fixture import fixture_tables
     from patronage.sources.tables import load_tables
 
@@ -55,25 +55,25 @@ def run(args: argparse.Namespace, spark) -> "DataFrame":  # noqa: F821
     if args.addresses:
         addresses = args.addresses
     else:
-        addresses = select_collections(catalog(spark), args.brand, args.collection).select("address")
+        addresses = choose_addresses(args.brand, args.collection)
     params = Params(
         addresses=addresses,
         snapshot_time=args.snapshot,
         now=args.now,
         page_size=args.page_size,
-        validate=args.validate,
+        validate=not args.allow_duplicates,
     )
     return BOARDS[args.board](tables, params)
 
 
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
-    from patronage.session import configure, local_session
+    from patronage.session import configure
 
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
-    spark = configure(spark) if spark is not None else local_session()
+    # the master and the resources are the submitter's; only settings left unset are filled in
+    spark = configure(SparkSession.builder.appName("patronage").getOrCreate())
     board = run(args, spark)
     shown = board.select(*[board[f.name].alias(f.metadata.get("label", f.name)) for f in board.schema.fields])
     shown.show(args.page_size, truncate=False)

@@ -11,26 +11,32 @@ TimeLike = str | dt.datetime | Column | None
 
 
 def as_ntz(value: TimeLike) -> Column:
-    """A TIMESTAMP_NTZ column from a string, datetime or column; None gives local now."""
+    """A TIMESTAMP_NTZ column from a string, datetime (an aware one as UTC) or
+    column; None gives local now."""
     if value is None:
         return F.localtimestamp()
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
     if isinstance(value, dt.datetime):
+        if value.tzinfo is not None:  # the tables hold UTC wall-clock times
+            value = value.astimezone(dt.timezone.utc)
         value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.to_timestamp_ntz(F.lit(value))
 
 
 def trunc_ntz(unit: str, col: Column | str) -> Column:
-    """date_trunc that stays TIMESTAMP_NTZ (Spark's date_trunc returns a zoned timestamp).
-
-    Day truncation goes through DATE, which needs no time zone; finer units go
-    through the session zone and back, which is exact for UTC sessions.
-    """
+    """date_trunc for ``day``, ``hour`` and ``minute`` that stays TIMESTAMP_NTZ
+    (Spark's date_trunc goes through the session zone, where an hour can be
+    missing): the day through DATE, plus the hours and minutes as an interval."""
     col = F.col(col) if isinstance(col, str) else col
-    if unit.lower() == "day":
-        return col.cast("date").cast("timestamp_ntz")
-    return F.date_trunc(unit, col).cast("timestamp_ntz")
+    day = col.cast("date").cast("timestamp_ntz")
+    if unit == "day":
+        return day
+    if unit == "hour":
+        return day + F.make_dt_interval(F.lit(0), F.hour(col))
+    if unit == "minute":
+        return day + F.make_dt_interval(F.lit(0), F.hour(col), F.minute(col))
+    raise ValueError(f"unknown unit {unit!r}")
 
 
 def resolve_snapshot(snapshot_time: TimeLike, now: TimeLike = None) -> Column:

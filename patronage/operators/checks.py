@@ -41,15 +41,19 @@ def check_inputs(tables) -> None:
     assert_unique(tables.names.filter(F.col("ens_set") == "Y"), ["owner"], "names in use")
 
 
-def check_snapshot(transfers: DataFrame, snapshot: Column, now=None) -> DataFrame:
+def check_snapshot(transfers: DataFrame, snapshot: Column, now=None, day_column: str | None = None) -> DataFrame:
     """(actual_snapshot_time): the snapshot, or one day earlier when the newest
     transfer of the last 24 hours is older than the snapshot (the day is not
     complete yet). No transfer in the last 24 hours keeps the snapshot.
 
-    Reads all transfers (every contract), like the reference's check.
+    Reads the transfers of every contract; ``day_column`` names a date partition
+    column, so that only the folders of the last two days are read.
     """
     current = as_ntz(now)
-    recent = transfers.filter(F.col("block_timestamp") > current - F.expr("INTERVAL 24 HOURS"))
+    since = current - F.expr("INTERVAL 24 HOURS")
+    recent = transfers.filter(F.col("block_timestamp") > since)
+    if day_column:
+        recent = recent.filter(F.col(day_column).cast("date") >= since.cast("date"))
     newest = recent.agg(F.max("block_timestamp").alias("block_time"))
     actual = F.when(F.col("block_time") < snapshot, snapshot - F.expr("INTERVAL 1 DAY")).otherwise(snapshot)
     return newest.select(actual.alias("actual_snapshot_time"))

@@ -11,22 +11,40 @@ from patronage.functions.addresses import parse_contract_list, valid_addresses
 
 Contracts = str | Iterable[str] | DataFrame
 
-
-def in_contracts(df: DataFrame, column: str, contracts: Contracts, also: Column | None = None) -> DataFrame:
+#: A DataFrame of at most this many addresses becomes a literal list (about 60 KB).
+LITERAL_ADDRESSES = 1_000
+#: One of at most this many is broadcast (about 60 MB).
+BROADCAST_ADDRESSES = 1_000_000
+
+
+def in_contracts(
+    df: DataFrame,
+    column: str,
+    contracts: Contracts,
+    also: Column | None = None,
+    literal: int = LITERAL_ADDRESSES,
+    broadcast: int = BROADCAST_ADDRESSES,
+) -> DataFrame:
     """Rows of ``df`` whose ``column`` is one of the chosen contracts (and that
     satisfy ``also``, applied in the same filter).
 
     A string or list is parsed on the spot and becomes a literal IN list, which
     the Parquet reader uses to skip row groups. A DataFrame (first column holds
-    the addresses, e.g. a catalog selection) is validated with the same rule and
-    applied as a left-semi join; Spark sizes that join itself.
+    the addresses) is validated with the same rule and counted first, up to the
+    limits: few addresses become a literal list, more are broadcast, and beyond
+    that the rows are joined by shuffle. The shuffle key is a struct around the
+    address, so the rows do not count as dealt by contract afterwards: a later
+    aggregate by token deals them anew instead of leaving one contract to one task.
     """
-    if isinstance(contracts, DataFrame):
-        kept = df.filter(also) if also is not None else df
-        first = contracts.columns[0]
-        wanted = contracts.select(
-            F.explode(valid_addresses(F.col(first).cast("string"))).alias(column)
-        )
-        return kept.join(wanted, column, "left_semi")
-    cond = F.col(column).isin(parse_contract_list(contracts))
-    return df.filter(cond if also is None else also & cond)
+    if not isinstance(contracts, DataFrame):
+        cond = F.col(column).isin(parse_contract_list(contracts))
+        return df.filter(cond if also is None else also & cond)
+    kept = df.filter(also) if also is not None else df
+    first = contracts.columns[0]
+    wanted = contracts.select(F.explode(valid_addresses(F.col(first).cast("string"))).alias("_address")).distinct()
+    n = wanted.limit(broadcast + 1).count()
+    if n <= literal:
+        return kept.filter(F.col(column).isin([r[0] for r in wanted.limit(literal).collect()]))
+    key = wanted.select(F.struct("_address").alias("_wanted"))
+    key = F.broadcast(key) if n <= broadcast else key
+    return kept.join(key, F.struct(F.col(column).alias("_address")) == F.col("_wanted"), "left_semi")

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from patronage.functions.timefuncs import trunc_ntz
 from patronage.operators.ownership import signed_moves
 
-# Fixed value: the calendar has at most this many days.
-MAX_CALENDAR_DAYS = 10_000
-
 
 def first_acquisition(ctransfers: DataFrame) -> DataFrame:
     """(wallet, time_first_acquisition): earliest receipt of each receiver."""
@@ -19,18 +16,10 @@ def first_acquisition(ctransfers: DataFrame) -> DataFrame:
     )
 
 
-def _calendar_end(ctransfers: DataFrame, snapshot: Column, max_days: int) -> Column:
-    """Last calendar day: the snapshot's day, or ``max_days - 1`` days after the
-    first transfer's day if that is earlier. The first day is a scalar
-    subquery (a global min, combined map-side) referenced exactly once."""
-    start = ctransfers.agg(F.min("day").cast("date").alias("start")).scalar()
-    return F.least(trunc_ntz("day", snapshot).cast("date"), F.date_add(start, max_days - 1))
-
-
-def calendar(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALENDAR_DAYS) -> DataFrame:
+def calendar(ctransfers: DataFrame, snapshot: Column) -> DataFrame:
     """One row per day (``time``) from the first transfer's day to the snapshot's day."""
     first = ctransfers.agg(F.min("day").cast("date").alias("start"))
-    end = F.least(trunc_ntz("day", snapshot).cast("date"), F.date_add(F.col("start"), max_days - 1))
+    end = trunc_ntz("day", snapshot).cast("date")
     days = F.when(F.col("start") <= end, F.sequence(F.col("start"), end)).otherwise(
         F.array().cast("array<date>")
     )
@@ -51,14 +40,14 @@ def daily_change(ctransfers: DataFrame) -> DataFrame:
     )
 
 
-def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALENDAR_DAYS) -> DataFrame:
+def days_held(ctransfers: DataFrame, snapshot: Column) -> DataFrame:
     """(wallet, days_held, time_first_acquisition) for receivers that held for at least one day.
 
     ``days_held`` counts calendar days whose end-of-day running balance is
     above 0. Computed sparsely: only the days a wallet's balance changes are
     materialised; each change day stands for the days up to the next change
-    (or to the calendar end). Equal to the calendar-times-wallets form of the
-    reference query, without its days x wallets rows.
+    (or to the snapshot's day). Equal to a calendar-times-wallets form, without
+    its days x wallets rows.
 
     One aggregate per (day, wallet) carries both the net change and the
     earliest receipt of that day; one window per wallet (bounded by the
@@ -67,7 +56,7 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     receipt, so no second aggregate and no join are needed. Wallets that
     never received are left out.
     """
-    after_end = F.date_add(_calendar_end(ctransfers, snapshot, max_days), 1)
+    after_end = F.date_add(trunc_ntz("day", snapshot).cast("date"), 1)
     moves = F.explode(
         F.array(
             F.struct(
@@ -92,9 +81,8 @@ def days_held(ctransfers: DataFrame, snapshot: Column, max_days: int = MAX_CALEN
     per_wallet = Window.partitionBy("wallet").orderBy("time")
     balance = F.sum("daily_change").over(per_wallet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     day = F.col("time").cast("date")
-    # Days this change stands for: up to the next change, cut at the calendar
-    # end (least() skips the null lead of a wallet's last change). No change
-    # lies before the calendar's first day, which is the earliest of them all.
+    # Days this change stands for: up to the next change, cut after the
+    # snapshot's day (least() skips the null lead of a wallet's last change).
     span = F.datediff(F.least(F.lead(day).over(per_wallet), after_end), day)
     counted = F.when(balance > 0, F.greatest(span, F.lit(0))).otherwise(0)
     return (

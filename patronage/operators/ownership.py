@@ -32,9 +32,13 @@ def contract_transfers(
     with_rank: bool = False,
     with_rank_asc: bool = False,
     chunk_blocks: int = DEFAULT_CHUNK_BLOCKS,
+    day_column: str | None = None,
 ) -> DataFrame:
     """Transfers of the chosen contracts up to and including the snapshot.
 
+    ``day_column`` names a date partition column of ``transfers`` (see
+    ``conform``), so that day folders after the snapshot are not listed.
+
     Columns: nft_contract_address, token_id, block_time, day, from_address,
     to_address, amount (ERC-1155 value, else 1), is_erc1155, block_number,
     event_index; with ``with_rank`` also ``rank_desc`` (1 = latest transfer of
@@ -42,6 +46,8 @@ def contract_transfers(
     ERC-1155 transfers are left out unless ``include_erc1155``.
     """
     cond = F.col("block_timestamp") <= snapshot
+    if day_column:
+        cond = cond & (F.col(day_column).cast("date") <= snapshot.cast("date"))
     if not include_erc1155:
         cond = cond & F.col("erc1155_value").isNull()
     t = in_contracts(transfers, "nft_address", contracts, also=cond)
@@ -60,7 +66,7 @@ def contract_transfers(
     if not (with_rank or with_rank_asc):
         return out
     out = out.withColumn("_chunk", F.expr(f"block_number div {int(chunk_blocks)}"))
-    keys = ("block_number", "event_index", "from_address", "to_address")
+    keys = ("block_number", "event_index", "to_address", "from_address")
     if with_rank:
         out = position_in_group(
             out, TOKEN_SORT_KEYS, "_chunk", [F.col(c).desc() for c in keys], "rank_desc", descending=True
@@ -70,21 +76,25 @@ def contract_transfers(
     return out.drop("_chunk")
 
 
-def current_owner(ctransfers: DataFrame) -> DataFrame:
+def current_owner(ctransfers: DataFrame, kinds_together: bool = False) -> DataFrame:
     """ERC-721 holdings: the receiver of each token's latest transfer.
 
     (wallet, nft_contract_address, token_id, num_held=1). An aggregate, the
     greatest (block, event, receiver) per token, rather than a rank window: it
     is combined map-side, so a token with a huge history costs one partial row
     per task, not one task. (block, event) identifies an ERC-721 transfer;
-    should it ever repeat, the greater receiver wins, so the result is still
-    repeatable.
+    should it ever repeat, the greater receiver wins, as in ``rank_desc``
+    (block, event, receiver, sender), so the result is still repeatable.
+
+    By default only ERC-721 transfers are looked at; with ``kinds_together`` a
+    token whose latest transfer of either kind is ERC-1155 has no owner.
     """
-    latest = F.max(F.struct("block_number", "event_index", "to_address")).alias("latest")
+    rows = ctransfers if kinds_together else ctransfers.filter(~F.col("is_erc1155"))
+    latest = F.max(F.struct("block_number", "event_index", "to_address", "is_erc1155")).alias("latest")
     return (
-        ctransfers.filter(~F.col("is_erc1155"))
-        .groupBy(*TOKEN_SORT_KEYS)
+        rows.groupBy(*TOKEN_SORT_KEYS)
         .agg(latest)
+        .filter(~F.col("latest.is_erc1155"))
         .select(F.col("latest.to_address").alias("wallet"), *TOKEN_KEYS, F.lit(1).cast("long").alias("num_held"))
     )
 
@@ -113,9 +123,12 @@ def token_balances(ctransfers: DataFrame) -> DataFrame:
     )
 
 
-def all_holdings(ctransfers: DataFrame, include_erc1155: bool = True) -> DataFrame:
-    """ERC-721 owners, plus ERC-1155 balances when asked (num_held as bigint)."""
-    held = current_owner(ctransfers)
+def all_holdings(
+    ctransfers: DataFrame, include_erc1155: bool = True, kinds_together: bool = False
+) -> DataFrame:
+    """ERC-721 owners, plus ERC-1155 balances when asked (num_held as bigint).
+    ``kinds_together``: owners by the rank over both kinds, see current_owner."""
+    held = current_owner(ctransfers, kinds_together)
     if include_erc1155:
         held = held.unionByName(token_balances(ctransfers))
     return held
@@ -127,15 +140,15 @@ def current_holders(
     """Per wallet: num_collections (distinct contracts) and num_held (tokens).
 
     Burn and zero addresses are left out; a null wallet never counts.
-    The distinct contracts of a wallet are a subset of the chosen contracts
-    (a parameter-sized list), so they are gathered as a set that is combined
-    map-side: one shuffle by wallet instead of the two of a distinct count.
+    Two plain sums, by wallet and contract and then by wallet, both combined
+    map-side; no set of contracts is held in memory.
     """
     excluded = [w.lower() for w in excluded_wallets]
     kept = holdings.filter(~F.col("wallet").isin(excluded)) if excluded else holdings.filter(
         F.col("wallet").isNotNull()
     )
-    return kept.groupBy("wallet").agg(
-        F.size(F.collect_set("nft_contract_address")).cast("long").alias("num_collections"),
+    per_contract = kept.groupBy("wallet", "nft_contract_address").agg(F.sum("num_held").alias("num_held"))
+    return per_contract.groupBy("wallet").agg(
+        F.count("nft_contract_address").alias("num_collections"),
         F.sum("num_held").cast("long").alias("num_held"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from patronage.functions.pricing import ETH_REFERENCE_SYMBOL, eth_value, is_nati
 from patronage.functions.timefuncs import trunc_ntz
 from patronage.operators.contracts import Contracts, in_contracts
 
+#: Keys over which the sales that need no price are spread in the price join.
+SPREAD = 1024
+
 
 def sales_in_scope(sales: DataFrame, contracts: Contracts, snapshot: Column) -> DataFrame:
     """Sales of the chosen contracts up to the snapshot, with a USD price and a
@@ -21,52 +26,67 @@ def sales_in_scope(sales: DataFrame, contracts: Contracts, snapshot: Column) ->
     return in_contracts(sales, "nft_address", contracts, also=cond)
 
 
-def hourly_rates(token_prices: DataFrame, snapshot: Column | None = None) -> DataFrame:
-    """(hour, currency_address, token_price, weth_price): a token's price and the
-    WETH price of the same hour. Keys must be unique (see checks.check_inputs)."""
+def one_price(prices: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """(keys..., price) with one row per key; the query fails when it meets a key
+    that has several prices."""
+    found = prices.groupBy(*keys).agg(F.max("price").alias("_price"), F.count(F.lit(1)).alias("_n"))
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    problem = F.raise_error(F.concat(F.lit(f"{what}: key ({', '.join(keys)}) is not unique: "), shown)).cast("double")
+    return found.select(*keys, F.when(F.col("_n") > 1, problem).otherwise(F.col("_price")).alias("price"))
+
+
+def hourly_rates(
+    token_prices: DataFrame, snapshot: Column | None = None, unique: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Token prices (hour, currency_address, token_price) and WETH prices (hour,
+    weth_price) of the hours up to the snapshot. With ``unique`` (one price per
+    key, else the query fails) the WETH table has one row an hour, a bound that
+    the data cannot exceed (about 2 MB in ten years), so it is broadcast."""
     prices = token_prices
     if snapshot is not None:
         prices = prices.filter(F.col("hour") <= trunc_ntz("hour", snapshot))
-    weth = prices.filter(F.col("symbol") == ETH_REFERENCE_SYMBOL).select(
-        "hour", F.col("price").alias("weth_price")
-    )
+    weth = prices.filter(F.col("symbol") == ETH_REFERENCE_SYMBOL)
+    if unique:
+        prices = one_price(prices, ["hour", "token_address"], "hourly token prices")
+        weth = one_price(weth, ["hour"], "WETH prices")
     tokens = prices.select(
         "hour", F.col("token_address").alias("currency_address"), F.col("price").alias("token_price")
     )
-    return tokens.join(weth, "hour", "left")
+    weth = weth.select("hour", F.col("price").alias("weth_price"))
+    return tokens, F.broadcast(weth) if unique else weth
 
 
 def sale_eth_values(
-    sales: DataFrame, token_prices: DataFrame, contracts: Contracts, snapshot: Column
+    sales: DataFrame, token_prices: DataFrame, contracts: Contracts, snapshot: Column, unique: bool = True
 ) -> DataFrame:
     """One row per sale in scope with ``price_eth`` and ``creator_fee_eth``.
 
-    ETH and WETH sales need no price, so they skip the price join entirely:
-    the busiest currencies never become hot join keys. The other sales join
-    the hourly rates on (hour, currency); Spark broadcasts the rates when their
-    measured size allows and shuffles otherwise.
+    One scan of the sales. ETH and WETH sales need no price: they join under keys
+    that no currency has, spread over SPREAD values, so that the busiest
+    currencies never gather in one task when the price join is a shuffle (it is a
+    broadcast where Spark knows the prices to be small).
     """
     scoped = sales_in_scope(sales, contracts, snapshot)
-    native = is_native_eth(F.col("currency_symbol"))
-
-    base = [F.col("seller_address").alias("wallet")] + [F.col(c) for c in scoped.columns if c != "seller_address"]
-
-    in_eth = scoped.filter(native).select(
-        *base,
-        F.col("price").alias("price_eth"),
-        F.col("creator_fee").alias("creator_fee_eth"),
-        F.lit(True).alias("priced"),
+    symbol = F.col("currency_symbol")
+    native = is_native_eth(symbol)
+    # a space: no address has one
+    spread = F.concat(F.lit("no currency "), F.pmod(F.xxhash64("tx_hash"), F.lit(SPREAD)).cast("string"))
+    keyed = scoped.select(
+        F.col("seller_address").alias("wallet"),
+        *[F.col(c) for c in scoped.columns if c != "seller_address"],
+        trunc_ntz("hour", F.col("block_timestamp")).alias("_hour"),
+        F.when(native | F.col("currency_address").isNull(), spread).otherwise(F.col("currency_address")).alias("_currency"),
     )
-    rates = hourly_rates(token_prices, snapshot)
-    other = scoped.filter(~native).withColumn("hour", trunc_ntz("hour", F.col("block_timestamp")))
-    token_price, weth_price, symbol = F.col("token_price"), F.col("weth_price"), F.col("currency_symbol")
-    converted = other.join(rates, ["hour", "currency_address"], "left").select(
-        *base,
+    tokens, weth = hourly_rates(token_prices, snapshot, unique)
+    tokens = tokens.toDF("_hour", "_currency", "token_price")
+    joined = keyed.join(tokens, ["_hour", "_currency"], "left").join(weth.toDF("_hour", "weth_price"), "_hour", "left")
+    token_price, weth_price = F.col("token_price"), F.col("weth_price")
+    return joined.select(
+        *[F.col(c) for c in keyed.columns if not c.startswith("_")],
         eth_value(F.col("price"), symbol, token_price, weth_price).alias("price_eth"),
         eth_value(F.col("creator_fee"), symbol, token_price, weth_price).alias("creator_fee_eth"),
-        F.try_divide(token_price, weth_price).isNotNull().alias("priced"),
+        (native | F.try_divide(token_price, weth_price).isNotNull()).alias("priced"),
     )
-    return in_eth.unionByName(converted)
 
 
 def sales_by_seller(
@@ -75,12 +95,13 @@ def sales_by_seller(
     contracts: Contracts,
     snapshot: Column,
     exact_txns: bool = False,
+    unique: bool = True,
 ) -> DataFrame:
     """Per seller: vol_eth, creator_fee_eth, vol_usd, creator_fee_usd, num_txns.
 
     ``num_txns`` is approximate (HyperLogLog++) unless ``exact_txns``.
     """
-    rows = sale_eth_values(sales, token_prices, contracts, snapshot)
+    rows = sale_eth_values(sales, token_prices, contracts, snapshot, unique)
     txns = (
         F.countDistinct("tx_hash") if exact_txns else F.approx_count_distinct("tx_hash")
     ).alias("num_txns")

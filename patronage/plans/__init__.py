@@ -5,7 +5,7 @@ from patronage.plans.leaderboards import (
     fee_leaderboard,
     holder_leaderboard,
     holding_period_leaderboard,
-    top_ranked,
+    ranked_page,
 )
 
-__all__ = ["Params", "fee_leaderboard", "holder_leaderboard", "holding_period_leaderboard", "top_ranked"]
+__all__ = ["Params", "fee_leaderboard", "holder_leaderboard", "holding_period_leaderboard", "ranked_page"]

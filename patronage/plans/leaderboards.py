@@ -3,10 +3,10 @@ leaderboard the dashboard's title promises.
 
 Shape of every plan: filters on contract and snapshot reach the scans; the big
 tables are reduced to one row per wallet by partial + final aggregation;
-the top ``page_size`` rows are taken with a single ordered limit
+the first ``page_size`` wallets are taken with a single ordered limit
 (TakeOrderedAndProject); only then are those few wallets looked up in the
-names table (so a duplicate name can never push a wallet off the page).
-Ties are broken by wallet so the page is repeatable.
+names table, ranked and cut to the page.
+Ties are broken by wallet, then name, so the page is repeatable.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.pricing import div0null
-from patronage.operators.checks import check_inputs
 from patronage.operators.holding import days_held
 from patronage.operators.names import with_display_name
 from patronage.operators.ownership import contract_transfers, current_holders, current_owner
@@ -26,16 +25,6 @@ from patronage.plans.params import Params
 from patronage.sources.tables import Tables
 
 
-def top_ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in ``order`` with ``rank`` 1..n (row position).
-
-    The ordered limit is one TakeOrderedAndProject (k rows per task, then k);
-    the un-partitioned window that numbers them sees only those ``n`` rows.
-    """
-    top = df.orderBy(*order).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 # The column headers the dashboard shows, kept as column
 # metadata ("label") on the leaderboard results. "# of days held" labels the
 # holding-period board, which the dashboard only names in its title.
@@ -51,16 +40,28 @@ LABELS = {
 }
 
 
-def _named_page(top: DataFrame, tables: Tables, params: Params, columns: Sequence[str]) -> DataFrame:
+def ranked_page(
+    rows: DataFrame, order: Sequence[Column], tables: Tables, params: Params, columns: Sequence[str]
+) -> DataFrame:
+    """The page: the first wallets in ``order`` with their names, ranked 1..n.
+
+    The first ``page_size`` wallets are one TakeOrderedAndProject (k rows a task,
+    then k). A wallet with several names has several rows, so the rows are
+    numbered after the names are known and cut to the page again: every wallet
+    gives at least one row, so the page lies within those wallets. The window
+    that numbers them is not partitioned; it sees these few rows only. With
+    ``params.validate`` a wallet with several names fails the query instead.
+    """
+    top = rows.orderBy(*order).limit(params.page_size)
     named = with_display_name(top, tables.names, "wallet", smallest_name=params.smallest_name)
+    if params.validate and not params.smallest_name:
+        several = F.count(F.lit(1)).over(Window.partitionBy("wallet")) > 1
+        problem = F.raise_error(F.concat(F.lit("names in use: key (owner) is not unique: "), F.col("wallet")))
+        named = named.withColumn("ens_or_wallet", F.when(several, problem.cast("string")).otherwise(F.col("ens_or_wallet")))
+    by = Window.orderBy(*order, F.col("ens_or_wallet").asc())
+    page = named.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= params.page_size)
     shaped = [F.col(c).alias(c, metadata={"label": LABELS[c]}) for c in ["rank", "ens_or_wallet", *columns]]
-    return named.select(*shaped).orderBy("rank")
-
-
-def _checked(tables: Tables, params: Params) -> Tables:
-    if params.validate:
-        check_inputs(tables)
-    return tables
+    return page.select(*shaped).orderBy("rank")
 
 
 def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
@@ -69,9 +70,10 @@ def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
     Columns: rank, ens_or_wallet, creator_fee_usd (null as 0), creator_fee_eth,
     creator_fee_perc (fee / volume in USD, 0 when unknown). Ordered by fee USD.
     """
-    tables = _checked(tables, params)
     snap = params.snapshot()
-    sellers = sales_by_seller(tables.sales, tables.token_prices, params.addresses, snap, exact_txns=False)
+    sellers = sales_by_seller(
+        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=False, unique=params.validate
+    )
     scored = sellers.select(
         "wallet",
         F.coalesce(F.col("creator_fee_usd"), F.lit(0.0)).alias("creator_fee_usd"),
@@ -79,8 +81,7 @@ def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
         F.coalesce(div0null(F.col("creator_fee_usd"), F.col("vol_usd")), F.lit(0.0)).alias("creator_fee_perc"),
     )
     order = [F.col("creator_fee_usd").desc(), F.col("wallet").asc()]
-    top = top_ranked(scored, order, params.page_size)
-    return _named_page(top, tables, params, ["creator_fee_usd", "creator_fee_eth", "creator_fee_perc"])
+    return ranked_page(scored, order, tables, params, ["creator_fee_usd", "creator_fee_eth", "creator_fee_perc"])
 
 
 def holders_with_fees(tables: Tables, params: Params) -> DataFrame:
@@ -88,7 +89,9 @@ def holders_with_fees(tables: Tables, params: Params) -> DataFrame:
     snap = params.snapshot()
     ct = contract_transfers(tables.transfers, params.addresses, snap)
     holders = current_holders(current_owner(ct), params.excluded_wallets)
-    sellers = sales_by_seller(tables.sales, tables.token_prices, params.addresses, snap, exact_txns=True)
+    sellers = sales_by_seller(
+        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=True, unique=params.validate
+    )
     fees = sellers.select(
         "wallet",
         "creator_fee_usd",
@@ -110,22 +113,20 @@ def holder_leaderboard(tables: Tables, params: Params) -> DataFrame:
     The reference also left-joins days held here without using a column of
     it (one row per wallet, so no effect on the result); it is not computed.
     """
-    rows = holders_with_fees(_checked(tables, params), params)
+    rows = holders_with_fees(tables, params)
     order = [
         F.col("num_held").desc(),
         F.col("num_collections").desc(),
         F.col("creator_fee_usd").desc_nulls_first(),
         F.col("wallet").asc(),
     ]
-    top = top_ranked(rows, order, params.page_size)
-    return _named_page(top, tables, params, HOLDER_COLUMNS)
+    return ranked_page(rows, order, tables, params, HOLDER_COLUMNS)
 
 
 def holding_period_leaderboard(tables: Tables, params: Params) -> DataFrame:
     """Current holders ranked by days held (the leaderboard's title), then as
     the holder leaderboard. Columns: rank, ens_or_wallet, days_held, then the
     holder columns."""
-    tables = _checked(tables, params)
     snap = params.snapshot()
     ct = contract_transfers(tables.transfers, params.addresses, snap)
     held = days_held(ct, snap).select("wallet", "days_held")
@@ -137,5 +138,4 @@ def holding_period_leaderboard(tables: Tables, params: Params) -> DataFrame:
         F.col("creator_fee_usd").desc_nulls_first(),
         F.col("wallet").asc(),
     ]
-    top = top_ranked(rows, order, params.page_size)
-    return _named_page(top, tables, params, ["days_held", *HOLDER_COLUMNS])
+    return ranked_page(rows, order, tables, params, ["days_held", *HOLDER_COLUMNS])

@@ -25,10 +25,11 @@ class Params:
     first column holds addresses (e.g. a catalog selection).
     ``now``: fixed "current time" (default: the session's local time), so that
     results can be repeated.
-    ``validate``: first check that price keys and names in use are unique
-    (raises DuplicateKeyError; three small aggregate jobs).
+    ``validate`` (default): the query fails, while it runs, when it meets a price
+    key or a wallet of the page that is not unique; without it duplicate prices
+    multiply sales and a wallet with two names has two rows, as plain joins do.
     ``smallest_name``: if a wallet has several names in use, show the smallest
-    instead of repeating the wallet's row.
+    instead.
     """
 
     addresses: str | Iterable[str] | DataFrame
@@ -37,8 +38,14 @@ class Params:
     page_size: int = DEFAULT_PAGE_SIZE
     excluded_wallets: tuple[str, ...] = field(default=DEFAULT_EXCLUDED_WALLETS)
     creator_fee_perc: float = DEFAULT_CREATOR_FEE_PERC
-    validate: bool = False
+    validate: bool = True
     smallest_name: bool = False
 
+    def __post_init__(self) -> None:
+        if self.page_size < 1:
+            raise ValueError(f"page_size must be at least 1, not {self.page_size}")
+        if not isinstance(self.addresses, (str, DataFrame)):
+            object.__setattr__(self, "addresses", tuple(self.addresses))  # an iterator is read once only
+
     def snapshot(self) -> Column:
         return resolve_snapshot(self.snapshot_time, self.now)

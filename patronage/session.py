@@ -3,13 +3,11 @@
 The library never needs a special session: it only reads what is set. These
 helpers give a sensible session for tests and the benchmark, and apply the
 settings a cluster job should carry (AQE with skew-join and partition
-coalescing, UTC session zone so that NTZ truncation is plain wall-clock).
+coalescing). Results do not depend on the session's time zone.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job built on this library relies on. AQE re-plans joins from
@@ -18,12 +16,13 @@ from pyspark.sql import SparkSession
 # partitions and coalesces small ones. The static threshold stays at Spark's
 # default: file-size estimates are only a guess at in-memory size.
 RECOMMENDED_CONF = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # Spark pushes a longer IN list as its bounds only; the catalog alone has 19 contracts
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 
@@ -46,9 +45,10 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 10
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply RECOMMENDED_CONF to a running session (runtime SQL settings only)."""
+    """Fill in the settings of RECOMMENDED_CONF that the session leaves unset."""
     for key, value in RECOMMENDED_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -60,6 +60,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Python call-site capture for error messages: a few JVM calls per
         # DataFrame call; off for tests and the benchmark
@@ -69,22 +70,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the session names in ``spark.checkpoint.dir``.
-
-    On a cluster that folder must be shared storage and is required. Only a
-    local-mode session (tests, benchmark) without one gets a fresh local
-    folder of its own.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        current = tempfile.mkdtemp(prefix="patronage-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current

@@ -2,7 +2,7 @@
 mapping that derives the four NFT tables from the driver's test tables."""
 
 from patronage.sources.tables import Tables, conform, load_tables
-from patronage.sources.catalog import catalog, select_collections, manual_collections
+from patronage.sources.catalog import catalog, choose_addresses, manual_collections, select_collections
 from patronage.sources.fixture import fixture_tables
 
 __all__ = [
@@ -10,6 +10,7 @@ __all__ = [
     "conform",
     "load_tables",
     "catalog",
+    "choose_addresses",
     "select_collections",
     "manual_collections",
     "fixture_tables",

@@ -70,6 +70,16 @@ def select_collections(
     return catalog_df.filter(cond)
 
 
+def choose_addresses(brands: Iterable[str] | None = None, collections: Iterable[str] | None = None) -> list[str]:
+    """Addresses of the chosen brands and/or collection names (default: the
+    default brand), as a list: the catalog is a constant, so the choice is made
+    before any plan and reaches the scans as a literal filter."""
+    brands, collections = set(brands or ()), set(collections or ())
+    if not brands and not collections:
+        brands = {DEFAULT_BRAND}
+    return [a for b, c, a in COLLECTIONS if b in brands or c in collections]
+
+
 def manual_collections(spark: SparkSession, text: str) -> DataFrame:
     """Typed contract list: split on ';', each part used as brand, name and address.
 

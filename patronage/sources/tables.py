@@ -7,6 +7,7 @@ ERC-721 transfers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,12 @@ SCHEMAS = {
 _FREE_TYPE = {("sales", "tx_hash")}
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
+def conform(df: DataFrame, table: str, keep: Sequence[str] = ()) -> DataFrame:
     """Select the columns of ``table`` by name, cast to the declared types.
 
     Raises ``ValueError`` naming any missing column. Extra columns are dropped
-    here, so Parquet scans read only what the leaderboards use.
+    here, so Parquet scans read only what the leaderboards use; ``keep`` names
+    extra ones to keep (a date partition column, so that folders can be skipped).
     """
     schema = SCHEMAS[table]
     missing = [f.name for f in schema.fields if f.name not in df.columns]
@@ -87,7 +89,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             cols.append(F.col(field.name))
         else:
             cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(c) for c in keep if c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,11 @@ class Tables:
         )
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> Tables:
-    """Read the four tables from storage (``paths`` maps table name to location)."""
+def load_tables(
+    spark: SparkSession, paths: dict[str, str], fmt: str = "parquet", keep: Sequence[str] = ()
+) -> Tables:
+    """Read the four tables from storage (``paths`` maps table name to location);
+    ``keep`` as in ``conform``."""
     reader = spark.read.format(fmt)
-    frames = {name: conform(reader.load(paths[name]), name) for name in SCHEMAS}
+    frames = {name: conform(reader.load(paths[name]), name, keep) for name in SCHEMAS}
     return Tables(**frames)

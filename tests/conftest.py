@@ -17,6 +17,10 @@ from patronage.sources.tables import (  # noqa: E402
     Tables,
 )
 
+import __spark_entry__ as E  # noqa: E402
+
+#: Queries of the library itself; those on training text have tests of their own.
+CORE_KEYS = sorted(k for k in E.queries() if not k.startswith("op") and k != "pipeline")
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
 

@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from patronage.__main__ import build_parser, run
+from patronage.__main__ import build_parser, main, run
 from patronage.plans.leaderboards import holder_leaderboard
 from patronage.sources.fixture import TEST_NOW, TEST_SNAPSHOT, fixture_contracts, fixture_tables
 
@@ -22,3 +22,10 @@ def test_cli_brand_choice_runs(spark):
     df = run(args, spark)
     assert df.columns[:2] == ["rank", "ens_or_wallet"]
     assert df.count() == 0  # the test data has no Memeland contracts
+
+
+def test_main_runs_in_the_callers_session(spark, capsys):
+    master = spark.sparkContext.master
+    assert main(["fees", "--fixture", SF_SMALL, "--addresses", ";".join(fixture_contracts()), "--now", TEST_NOW]) == 0
+    assert "# RANK" in capsys.readouterr().out
+    assert spark.sparkContext.master == master

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import contract, ts, wallet
 from patronage import operators as ops
 from patronage.functions.addresses import parse_contract_list, parse_contracts
-from patronage.functions.timefuncs import resolve_snapshot
+from patronage.functions.timefuncs import as_ntz, resolve_snapshot, trunc_ntz
 from patronage.operators.checks import DuplicateKeyError, check_inputs
 from patronage.plans.leaderboards import fee_leaderboard, holder_leaderboard, holding_period_leaderboard
 from patronage.plans.params import Params
@@ -334,7 +334,7 @@ def test_manual_collections(spark):
 # ---------------------------------------------------------------- calendar
 
 
-def test_calendar_stops_at_cap(make_tables):
+def test_calendar_has_no_cap(make_tables):
     t = make_tables(
         transfers=[
             _transfer(C1, 1, "1994-01-01 01:00:00", ZERO, wallet(5), 1),
@@ -343,12 +343,9 @@ def test_calendar_stops_at_cap(make_tables):
     )
     p = _params()
     ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot())
-    cal = ops.calendar(ct, p.snapshot())
-    assert cal.count() == 10_000
-    assert one(cal.agg(F.max("time"))) == dt.datetime(1994, 1, 1) + dt.timedelta(days=9999)
+    assert ops.calendar(ct, p.snapshot()).count() == 10_982  # 1994-01-01 .. 2024-01-25
     held = {r["wallet"]: r["days_held"] for r in ops.days_held(ct, p.snapshot()).collect()}
-    # wallet 6 received after the calendar's last day: never counted
-    assert held == {wallet(5): 10_000}
+    assert held == {wallet(5): 10_982, wallet(6): 25}
 
 
 def test_calendar_length(make_tables):
@@ -358,16 +355,103 @@ def test_calendar_length(make_tables):
     assert ops.calendar(ct, p.snapshot()).count() == 25  # Jan 1 .. Jan 25
 
 
-def test_validate_flag_raises_on_duplicate_names(make_tables):
+def _sellers(n):
+    """n sellers, wallet(10 + n) paid most."""
+    return [_sale(wallet(10 + i), C1, HOUR, i, "ETH", "ETH", 1.0, 2.0, 0.1, 0.1 * i) for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("place", [1, 10])
+def test_two_names_keep_the_page_whole(make_tables, place):
+    """A wallet with two names at rank 1 or at the page's end: the page still has
+    ten rows ranked 1..10, names of one wallet in order."""
+    twice = wallet(10 + 13 - place)
+    t = make_tables(sales=_sellers(12), names=[(twice, "bob", "Y"), (twice, "alice", "Y")])
+    rows = fee_leaderboard(t, _params(validate=False)).collect()
+    assert [r["rank"] for r in rows] == list(range(1, 11))
+    shown = [r["ens_or_wallet"] for r in rows]
+    assert shown[place - 1] == "alice.eth"
+    assert ("bob.eth" in shown) == (place == 1)
+
+
+def test_duplicate_names_fail_by_default(make_tables):
+    t = make_tables(sales=_sellers(2), names=[(wallet(11), "alice", "Y"), (wallet(11), "bob", "Y")])
+    with pytest.raises(Exception, match="names in use: key .owner. is not unique"):
+        fee_leaderboard(t, _params()).collect()
+    rows = fee_leaderboard(t, _params(smallest_name=True)).collect()
+    assert [r["ens_or_wallet"] for r in rows] == [wallet(12), "alice.eth"]
+
+
+@pytest.mark.parametrize(
+    "extra,message",
+    [
+        ((APE, "APE"), "hourly token prices"),  # a second price of the token
+        ((contract("f"), "WETH"), "WETH prices"),  # a second token named WETH
+    ],
+)
+def test_duplicate_prices_fail_by_default(make_tables, extra, message):
+    prices = [(ts(HOUR), APE, "APE", 2.0), (ts(HOUR), WETH, "WETH", 4.0), (ts(HOUR), *extra, 8.0)]
+    t = make_tables(sales=[_sale(wallet(5), C1, HOUR, 1, "APE", APE, 1.0, 2.0, 1.0, 0.2)], prices=prices)
+    with pytest.raises(Exception, match=message):
+        fee_leaderboard(t, _params()).collect()
+    p = _params()
+    rows = ops.sale_eth_values(t.sales, t.token_prices, p.addresses, p.snapshot(), unique=False)
+    assert rows.count() == 2  # as plain joins do
+
+
+def test_owner_and_rank_agree_on_ties(make_tables):
     t = make_tables(
-        sales=[_sale(wallet(5), C1, HOUR, 1, "ETH", "ETH", 1.0, 2.0, 0.1, 0.2)],
-        names=[(wallet(5), "alice", "Y"), (wallet(5), "bob", "Y")],
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", wallet(9), wallet(5), 1),
+            _transfer(C1, 1, "2024-01-10 01:00:00", wallet(8), wallet(7), 1),
+        ]
     )
-    assert fee_leaderboard(t, _params()).count() == 2  # as the source query: the row doubles
-    with pytest.raises(DuplicateKeyError):
-        fee_leaderboard(t, _params(validate=True))
-    rows = fee_leaderboard(t, _params(smallest_name=True)).collect()
-    assert [r["ens_or_wallet"] for r in rows] == ["alice.eth"]
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot(), with_rank=True)
+    assert one(ct.filter("rank_desc = 1").select("to_address")) == wallet(7)
+    assert one(ops.current_owner(ct).select("wallet")) == wallet(7)
+
+
+def test_both_readings_of_all_holdings(make_tables):
+    """A token moved as ERC-721 and later as ERC-1155: by default its ERC-721
+    owner stays, ranked together it has none; the balances are the same."""
+    t = make_tables(
+        transfers=[
+            _transfer(C1, 1, "2024-01-10 01:00:00", ZERO, wallet(5), 1),
+            _transfer(C1, 1, "2024-01-11 01:00:00", ZERO, wallet(6), 2, value=3),
+            _transfer(C1, 2, "2024-01-10 01:00:00", ZERO, wallet(7), 3, value=2),
+            _transfer(C1, 2, "2024-01-11 01:00:00", ZERO, wallet(8), 4),
+        ]
+    )
+    p = _params()
+    ct = ops.contract_transfers(t.transfers, p.addresses, p.snapshot(), include_erc1155=True)
+    seen = lambda df: {(r["wallet"], r["token_id"], r["num_held"]) for r in df.collect()}
+    balances = {(wallet(6), "1", 3), (wallet(7), "2", 2)}
+    assert seen(ops.all_holdings(ct)) == balances | {(wallet(5), "1", 1), (wallet(8), "2", 1)}
+    assert seen(ops.all_holdings(ct, kinds_together=True)) == balances | {(wallet(8), "2", 1)}
+
+
+def test_params_reject_empty_page_and_keep_an_iterator():
+    with pytest.raises(ValueError):
+        _params(page_size=0)
+    assert _params(addresses=(a for a in [C1, C2])).addresses == (C1, C2)
+
+
+def test_aware_datetime_is_read_as_utc(spark):
+    zone = dt.timezone(dt.timedelta(hours=5))
+    got = one(spark.range(1).select(as_ntz(dt.datetime(2024, 1, 2, 3, tzinfo=zone))))
+    assert got == dt.datetime(2024, 1, 1, 22)
+
+
+def test_truncation_does_not_depend_on_the_zone(spark):
+    """02:30 on the day New York's clocks skip from 2 to 3."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = as_ntz("2024-03-10 02:30:45")
+        row = spark.range(1).select(*[trunc_ntz(u, at) for u in ("day", "hour", "minute")]).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert list(row) == [ts("2024-03-10 00:00"), ts("2024-03-10 02:00"), ts("2024-03-10 02:30")]
 
 
 def test_contracts_as_messy_dataframe(spark, make_tables):

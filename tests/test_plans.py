@@ -4,7 +4,7 @@ no nested-loop or cartesian join, current owner is an aggregate."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL, contract, wallet
+from conftest import CORE_KEYS, SF_SMALL, contract, wallet
 from test_edges import _sale, _transfer
 from patronage.plans.leaderboards import fee_leaderboard, holder_leaderboard, holding_period_leaderboard
 from patronage.plans.params import Params
@@ -66,8 +66,8 @@ def test_scans_read_only_needed_columns(stored):
 @pytest.mark.parametrize("fn", [fee_leaderboard, holder_leaderboard, holding_period_leaderboard])
 def test_topk_is_one_ordered_limit(stored, fn):
     plan = plan_of(fn(stored, PARAMS))
-    assert "TakeOrderedAndProject(limit=10" in plan
-    assert plan.count("TakeOrderedAndProject") == 1
+    # one over the wallets, one over the few named rows of the page
+    assert plan.count("TakeOrderedAndProject(limit=10") == 2
 
 
 def test_current_owner_is_an_aggregate(stored):
@@ -77,7 +77,7 @@ def test_current_owner_is_an_aggregate(stored):
     assert "Window" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", CORE_KEYS)
 def test_no_pairwise_joins(spark, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct"):
@@ -93,11 +93,80 @@ def test_days_held_windows_are_per_wallet(stored):
         assert "windowspecdefinition(wallet" in line
 
 
-def test_eth_sales_skip_the_price_join(stored):
-    plan = plan_of(ops.sale_eth_values(stored.sales, stored.token_prices, PARAMS.addresses, PARAMS.snapshot()))
-    assert "Union" in plan
-    # the native-ETH branch reads sales without any join above its scan
-    assert plan.count("Join") >= 1
+def test_sales_are_priced_in_one_scan(stored):
+    """Small prices are broadcast, so no sale is shuffled; shuffled, the sales that
+    need no price are spread and no null key gathers rows."""
+    values = lambda: ops.sale_eth_values(
+        stored.sales, stored.token_prices, PARAMS.addresses, PARAMS.snapshot()
+    )
+    spark = stored.sales.sparkSession
+    assert _scans_per_table(plan_of(values()))["sales"] == 1
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert _scans_per_table(plan)["sales"] == 1
+    assert "SortMergeJoin [_hour" in plan and "BroadcastHashJoin [_hour" in plan  # tokens; WETH, one row an hour
+    assert "no currency" in plan
+
+
+BOARDS = [fee_leaderboard, holder_leaderboard, holding_period_leaderboard]
+
+
+@pytest.mark.parametrize("fn", BOARDS)
+@pytest.mark.parametrize("kind", ["text", "list", "catalog", "few", "broadcast", "shuffle"])
+def test_no_contract_lands_in_one_task(spark, stored, monkeypatch, fn, kind):
+    """However the contracts are given: no exchange deals transfers or sales by
+    contract, and names and short tables reach the scan as a literal list."""
+    from patronage.operators import contracts
+    from patronage.sources.catalog import COLLECTIONS, choose_addresses
+
+    some = spark.createDataFrame([(C1,), (C2,)], "address string")
+    if kind == "broadcast":
+        monkeypatch.setattr(contracts.in_contracts, "__defaults__", (None, 1, contracts.BROADCAST_ADDRESSES))
+    if kind == "shuffle":
+        monkeypatch.setattr(contracts.in_contracts, "__defaults__", (None, 1, 1))
+    addresses = {
+        "text": f"{C1};{C2}",
+        "list": [C1, C2],
+        "catalog": choose_addresses(brands=[b for b, _, _ in COLLECTIONS]),
+    }.get(kind, some)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if kind == "shuffle":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        params = Params(addresses=addresses, snapshot_time=PARAMS.snapshot_time, now=PARAMS.now)
+        plan = plan_of(fn(stored, params))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning(nft_" not in plan
+    if kind in ("text", "list", "catalog", "few"):
+        assert "In(nft_address, [" in plan
+    if kind == "catalog":
+        assert len(addresses) == 19
+    if fn is not fee_leaderboard:
+        assert "hashpartitioning(token_id" in plan
+
+
+def test_nineteen_contracts_are_pushed_as_a_list(spark):
+    assert int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")) >= 19
+
+
+def test_day_folders_are_skipped(spark, stored, tmp_path):
+    from pyspark.sql import functions as F
+
+    from patronage.sources.tables import conform
+
+    path = str(tmp_path / "by_day")
+    stored.transfers.withColumn("on_day", F.col("block_timestamp").cast("date")).write.partitionBy("on_day").parquet(path)
+    transfers = conform(spark.read.parquet(path), "transfers", keep=["on_day"])
+    ct = ops.contract_transfers(transfers, PARAMS.addresses, PARAMS.snapshot(), day_column="on_day")
+    check = ops.check_snapshot(transfers, PARAMS.snapshot(), PARAMS.now, day_column="on_day")
+    for df in (ct, check):
+        assert "PartitionFilters: [isnotnull(on_day" in plan_of(df)
+    assert ct.count() == 5
 
 
 def _scans_per_table(plan: str) -> dict:
@@ -112,12 +181,16 @@ def _scans_per_table(plan: str) -> dict:
 @pytest.mark.parametrize(
     "fn,expected",
     [
-        # sales twice: ETH/WETH rows, and the rows that need a price
-        (fee_leaderboard, {"sales": 2, "token_prices": 2, "names": 1}),
-        (holder_leaderboard, {"transfers": 1, "sales": 2, "token_prices": 2, "names": 1}),
-        # transfers once more for days held and once for its calendar start
-        (holding_period_leaderboard, {"transfers": 3, "sales": 2, "token_prices": 2, "names": 1}),
+        # prices twice: by token, and the WETH price by hour
+        (fee_leaderboard, {"sales": 1, "token_prices": 2, "names": 1}),
+        (holder_leaderboard, {"transfers": 1, "sales": 1, "token_prices": 2, "names": 1}),
+        # transfers once more for days held
+        (holding_period_leaderboard, {"transfers": 2, "sales": 1, "token_prices": 2, "names": 1}),
     ],
 )
 def test_no_subtree_computed_twice(stored, fn, expected):
     assert _scans_per_table(plan_of(fn(stored, PARAMS))) == expected
+
+
+def test_holder_plans_hold_no_sets(stored):
+    assert "ObjectHashAggregate" not in plan_of(holder_leaderboard(stored, PARAMS))

@@ -1,6 +1,6 @@
-"""Session helpers: shuffle sizing and the checkpoint folder."""
+"""Session helpers: shuffle sizing and settings left alone."""
 
-from patronage.session import RECOMMENDED_CONF, cluster_conf, ensure_checkpoint_dir
+from patronage.session import RECOMMENDED_CONF, cluster_conf, configure
 
 
 def test_cluster_conf_sizes_partitions():
@@ -13,9 +13,13 @@ def test_cluster_conf_sizes_partitions():
         assert key in conf
 
 
-def test_checkpoint_dir_comes_from_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    got = ensure_checkpoint_dir(spark)
-    if configured:
-        assert got == configured
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_configure_fills_only_unset_settings(spark):
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "1234")
+    spark.conf.unset("spark.sql.parquet.pushdown.inFilterThreshold")
+    try:
+        configure(spark)
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "1234"
+        assert spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold") == "1000"
+    finally:
+        for key, value in RECOMMENDED_CONF.items():
+            spark.conf.set(key, value)
