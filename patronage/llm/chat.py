@@ -126,6 +126,16 @@ def _fixed_turns(values: dict, layout: Layout):
     return F.filter(F.array(*turns), lambda t: (t["text"] != "") | (t["turn"] == last))
 
 
+def _item_turns(items, role: str, text: str, layout: Layout):
+    """Array of turns from an array of structs."""
+    return F.transform(
+        items,
+        lambda x, i: F.struct(
+            i.cast("long").alias("turn"), _role(x[role], layout).alias("role"), _text(x[text]).alias("text")
+        ),
+    )
+
+
 def to_turns(df: DataFrame, conv_id: str = "conv_id", ignore: tuple[str, ...] = (), layouts=LAYOUTS) -> DataFrame:
     """Rows (conv_id, turn, role, text) from a table of any known layout."""
     layout = layout_of(df, (conv_id, *ignore), layouts)
@@ -135,13 +145,8 @@ def to_turns(df: DataFrame, conv_id: str = "conv_id", ignore: tuple[str, ...] =
         return df.select(key, turn.cast("long").alias("turn"), _role(role, layout).alias("role"), _text(text).alias("text"))
     if layout.items:
         array, role, text = layout.items
-        rows = df.select(key, F.posexplode(array).alias("turn", "_item"))
-        return rows.select(
-            "conv_id",
-            F.col("turn").cast("long").alias("turn"),
-            _role(F.col(f"_item.{role}"), layout).alias("role"),
-            _text(F.col(f"_item.{text}")).alias("text"),
-        )
+        rows = df.select(key, F.explode(_item_turns(F.col(array), role, text, layout)).alias("_turn"))
+        return rows.select("conv_id", "_turn.turn", "_turn.role", "_turn.text")
     values = {path: F.col(path) for path in layout.paths}
     rows = df.select(key, F.explode(_fixed_turns(values, layout)).alias("_turn"))
     return rows.select("conv_id", "_turn.turn", "_turn.role", "_turn.text")
@@ -173,12 +178,7 @@ def json_to_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id
         if layout.items:
             array, role, text = layout.items
             items = F.from_json(F.get_json_object(r, f"$.{array}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            found = F.transform(
-                items,
-                lambda x, i, role=role, text=text, layout=layout: F.struct(
-                    i.cast("long").alias("turn"), _role(x[role], layout).alias("role"), _text(x[text]).alias("text")
-                ),
-            )
+            found = _item_turns(items, role, text, layout)
         elif layout.fields:
             found = _fixed_turns({p: F.get_json_object(r, f"$.{p}") for p in layout.paths}, layout)
         else:

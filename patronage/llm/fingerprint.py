@@ -20,6 +20,7 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,10 +109,9 @@ def fingerprint_column(text):
 
 def containment_column(a, b):
     """Containment of one fingerprint column in another."""
-    import pandas as pd
 
     @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(x, y):
         return pd.Series([containment(from_text(p or ""), from_text(q or "")) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)

@@ -148,7 +148,7 @@ class Model:
         return np.clip((rows @ np.array(self.weights) + 1) / 2, 0.0, 1.0)
 
 
-def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 1e-4, steps: int = 500) -> np.ndarray:
+def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 3e-3, steps: int = 500) -> np.ndarray:
     """Weights that minimise the non-negative risk; ``p`` and ``u`` are the mean
     second moments of the features (the first feature is the constant 1)."""
     d = len(p)

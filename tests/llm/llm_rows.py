@@ -1,0 +1,37 @@
+"""Rows for the tests of this folder."""
+
+import pytest
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def documents(spark):
+    """documents rows from (doc_id, text) pairs, with nulls allowed; extra columns
+    whose names clash with those the operators use inside."""
+
+    def build(rows, clashing=False):
+        df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+        if clashing:
+            for c in ("_id", "_text", "h", "h1", "part", "kind", "row", "key", "n", "limits", "node"):
+                df = df.withColumn(c, F.lit(f"extra {c}"))
+        return df
+
+    return build
+
+
+def words(n: int, seed: int = 0) -> list[str]:
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+
+#: Nulls, empty and blank texts, very short and very long ones, repeats, odd characters.
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "x" * 60_000), (6, " ".join(words(20_000, 1))),
+    (7, "same words in the same order here " * 4), (8, "same words in the same order here " * 4),
+    (8, "same words in the same order here " * 4), (None, "no id but a text of some words"), (9, "▁ über   日本語 😀\x00"),
+    (10, "\n" * 50), (11, "repeat " * 500),
+]
