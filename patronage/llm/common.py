@@ -114,16 +114,20 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+_FACTORS = mix(np.arange(300, 364, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_hashes(raw: bytes, words: int = 5) -> np.ndarray:
     """A 64-bit hash for each run of ``words`` words, in order (with repeats). A
-    text with fewer words has one shingle of all its words, without words none."""
+    text with fewer words has one shingle of all its words, without words none.
+    (``words``: 64 at most.)"""
     data = np.frombuffer(raw, dtype=np.uint8)
     starts, ends = word_spans(data)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     each = span_hashes(data, starts, ends)
     k = min(words, len(each))
-    total = np.zeros(len(each) - k + 1, dtype=np.uint64)
+    total = np.full(len(each) - k + 1, np.uint64(k))
     for i in range(k):
-        total = mix(total * _R + each[i : len(each) - k + 1 + i])
-    return total
+        total += each[i : len(each) - k + 1 + i] * _FACTORS[i]
+    return mix(total)

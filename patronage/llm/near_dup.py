@@ -12,14 +12,18 @@ Jaccard similarity).
 BANDS bands of ROWS registers make the buckets: texts of similarity 0.8 share
 no bucket with probability (1 - 0.8^6)^42 < 3e-6.
 
-Exact copies are one node (hash of the text). No group is ever paired in full.
-Within a bucket every text is paired with one leader (the member with the most
-company); over all buckets the pairs are made distinct and compared exactly on
-their shingles; the links give connected components. Only buckets that still hold several components go on: the
-small ones (up to BLOCK texts) pair their members across components, the larger
-ones are split by a second band (a pair of similar texts shares many) and go
-round again. So a large group of copies costs one comparison a text, and no
-bucket, partner or candidate is cut off.
+Exact copies are one node (hash of the text). No group is ever paired in full:
+
+* In every bucket each text is paired with one leader, the member with the most
+  company; the pairs of all buckets are made distinct and compared exactly on
+  their shingles. The links give connected components.
+* Buckets that still hold several components (texts near a group, or texts that
+  share a passage) need the other pairs looked at. Their texts are joined on rare
+  shingles: shingles are put in one order (those of one component first, they
+  cannot link two; then by the number of texts that have them), and two texts of
+  similarity S must share a shingle before the last share S of either. This
+  prefix is exact, so no bucket, partner or candidate is cut off, and a passage
+  that many texts share is too frequent to pair them.
 
 Result: one row per document with ``class_id``, the smallest doc_id of its class.
 
@@ -34,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, cut, digest128, id_column, mix, shingle_hashes, text_column
@@ -43,10 +47,6 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
-#: Members of a bucket that are paired with each other; larger buckets are split.
-BLOCK = 32
-#: Rounds; each splits the large open buckets of the one before by a further band.
-ROUNDS = 4
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -56,7 +56,11 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 
 def weighted_shingles(text: str, words: int = WORDS, power: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (sorted) and their weights."""
-    found, counts = np.unique(shingle_hashes(text.encode("utf-8"), words), return_counts=True)
+    every = shingle_hashes(text.encode("utf-8"), words)
+    if not power:
+        found = np.unique(every)
+        return found, np.ones(len(found))
+    found, counts = np.unique(every, return_counts=True)
     return found, counts.astype(np.float64) ** power
 
 
@@ -66,31 +70,32 @@ def prob_minhash(shingles: np.ndarray, weights: np.ndarray, registers: int = REG
     winner = np.zeros(registers, dtype=np.uint64)
     seed, rate, now, number = shingles, weights, np.zeros(len(shingles)), 1
     while len(seed):
-        block = int(np.clip(2 * registers // len(seed), 1, 512))  # arrivals drawn at once
+        block = int(np.clip(8 * registers // len(seed), 1, 1024))  # arrivals drawn at once: enough to fill all registers
         draws = np.arange(number, number + block, dtype=np.uint64)
         number += block
         random = mix(seed[:, None] + draws[None, :] * _STEP)
-        gaps = -np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
+        gaps = np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -rate[:, None]
         times = now[:, None] + np.cumsum(gaps, axis=1)
         places = (mix(random) >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)
         flat_t, flat_p = times.ravel(), places.ravel().astype(np.int64)
-        better = np.flatnonzero(flat_t < first[flat_p])
-        better = better[np.argsort(-flat_t[better], kind="stable")]  # the earliest is written last
-        first[flat_p[better]] = flat_t[better]
-        winner[flat_p[better]] = seed[better // block]
+        before = first.copy()
+        np.minimum.at(first, flat_p, flat_t)
+        won = np.flatnonzero((flat_t == first[flat_p]) & (flat_t < before[flat_p]))
+        winner[flat_p[won]] = seed[won // block]
         now = times[:, -1]
         going = now < first.max()  # early termination
         seed, rate, now = seed[going], rate[going], now[going]
     return winner
 
 
+_ROW_FACTORS = mix(np.arange(100, 100 + REGISTERS, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
+_BAND_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
+
+
 def band_keys(winner: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, different bands never alike."""
-    grid = winner.reshape(BANDS, ROWS)
-    keys = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
-    for i in range(ROWS):
-        keys = mix(keys * _STEP + grid[:, i])
-    return keys.view(np.int64)
+    mixed = mix(winner.reshape(BANDS, ROWS)) * _ROW_FACTORS
+    return mix(mixed.sum(axis=1, dtype=np.uint64) + _BAND_SEEDS).view(np.int64)
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -211,64 +216,86 @@ def _shared(members: DataFrame) -> DataFrame:
     return cut(members.join(buckets, "key").select("_id", "key", "n"))
 
 
-def _opened(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Of ``members`` those in buckets with several components: (_id, key, n, comp,
-    leader, leader_comp). The leader is the member with the most company over all
-    its buckets: the text that the others were copied from, if there is one."""
-    degree = members.groupBy(F.struct("_id").alias("i")).agg(F.sum("n").alias("degree")).select("i._id", "degree")
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """(_id, leader) for every member of every bucket. The leader is the member with
+    the most company over all its buckets: the text that the others were copied
+    from, if there is one."""
+    company = members.groupBy(F.struct("_id").alias("i")).agg(F.sum("n").alias("company")).select("i._id", "company")
+    known = cut(members.join(company, "_id").select("_id", "key", "company"))
+    leaders = (
+        known.groupBy(F.struct("key").alias("k"))
+        .agg(F.max(F.struct("company", (-F.col("_id")).alias("i"))).alias("top"))
+        .select("k.key", (-F.col("top.i")).alias("leader"))
+    )
+    return known.join(leaders, "key").select("_id", "leader")
+
+
+def _in_open_buckets(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(_id, comp) of the members of buckets with several components."""
     if comps is None:
-        degree = degree.withColumn("comp", F.col("_id"))
+        known = members.withColumn("comp", F.col("_id"))
     else:
-        degree = degree.join(comps, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
-    known = cut(members.join(degree, "_id"))
-    buckets = (
-        known.groupBy(F.struct("key").alias("k"))
-        .agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.max(F.struct("degree", (-F.col("_id")).alias("i"), "comp")).alias("top"),
-        )
+        known = members.join(comps, "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
+    known = cut(known.select("_id", "key", "comp"))
+    buckets = known.groupBy(F.struct("key").alias("k")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return known.join(buckets.where("low < high").select("k.key"), "key").groupBy("_id").agg(F.first("comp").alias("comp"))
+
+
+def rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, power: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (_id, comp) of different components that share a
+    shingle of their prefixes: all pairs that can reach the similarity."""
+
+    def run(batches):
+        for b in batches:
+            sets = [weighted_shingles(t.as_py(), power=power) for t in b.column("_text")]
+            sizes = [len(s[0]) for s in sets]
+            if sum(sizes):
+                at = np.repeat(np.arange(len(sets)), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("_id").take(pa.array(at)), b.column("comp").take(pa.array(at)),
+                        pa.array(np.repeat(sizes, sizes).astype(np.int64)),
+                        pa.array(np.concatenate([s[0] for s in sets]).view(np.int64)),
+                        pa.array(np.concatenate([s[1] / s[1].sum() for s in sets if len(s[1])])),
+                    ],
+                    ["_id", "comp", "size", "shingle", "mass"],
+                )
+
+    rows = texts.join(nodes, "_id").select("_id", "comp", "_text")
+    rows = rows.mapInArrow(run, "_id long, comp long, size long, shingle long, mass double")
+    shared = (
+        rows.groupBy(F.struct("shingle").alias("s"))
+        .agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high")
-        .select("k.key", (-F.col("top.i")).alias("leader"), F.col("top.comp").alias("leader_comp"))
-    )
-    return known.join(buckets, "key").select("_id", "key", "n", "comp", "leader", "leader_comp")
+        .select("s.shingle", "n")
+    )
+    own = Window.partitionBy("_id")
+    onward = own.orderBy(F.desc("n"), F.desc("shingle"))  # from the last shingle back to this one
+    prefix = cut(
+        rows.join(shared, "shingle")
+        .withColumns({"rest": F.sum("mass").over(onward), "left": F.row_number().over(onward)})
+        .where(F.col("rest") >= similarity - 1e-9)
+        .select("_id", "comp", "size", "shingle", "left")
+    )
+    pairs = prefix.alias("x").join(prefix.alias("y"), "shingle").where("x.comp < y.comp")
+    if power == 0:  # sets: the overlap that the sizes ask for must fit into what is left of both
+        most = F.least("x.left", "y.left") * (1 + similarity)
+        pairs = pairs.where(most >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    return pairs.select(*_pairs(F.col("x._id"), F.col("y._id"))).distinct()
 
 
 def near_duplicate_links(
     nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, power: float = 0.0
 ) -> DataFrame | None:
     """(_id, comp) of the nodes (_id, keys) that are linked to another; None: no links."""
-    level = _shared(nodes.select("_id", F.explode("keys").alias("key")))
-    texts = cut(texts.join(level.select("_id").distinct(), "_id"))  # all texts that any round compares
-    comps = links = None
-    for number in range(ROUNDS):
-        opened = _opened(level, comps)
-        if number:
-            opened = cut(opened)
-            small = opened.where(F.col("n") <= BLOCK).select("key", "_id", "comp")
-            across = small.alias("x").join(small.alias("y"), "key").where("x.comp < y.comp")
-            pairs = opened.where((F.col("n") > BLOCK) & (F.col("comp") != F.col("leader_comp")))
-            pairs = pairs.select(*_pairs(F.col("_id"), F.col("leader"))).union(
-                across.select(*_pairs(F.col("x._id"), F.col("y._id")))
-            )
-        else:
-            pairs = opened.where("comp <> leader_comp").select(*_pairs(F.col("_id"), F.col("leader")))
-        found = cut(verified(cut(pairs.distinct()), texts, similarity, power))
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            comps = components(links)
-        if number:
-            large = opened.where(F.col("n") > BLOCK).select("_id", "key")
-            if large.isEmpty():
-                break
-            # split by the other bands of each member
-            level = _shared(
-                large.withColumnRenamed("key", "outer")
-                .join(nodes, "_id")
-                .select("_id", "outer", F.explode("keys").alias("inner"))
-                .where("outer <> inner")
-                .select("_id", F.xxhash64("outer", "inner").alias("key"))
-            )
-    return comps
+    members = _shared(nodes.select("_id", F.explode("keys").alias("key")))
+    texts = cut(texts.join(members.select("_id").distinct(), "_id"))  # all texts that are compared
+    pairs = _with_leaders(members).where("_id <> leader").select(*_pairs(F.col("_id"), F.col("leader"))).distinct()
+    links = cut(verified(pairs, texts, similarity, power))
+    comps = None if links.isEmpty() else components(links)
+    rest = rare_shingle_pairs(cut(_in_open_buckets(members, comps)), texts, similarity, power)
+    more = cut(verified(rest, texts, similarity, power))
+    return comps if more.isEmpty() else components(links.union(more))
 
 
 def classes(
