@@ -9,12 +9,11 @@ so a repeated window always shows up at its sample. Each step is a Spark
 shuffle of compressed arrays, sorted on disk by Spark; a task holds one
 partition of one of them:
 
-1. samples: per text the sample positions. Samples found in two texts of one
+1. samples: per text the samples in order. Samples found in two texts of one
    task are known to repeat; of those a task sends one marker, of the rest the
-   hash and the place. Dealt by hash, samples seen twice or marked are kept.
+   hash and the number. Dealt by hash, samples seen twice or marked are kept.
 2. suffix tuples: the kept samples meet their texts (both dealt by document); a
-   tuple is the sample with the bytes that a window around it can reach on both
-   sides. Of equal tuples in one task only the smallest document's goes on, the
+   tuple is the sample with the bytes that its windows reach on both sides. Of equal tuples in one task only the smallest document's goes on, the
    others are settled on the spot.
 3. windows: tuples dealt by sample; for each of the places that a window can
    have around its sample the windows are sorted, and those with a smaller
@@ -55,12 +54,14 @@ _PLACE = np.uint64((1 << 20) - 1)
 # --- samples ---------------------------------------------------------------------
 
 
-def samples(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the samples of all windows, by place."""
+def samples(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, first, last) of the samples of all windows, by place; the
+    windows whose sample it is start at first..last."""
     n = len(data)
     if n < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    places, hashes = [], []
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
+    found = []
     for s in range(0, n - WINDOW + 1, _SEGMENT):  # windows that start in one segment
         part = data[s : s + _SEGMENT + WINDOW - 1]
         m = len(part) - KMER + 1
@@ -76,18 +77,19 @@ def samples(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if width < REACH + 1:
             least = np.minimum(least[: width - REACH - 1], least[REACH + 1 - width :])
         at = (least & _PLACE).astype(np.int64)
-        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-        places.append(at + s)
-        hashes.append(each[at])
-    if len(places) == 1:
-        return places[0], hashes[0]
-    where, first = np.unique(np.concatenate(places), return_index=True)
-    return where, np.concatenate(hashes)[first]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        last = np.append(first[1:], len(at)) - 1
+        found.append((at[first] + s, each[at[first]], first + s, last + s))
+    if len(found) == 1:
+        return found[0]
+    places, hashes, first, last = (np.concatenate(c) for c in zip(*found))
+    starts = _runs(places)  # the last sample of a segment may be the first of the next
+    return places[starts], hashes[starts], first[starts], np.maximum.reduceat(last, starts)
 
 
 # --- arrays in rows ----------------------------------------------------------------
 
-_PACK = zstandard.ZstdCompressor(level=1)
+_PACK = zstandard.ZstdCompressor(level=3)
 _UNPACK = zstandard.ZstdDecompressor()
 
 
@@ -159,11 +161,19 @@ def _spread(per_run: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 # --- step 1 --------------------------------------------------------------------------
 
 
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, low, high): the part that a hash is dealt to and 40 more bits of it.
+    Parts grow in number with the data, so within one the bits go on sufficing;
+    two samples taken for one only cost a comparison in step 3."""
+    rest = hashes // np.uint64(parts)
+    return (hashes % np.uint64(parts)).astype(np.int64), rest.astype("<u4"), (rest >> np.uint64(32)).astype("u1")
+
+
 def _send_samples(parts: int):
     def flush(held):
-        hashes = np.concatenate([h for h, _, _ in held])
-        rids = np.concatenate([np.full(len(h), r, dtype=np.int64) for h, _, r in held])
-        places = np.concatenate([p for _, p, _ in held]).astype("<u4")
+        hashes = np.concatenate([h for h, _ in held])
+        rids = np.concatenate([np.full(len(h), r, dtype=np.int64) for h, r in held])
+        numbers = np.concatenate([np.arange(len(h), dtype="<u4") for h, _ in held])
         order = np.argsort(hashes, kind="stable")  # rows of a hash stay in the order of texts
         starts = _runs(hashes[order])
         if not len(starts):
@@ -173,13 +183,14 @@ def _send_samples(parts: int):
         known = np.zeros(len(hashes), dtype=bool)
         known[order] = _spread(twice, starts, len(order))
         out = []
-        marked = hashes[order][starts[twice]]
-        for part, blob in _by_part((marked % np.uint64(parts)).astype(np.int64), marked):
-            out.append((part, MARKER, blob))
-        for part, blob in _by_part((hashes[~known] % np.uint64(parts)).astype(np.int64), hashes[~known], rids[~known], places[~known]):
-            out.append((part, ARRAY, blob))
-        for part, blob in _by_part(rids[known] % parts, rids[known], places[known]):
-            out.append((part, READY, blob))
+        part, low, high = _dealt(hashes[order][starts[twice]], parts)
+        for p, blob in _by_part(part, low, high):
+            out.append((p, MARKER, blob))
+        part, low, high = _dealt(hashes[~known], parts)
+        for p, blob in _by_part(part, low, high, rids[~known], numbers[~known]):
+            out.append((p, ARRAY, blob))
+        for p, blob in _by_part(rids[known] % parts, rids[known], numbers[known]):
+            out.append((p, READY, blob))
         for i in range(0, len(out), 64):
             yield _batch(out[i : i + 64])
 
@@ -188,9 +199,9 @@ def _send_samples(parts: int):
         for b in batches:
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text")):
                 raw = text.as_py().encode()
-                places, hashes = samples(np.frombuffer(raw, dtype=np.uint8))
-                if len(places):
-                    held.append((hashes, places, rid))
+                hashes = samples(np.frombuffer(raw, dtype=np.uint8))[1]
+                if len(hashes):
+                    held.append((hashes, rid))
                     size += len(raw)
                 if size >= CHUNK_BYTES:
                     yield from flush(held)
@@ -210,8 +221,11 @@ def _keep_repeated(parts: int):
                     yield _batch([(part, ARRAY, payload)])
                 else:
                     blobs[kind].append(payload)
-        hashes, rids, places = _columns(blobs[ARRAY], ("<u8", 1), ("<i8", 1), ("<u4", 1))
-        marked = np.unique(_columns(blobs[MARKER], ("<u8", 1))[0])
+        bits = (("<u4", 1), ("u1", 1))
+        low, high, rids, numbers = _columns(blobs[ARRAY], *bits, ("<i8", 1), ("<u4", 1))
+        hashes = low | high.astype(np.uint64) << np.uint64(32)
+        low, high = _columns(blobs[MARKER], *bits)
+        marked = np.unique(low | high.astype(np.uint64) << np.uint64(32))
         if not len(hashes):
             return
         order = np.argsort(hashes, kind="stable")
@@ -224,8 +238,8 @@ def _keep_repeated(parts: int):
             again |= marked[at] == own
         keep = np.zeros(len(hashes), dtype=bool)
         keep[order] = _spread(again, starts, len(order))
-        rids, places = rids[keep], places[keep]
-        for part, blob in _by_part(rids % parts, rids, places):
+        rids, numbers = rids[keep], numbers[keep]
+        for part, blob in _by_part(rids % parts, rids, numbers):
             yield _batch([(part, ARRAY, blob)])
 
     return run
@@ -297,17 +311,20 @@ def _cut_tuples(parts: int):
             for rid, own, payload in zip(*(rows.column(c).to_pylist() for c in ("rid", "id", "payload"))):
                 if rid in copies:
                     continue
-                places = np.unique(lookup(rid)[0]).astype(np.int64)
-                if not len(places):
+                kept = np.unique(lookup(rid)[0])
+                if not len(kept):
                     continue
                 raw = _decompress(payload)
                 data = np.zeros(len(raw) + 2 * REACH, dtype=np.uint8)
                 data[REACH : REACH + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+                places, _, first, last = (c[kept] for c in samples(data[REACH : REACH + len(raw)]))
                 for i in range(0, len(places), CHUNK_TUPLES):  # a very long text fills several chunks
                     at = places[i : i + CHUNK_TUPLES]
-                    low = np.maximum(0, REACH - at)
-                    high = np.minimum(TUPLE, len(raw) - at + REACH)
-                    held.append((data[at[:, None] + around], rid, own, at, low, high))
+                    low = first[i : i + CHUNK_TUPLES] - at + REACH
+                    high = last[i : i + CHUNK_TUPLES] - at + REACH + WINDOW
+                    bytes_around = data[at[:, None] + around]
+                    bytes_around[(around < low[:, None]) | (around >= high[:, None])] = 0
+                    held.append((bytes_around, rid, own, at, low, high))
                     size += len(at)
                     if size >= CHUNK_TUPLES:
                         yield from flush(held)
