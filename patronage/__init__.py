@@ -6,7 +6,7 @@ owner, balances, daily change, days held, leaderboards) is a function from
 DataFrames to a DataFrame built on Spark's own joins, windows and aggregates.
 """
 
-from patronage.sources.tables import Tables
+from patronage.sources.tables import Tables, load_tables
 from patronage.plans.params import Params
 from patronage.plans.leaderboards import (
     fee_leaderboard,
@@ -16,6 +16,7 @@ from patronage.plans.leaderboards import (
 
 __all__ = [
     "Tables",
+    "load_tables",
     "Params",
     "fee_leaderboard",
     "holder_leaderboard",
