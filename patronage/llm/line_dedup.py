@@ -53,16 +53,17 @@ def line_rows(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> tuple[
 def drop_positions(lines: DataFrame, min_docs: int) -> DataFrame:
     """Positions to drop by document: all lines of a key found in at least
     ``min_docs`` documents, but for those of its smallest document."""
-    keys = lines.groupBy("h1", "h2")
+    # grouped by a struct, so that the join deals both its sides anew and can split a heavy key
+    key = F.struct("h1", "h2").alias("_h")
     if min_docs <= 2:
-        keys = keys.agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+        keys = lines.groupBy(key).agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
     else:
         keys = (
-            lines.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("_one")).groupBy("h1", "h2")
+            lines.groupBy(key, "_id").agg(F.lit(1).alias("_one")).groupBy("_h")
             .agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
         )
     return (
-        lines.join(keys.select("h1", "h2", "_first"), ["h1", "h2"])
+        lines.join(keys.select("_h.h1", "_h.h2", "_first"), ["h1", "h2"])
         .where("_id > _first")
         .groupBy("_id", "_version")
         .agg(F.collect_set("_pos").alias("_drop"))
