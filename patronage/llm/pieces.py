@@ -24,19 +24,22 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import slices, text_column
 
 MARK = "▁"
 #: Stretches whose ids are remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: An unknown character scores this much below the lowest piece.
 UNKNOWN = 10.0
+NEVER = float("-inf")
+SCORE, ID = 0, 1
 
 _MODELS: dict[str, "Pieces"] = {}
 
@@ -62,6 +65,14 @@ class Pieces:
                 self.pieces[piece] = (i, sp.get_score(i))
                 self.surface.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.pieces))
+        #: The pieces as a tree: a node has its children by character, its score
+        #: (NEVER where no piece ends) at SCORE and its id at ID.
+        self.root: dict = {}
+        for piece, (i, score) in self.pieces.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {SCORE: NEVER, ID: -1})
+            node[SCORE], node[ID] = score, i
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         inner = {c for p in self.pieces if len(p) > 1 for c in p}
         alone = "" if "\n" in inner else "\n"
@@ -73,51 +84,76 @@ class Pieces:
 
     def viterbi(self, text: str):
         """Yield the ids of ``text`` in runs, each as soon as it is final."""
-        n, longest, pieces = len(text), self.longest, self.pieces
-        score, back = {0: 0.0}, {0: (0, None)}  # by boundary: best score, (boundary before, piece id)
-        done = 0
-        for end in range(1, n + 1):
-            best, how = None, None
-            for start in range(max(done, end - longest), end):
-                at = score.get(start)
-                if at is None:
-                    continue
-                found = pieces.get(text[start:end])
-                if found is not None:
-                    if best is None or at + found[1] > best:
-                        best, how = at + found[1], (start, found[0])
-                elif end - start == 1 and (best is None or at + self.unknown > best):
-                    best, how = at + self.unknown, (start, None)
-            score[end], back[end] = best, how
-            if end % longest == 0 or end == n:
-                meet = self._meeting(back, range(max(done, end - longest + 1), end + 1) if end < n else (n,))
-                if meet > done:
-                    yield self._path(text, back, done, meet)
-                    for b in [b for b in back if b < meet]:
-                        del back[b], score[b]
-                    done = meet
+        root, unknown, longest, n = self.root, self.unknown, self.longest, len(text)
+        done = 0  # boundary before which all is handed out; the lists below begin there
+        none = min(n, 2 * longest) + 1
+        score, back, ids = [NEVER] * none, [0] * none, [-1] * none  # by boundary: best score, boundary before, piece between
+        score[0] = 0.0
+        for start in range(n):
+            at = start - done
+            base, k = score[at], at + 1
+            if len(score) <= at + longest and len(score) <= n - done:  # no common boundary for long: a wider window
+                score += [NEVER] * longest
+                back += [0] * longest
+                ids += [-1] * longest
+            node = root.get(text[start])
+            if (node is None or node[ID] < 0) and base + unknown > score[k]:  # no piece for this character: bytes
+                score[k], back[k], ids[k] = base + unknown, at, -1
+            node = root
+            for c in text[start : start + longest]:
+                node = node.get(c)
+                if node is None:  # no piece begins like this
+                    break
+                best = base + node[SCORE]
+                if best > score[k]:
+                    score[k] = best
+                    back[k] = at
+                    ids[k] = node[ID]
+                k += 1
+            if start + 1 == n:
+                meet = at + 1
+            elif (at + 1) % longest:
+                continue
+            else:  # the paths that go on end at a boundary after this character
+                meet = self._meeting(back, [k for k in range(at + 1, len(score)) if score[k] > NEVER])
+            if meet:
+                yield self._path(text[done : done + meet], back, ids, meet)
+                done += meet
+                if done < n:
+                    score = [x - score[meet] for x in score[meet:]] + [NEVER] * meet
+                    back, ids = [x - meet for x in back[meet:]] + [0] * meet, ids[meet:] + [-1] * meet
 
     @staticmethod
-    def _meeting(back: dict, ends) -> int:
+    def _meeting(back: list[int], ends) -> int:
         """The last boundary that the paths to all ``ends`` run through."""
         live = set(ends)
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(back[last][0])
+            live.add(back[last])
         return live.pop()
 
-    def _path(self, text: str, back: dict, done: int, end: int) -> list[int]:
+    def _path(self, text: str, back: list[int], ids: list[int], end: int) -> list[int]:
         out = []
-        while end > done:
-            start, i = back[end]
-            if i is None:
+        while end:
+            start = back[end]
+            if ids[end] < 0:
                 out.extend(self.bytes[b] for b in reversed(text[start:end].encode()))
             else:
-                out.append(i)
+                out.append(ids[end])
             end = start
         return out[::-1]
 
+    def _remembered(self, stretch: str) -> tuple[int, ...]:
+        ids = self.memory.get(stretch)
+        if ids is None:
+            ids = tuple(i for run in self.viterbi(stretch) for i in run)
+            if len(stretch) <= 64:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[stretch] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -127,15 +163,11 @@ class Pieces:
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
                 out += literal
-            for s in self.stretch.findall(part.replace(" ", MARK)):
-                ids = memory.get(s)
-                if ids is None:
-                    ids = tuple(i for run in self.viterbi(s) for i in run)
-                    if len(s) <= 64:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[s] = ids
-                out += ids
+            stretches = self.stretch.findall(part.replace(" ", MARK))
+            found = [memory.get(s) for s in stretches]
+            if None in found:
+                found = [self._remembered(s) if f is None else f for s, f in zip(stretches, found)]
+            out += chain.from_iterable(found)
         return out
 
     def decode(self, ids) -> str:
@@ -177,7 +209,7 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         m = model(path)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text"):
                 text = t.as_py()
