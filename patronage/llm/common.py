@@ -60,6 +60,14 @@ def replace_column(df: DataFrame, values: dict) -> DataFrame:
     return df.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into short ones, so that a task holds few texts (and what
+    is made of them) as Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 # --- 64-bit hashing in numpy ------------------------------------------------
 
 _R = np.uint64(0x9E3779B97F4A7C15)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, mix, shuffle_partitions, span_hashes, text_column
+from .common import id_column, mix, shuffle_partitions, slices, span_hashes, text_column
 
 MINIMUM, AVERAGE, MAXIMUM = 16, 64, 256
 STRICT_BITS, LOOSE_BITS = 8, 4
@@ -138,7 +138,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def place(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("_id").to_numpy(zero_copy_only=False)
             part = np.searchsorted(lows, ids, side="right") - 1
             extra = np.array([i for i, x in enumerate(ids.tolist()) if x in guards], dtype=np.int64)
@@ -168,7 +168,7 @@ def edit_digest(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last = None  # (part, guard, doc_id, text, chunks) of the row before
-        for b in batches:
+        for b in slices(batches):
             out = []
             for part, guard, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("_part", "_guard", "doc_id", "text"))):
                 if guard and last is not None and last[1] and last[0] == part:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # --- reading a page into blocks ---------------------------------------------------
 
 _TAG = re.compile(
@@ -107,7 +109,8 @@ def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # (name, mark, number of the element)
     parts: list[str] = []
-    state = {"link": 0, "linked": 0, "number": 0, "unseen": 0}
+    unseen: list[tuple[str, int]] = []  # open elements whose text does not show, with the depth they are at
+    state = {"link": 0, "linked": 0, "number": 0}
 
     def flush() -> None:
         if parts:
@@ -118,7 +121,7 @@ def read_blocks(page: str) -> list[Block]:
         state["linked"] = 0
 
     def add(text: str) -> None:
-        if text and not state["unseen"]:
+        if text and not unseen:
             parts.append(text)
             if state["link"]:
                 state["linked"] += len(text)
@@ -152,19 +155,22 @@ def read_blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in UNSEEN:
-            if closing:
-                state["unseen"] = max(0, state["unseen"] - 1)
-            elif not attributes.endswith("/"):
-                state["unseen"] += 1
+            if not closing:
+                if not attributes.endswith("/"):
+                    unseen.append((name, len(stack)))
+            elif any(x[0] == name for x in unseen):  # ends what is open inside, too
+                while unseen.pop()[0] != name:
+                    pass
             continue
         if name == "body" and not closing:
-            state["unseen"] = 0  # an open head ends here
+            unseen.clear()  # an open head ends here
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if any(x[0] in BLOCKS for x in stack[i:]):
                         flush()
                     del stack[i:]
+                    unseen[:] = [x for x in unseen if x[1] <= i]
                     break
             if name in BLOCKS:
                 state["link"] = 0
@@ -315,7 +321,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     rows = pages.select("page_id", "url", F.col(f"`{column}`").cast("string").alias("_page"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(x.as_py()) for x in b.column("_page")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

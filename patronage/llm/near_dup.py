@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, digest128, id_column, mix, shingle_hashes, text_column
+from .common import NULL_ID, cut, digest128, id_column, mix, shingle_hashes, slices, text_column
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, power: float) -> DataFrame
     ).select("_id", "_h.h1", "_h.h2", "_text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             seen: dict[int, list[int]] = {}  # a copy in the same batch is not sketched again
             out = []
             for h, t in zip(b.column("h1").to_pylist(), b.column("_text")):
@@ -167,7 +167,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, power: float
                 found = known[t] = weighted_shingles(t, power=power)
             return found
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x, y in zip(batch.column("text_a"), batch.column("text_b")):
                 p, q = of(x.as_py()), of(y.as_py())
@@ -246,7 +246,7 @@ def rare_shingle_pairs(nodes: DataFrame, texts: DataFrame, similarity: float, po
     shingle of their prefixes: all pairs that can reach the similarity."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             sets = [weighted_shingles(t.as_py(), power=power) for t in b.column("_text")]
             sizes = [len(s[0]) for s in sets]
             if sum(sizes):

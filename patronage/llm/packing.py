@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_column
+from .common import cut, slices, text_column
 
 SHARD = 16_384
 NODES = 20_000
@@ -90,7 +90,7 @@ def token_pieces(
 
     def run(batches):
         encode, number = encoder(path), TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in slices(batches):
             at, out, numbers, blobs = [], [], [], []
             for i, t in enumerate(b.column("text")):
                 ids = np.array([*encode(t.as_py()), end_id], dtype="<u4")

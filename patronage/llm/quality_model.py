@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shingle_hashes, span_hashes, text_column, word_spans
+from .common import shingle_hashes, slices, span_hashes, text_column, word_spans
 
 # --- features -----------------------------------------------------------------
 
@@ -218,7 +219,7 @@ def fit(
 
 
 def _vectors(batches):
-    for b in batches:
+    for b in slices(batches):
         x = [features(t.as_py()).astype("<f4").tobytes() for t in b.column("_text")]
         yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(x, pa.binary())], ["_id", "_x"])
 
@@ -251,31 +252,26 @@ def _moments(batches):
 # --- scoring --------------------------------------------------------------------
 
 
-def score_column(model: Model, text):
-    """The score (0 to 1) of a text column."""
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` in its own columns plus ``quality_score`` (0 to 1)."""
 
-        if not len(texts):
-            return pd.Series([], dtype="float64")
-        return pd.Series(model.score(np.stack([features(t) for t in texts])))
+    def run(batches):
+        for b in slices(batches):
+            scores = model.score(np.stack([features(t.as_py()) for t in b.column(text)]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "quality_score"])
 
-    return score(text)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``."""
-    model = fit(docs, labels)
-    return docs.where(score_column(model, text_column()) >= threshold)
+    return with_scores(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).drop("quality_score")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
-    model = fit(docs, labels)
-    scored = docs.select("doc_id", score_column(model, text_column()).alias("score"))
+    scored = with_scores(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select(
-        "doc_id", held_out_column(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", held_out_column(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes, text_column, word_spans
+from .common import cut, shingle_hashes, slices, text_column, word_spans
 
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -95,7 +95,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [measure(x.as_py()) for x in b.column("text")]
             columns = [b.column(c) for c in ("doc_id", "lang", "source")]
             columns += [pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))]
@@ -174,14 +174,14 @@ def limits(sketch: DataFrame, min_group: int) -> DataFrame:
         .agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(r) for r in RULES])
         .select("level", "lang", "source", "n", F.struct(*RULES).alias("limit"))
     )
-    own = wide.where("level = 0").select("lang", "source", "n", "limit", F.lit(2).alias("top"))
+    own = wide.where("level = 0").select("lang", "source", "n", "limit")
     of_lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.col("n").alias("n1"), F.col("limit").alias("limit1"))
-    of_all = wide.where("level = 2").select(F.col("level").alias("top"), F.col("limit").alias("limit2"))
-    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").join(of_all, "top", "left")
+    of_all = wide.where("level = 2").select("limit").scalar()  # one row
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
     chosen = (
         F.when(F.col("n") >= min_group, F.col("limit"))
         .when(F.col("n1") >= min_group, F.col("limit1"))
-        .otherwise(F.col("limit2"))
+        .otherwise(of_all)
     )
     return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), chosen.alias("limits"))
 

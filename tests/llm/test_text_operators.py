@@ -183,6 +183,11 @@ def test_page_without_marks():
     assert html_text.main_text(page).split("\n") == [*text[:2], "Short.", *text[2:]]
 
 
+def test_open_form_controls_end_with_their_block():
+    page = "<form><select><option>A<option>B</select><button>Go</form><p>The text of the page goes on after the form, as it should.</p>"
+    assert html_text.main_text(page) == "The text of the page goes on after the form, as it should."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<p a='x", "<script>never closed", "</p></div>", "<p>" * 3000])
 def test_broken_pages(page):
     assert html_text.main_text(page) == ""
