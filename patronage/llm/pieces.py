@@ -97,19 +97,22 @@ class Pieces:
                 back += [0] * longest
                 ids += [-1] * longest
             node = root.get(text[start])
-            if (node is None or node[ID] < 0) and base + unknown > score[k]:  # no piece for this character: bytes
-                score[k], back[k], ids[k] = base + unknown, at, -1
-            node = root
-            for c in text[start : start + longest]:
-                node = node.get(c)
-                if node is None:  # no piece begins like this
-                    break
-                best = base + node[SCORE]
-                if best > score[k]:
-                    score[k] = best
-                    back[k] = at
-                    ids[k] = node[ID]
-                k += 1
+            best = base + (unknown if node is None or node[ID] < 0 else node[SCORE])  # no piece for it: bytes
+            if best > score[k]:
+                score[k] = best
+                back[k] = at
+                ids[k] = -1 if node is None else node[ID]
+            if node is not None:
+                for c in text[start + 1 : start + longest]:
+                    node = node.get(c)
+                    if node is None:  # no piece begins like this
+                        break
+                    k += 1
+                    best = base + node[SCORE]
+                    if best > score[k]:
+                        score[k] = best
+                        back[k] = at
+                        ids[k] = node[ID]
             if start + 1 == n:
                 meet = at + 1
             elif (at + 1) % longest:
@@ -147,7 +150,7 @@ class Pieces:
     def _remembered(self, stretch: str) -> tuple[int, ...]:
         ids = self.memory.get(stretch)
         if ids is None:
-            ids = tuple(i for run in self.viterbi(stretch) for i in run)
+            ids = tuple(chain.from_iterable(self.viterbi(stretch)))
             if len(stretch) <= 64:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
