@@ -45,8 +45,8 @@ KMER = 16
 REACH = WINDOW - KMER  # bytes that a window can have on either side of its sample
 TUPLE = KMER + 2 * REACH
 #: Bytes of text whose samples a task holds at a time, and tuples held before they are sent.
-CHUNK_BYTES = 32 << 20
-CHUNK_TUPLES = 150_000
+CHUNK_BYTES = 16 << 20
+CHUNK_TUPLES = 50_000
 _SEGMENT = (1 << 20) - 2 * WINDOW
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -279,13 +279,21 @@ def _meet(batches, *kinds):
         yield lookup, copies, b.take(pa.array(texts))
 
 
+def _row_hashes(rows: np.ndarray, block: int = 4096) -> np.ndarray:
+    """A 64-bit hash of each row of bytes, some rows at a time."""
+    out = np.empty(len(rows), dtype=np.uint64)
+    for i in range(0, len(rows), block):
+        out[i : i + block] = (_BYTE[rows[i : i + block]] * powers(rows.shape[1])).sum(axis=1, dtype=np.uint64)
+    return out
+
+
 def _cut_tuples(parts: int):
     def flush(held):
         tuples = np.concatenate([h[0] for h in held])
         rids, ids = (np.concatenate([np.full(len(h[0]), h[k], dtype=np.int64) for h in held]) for k in (1, 2))
         places = np.concatenate([h[3] for h in held]).astype("<u4")
         low, high = (np.concatenate([h[k] for h in held]).astype("u1") for k in (4, 5))
-        key = mix((_BYTE[tuples] * powers(TUPLE)).sum(axis=1, dtype=np.uint64) + low * np.uint64(256) + high)
+        key = mix(_row_hashes(tuples) + low * np.uint64(256) + high)
         order = np.lexsort((ids, key))
         starts = _runs(key[order])
         first = np.empty(len(ids), dtype=np.int64)
@@ -297,7 +305,7 @@ def _cut_tuples(parts: int):
         for part, blob in _by_part(rids[settled] % parts, rids[settled], begin.astype("<u4"), end.astype("<u4")):
             out.append((part, READY, blob))
         go = ~settled
-        sample = mix((_BYTE[tuples[go][:, REACH : REACH + KMER]] * powers(KMER)).sum(axis=1, dtype=np.uint64))
+        sample = mix(_row_hashes(tuples[go, REACH : REACH + KMER]))
         part = (sample % np.uint64(parts)).astype(np.int64)
         for p, blob in _by_part(part, tuples[go], rids[go], ids[go], places[go], low[go], high[go]):
             out.append((p, ARRAY, blob))
@@ -342,9 +350,9 @@ def repeated_spans(tuples: np.ndarray, ids: np.ndarray, low: np.ndarray, high: n
     begin, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     windows = np.empty((REACH + 1, n), dtype=np.uint64)
     back = powers(REACH + 1, inverse=True)
-    for s in range(0, n, 20_000):
-        sums = np.zeros((min(20_000, n - s), TUPLE + 1), dtype=np.uint64)
-        np.cumsum(_BYTE[tuples[s : s + 20_000]] * powers(TUPLE), axis=1, out=sums[:, 1:])
+    for s in range(0, n, 4096):
+        sums = np.zeros((min(4096, n - s), TUPLE + 1), dtype=np.uint64)
+        np.cumsum(_BYTE[tuples[s : s + 4096]] * powers(TUPLE), axis=1, out=sums[:, 1:])
         windows[:, s : s + len(sums)] = mix((sums[:, WINDOW:] - sums[:, : REACH + 1]) * back).T
     for o in range(REACH + 1):
         valid = np.flatnonzero((low <= o) & (o + WINDOW <= high))
