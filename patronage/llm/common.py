@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# a worker lives through many tasks: give the memory of each batch back
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Stands for a null doc_id while rows are compared: it sorts after every real id.
 NULL_ID = (1 << 63) - 1
 
@@ -55,9 +59,27 @@ def digest128(column):
     return F.struct(F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2"))
 
 
-def replace_column(df: DataFrame, values: dict) -> DataFrame:
-    """``df`` with some columns replaced in place, the order of columns unchanged."""
-    return df.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows and bytes of an Arrow batch of texts (Spark's own defaults: 10,000 and 64 MB).
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let texts go to Python workers in short batches, unless the session itself
+    says how long they are: both the worker and the JVM hold a batch at a time."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def slices(batches, rows: int = 256):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, mix, shuffle_partitions, slices, span_hashes, text_column
+from .common import id_column, mix, short_batches, shuffle_partitions, slices, span_hashes, text_column
 
 MINIMUM, AVERAGE, MAXIMUM = 16, 64, 256
 STRICT_BITS, LOOSE_BITS = 8, 4
@@ -129,7 +129,10 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
     the last one. One shuffle of the ids finds the ranges (two numbers a range go
     to the driver), one shuffle of the texts puts them there."""
     spark = docs.sparkSession
-    rows = docs.select(id_column(f"`{doc_id}`").alias("_id"), F.col(f"`{doc_id}`").alias("doc_id"), text_column(f"`{text}`").alias("text"))
+    short_batches(spark)
+    rows = docs.select(
+        id_column(f"`{doc_id}`").alias("_id"), F.col(f"`{doc_id}`").alias("doc_id"), text_column(f"`{text}`").alias("text")
+    )
     n = shuffle_partitions(spark)
     ranges = rows.select("_id").repartitionByRange(n, "_id").groupBy(F.spark_partition_id().alias("p"))
     ranges = sorted((r["low"], r["high"]) for r in ranges.agg(F.min("_id").alias("low"), F.max("_id").alias("high")).collect())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import short_batches, slices
 
 # --- reading a page into blocks ---------------------------------------------------
 
@@ -318,6 +318,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    short_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col(f"`{column}`").cast("string").alias("_page"))
 
     def run(batches):

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, id_column, replace_column, text_column
+from .common import digest128, id_column, text_column
 
 #: Fixed value of the contract: the bytes stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
@@ -73,8 +73,8 @@ def drop_positions(lines: DataFrame, min_docs: int) -> DataFrame:
 def dedup_lines(
     docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with ``text`` cut to the lines that stay, plus ``n_lines`` (before)
-    and ``n_dropped`` in a struct ``line_dedup`` (so that no column name clashes)."""
+    """``row`` (a struct of the columns of ``docs``), ``text`` cut to the lines that
+    stay, ``n_lines`` (before) and ``n_dropped``."""
     rows, lines = line_rows(docs, min_chars, doc_id, text)
     kept = (
         rows.join(drop_positions(lines, min_docs), ["_id", "_version"], "left")
@@ -94,15 +94,12 @@ def dedup_lines(
     kept = kept.withColumn("_edges", edges).withColumn(
         "_kept", F.when(F.size("_drop") == 0, F.col("_text")).otherwise(F.array_join(pieces, "\n"))
     )
-    out = kept.select(
-        "_row.*",
-        F.struct(
-            F.col("_kept").alias("text"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.size("_drop").cast("long").alias("n_dropped"),
-        ).alias("line_dedup"),
+    return kept.select(
+        F.col("_row").alias("row"),
+        F.col("_kept").alias("text"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.size("_drop").cast("long").alias("n_dropped"),
     )
-    return out
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
@@ -110,19 +107,19 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, where there is such a column, set anew)."""
     text = options.get("text", "text")
     out = dedup_lines(docs, **options)
-    values = {text: F.col("line_dedup.text")}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.length("line_dedup.text").cast(docs.schema["n_chars"].dataType)
-    return replace_column(out, values).drop("line_dedup")
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: F.col("text")}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 (of the UTF-8 bytes)."""
     return dedup_lines(docs).select(
-        "doc_id",
-        "line_dedup.n_lines",
-        "line_dedup.n_dropped",
-        F.sha2(F.col("line_dedup.text").cast("binary"), 256).alias("kept_sha256"),
+        "row.doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, digest128, id_column, mix, shingle_hashes, slices, text_column
+from .common import NULL_ID, cut, digest128, free_name, id_column, mix, shingle_hashes, short_batches, slices, text_column
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -302,6 +302,7 @@ def classes(
     docs: DataFrame, similarity: float = SIMILARITY, power: float = 0.0, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(_id, h1, class_id) for every row: the smallest id (NULL_ID for null) of its class."""
+    short_batches(docs.sparkSession)
     drawn = cut(sketches(docs, doc_id, text, power))
     # one node for each text, named by its smallest id
     by_text = cut(drawn.groupBy(F.struct("h1", "h2").alias("h")).agg(F.min("_id").alias("node"), F.first("keys").alias("keys")))
@@ -332,12 +333,10 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) ->
     kept = classes(docs, doc_id=doc_id, **options).where("_id = class_id")
     kept = cut(kept.groupBy("_id").agg(F.min("h1").alias("h1"), F.count("*").alias("n")))
     text = options.get("text", "text")
-    rows = docs.withColumns(
-        {"_nd_id": id_column(f"`{doc_id}`"), "_nd_h1": F.xxhash64(text_column(f"`{text}`"))}
-    )
-    out = rows.join(
-        kept.select(F.col("_id").alias("_nd_id"), F.col("h1").alias("_nd_h1")), ["_nd_id", "_nd_h1"], "left_semi"
-    )
+    own_id, own_hash = free_name(docs, "near_dup_id"), free_name(docs, "near_dup_hash")
+    rows = docs.withColumns({own_id: id_column(f"`{doc_id}`"), own_hash: F.xxhash64(text_column(f"`{text}`"))})
+    chosen = kept.select(F.col("_id").alias(own_id), F.col("h1").alias(own_hash))
+    out = rows.join(chosen, [own_id, own_hash], "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["_nd_id"])
+        out = out.dropDuplicates([own_id])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

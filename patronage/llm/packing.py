@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_column
+from .common import cut, short_batches, slices, text_column
 
 SHARD = 16_384
 NODES = 20_000
@@ -85,6 +85,7 @@ def token_pieces(
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, ``_row`` (a number
     of its own) and, on demand, ``ids`` (little-endian unsigned 32-bit)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_column(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

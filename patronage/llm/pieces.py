@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import short_batches, slices, text_column
 
 MARK = "▁"
 #: Stretches whose ids are remembered by a worker.
@@ -208,6 +208,7 @@ def decode_column(ids, path: str):
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_chars, n_ids, ids_crc32 (little-endian unsigned
     32-bit ids), decoded_sha256 (of the text decoded again), round_trip."""
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_column().alias("text"))
 
     def run(batches):

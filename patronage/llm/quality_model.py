@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shingle_hashes, slices, span_hashes, text_column, word_spans
+from .common import free_name, shingle_hashes, short_batches, slices, span_hashes, text_column, word_spans
 
 # --- features -----------------------------------------------------------------
 
@@ -186,6 +186,7 @@ def fit(
     quality: str = "quality",
 ) -> Model:
     """Gather the moments over all training rows (one pass) and minimise the risk."""
+    short_batches(docs.sparkSession)
     marks = (
         labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{quality}`").cast("int").alias("_q"))
         .where(F.col("_id").isNotNull() & F.col("_q").isNotNull() & ~held_out_column(F.col("_id")))
@@ -252,20 +253,21 @@ def _moments(batches):
 # --- scoring --------------------------------------------------------------------
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` in its own columns plus ``quality_score`` (0 to 1)."""
+def with_scores(docs: DataFrame, model: Model, name: str = "quality_score", text: str = "text") -> DataFrame:
+    """``docs`` in its own columns plus the score (0 to 1) under a ``name`` that is new to it."""
 
     def run(batches):
         for b in slices(batches):
             scores = model.score(np.stack([features(t.as_py()) for t in b.column(text)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``."""
-    return with_scores(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).drop("quality_score")
+    name = free_name(docs, "quality_score")
+    return with_scores(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shingle_hashes, slices, text_column, word_spans
+from .common import cut, shingle_hashes, short_batches, slices, text_column, word_spans
 
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -86,6 +86,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source"):
     """(doc_id, lang, source, measures...) per row; one pass over the whole texts."""
+    short_batches(docs.sparkSession)
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{lang}`").cast("string").alias("lang"),

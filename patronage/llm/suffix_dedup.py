@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, digest128, id_column, mix, powers, shuffle_partitions, text_column
+from .common import _BYTE, digest128, id_column, mix, powers, short_batches, shuffle_partitions, text_column
 
 WINDOW = 50
 KMER = 16
@@ -442,6 +442,7 @@ def _squeeze(text):
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (a struct of the columns of ``docs`` but for the text), n_bytes,
     n_removed, n_spans, kept (bytes) and text (the same as text)."""
+    short_batches(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     rows = docs.select(

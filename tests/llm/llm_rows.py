@@ -14,7 +14,7 @@ def documents(spark):
     def build(rows, clashing=False):
         df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
         if clashing:
-            for c in ("_id", "_text", "h", "h1", "part", "kind", "row", "key", "n", "limits", "node"):
+            for c in ("_id", "_text", "h", "h1", "part", "kind", "row", "key", "n", "limits", "node", "near_dup_id", "quality_score", "line_dedup"):
                 df = df.withColumn(c, F.lit(f"extra {c}"))
         return df
 

@@ -410,4 +410,7 @@ def test_classifier_odd_rows(documents, spark):
     for labels in (none, spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, 0), (3, 0, 0)], none.schema)):
         got = quality_model.quality_digest(documents(ODD, clashing=True), labels).collect()
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+        df = documents(ODD, clashing=True)
+        kept = quality_model.keep_quality(df, labels, threshold=0.0)
+        assert kept.columns == df.columns and kept.count() == len(ODD)
         assert quality_model.quality_digest(documents([]), labels).count() == 0
