@@ -16,8 +16,8 @@ loss mask come from a running sum over the turns.
 
 Defined results: null roles and texts are empty; a null conversation id is one
 conversation; turns that repeat a turn number all stay, ordered by role and
-text; a table or record of unknown layout raises or, for JSON rows, gives no
-turns; extra columns are left out of the fingerprint only by ``ignore``.
+text; a table of no known layout raises, a JSON record of none gives no turns;
+extra columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -93,13 +93,19 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 def layout_of(df: DataFrame, ignore: tuple[str, ...] = (), layouts=LAYOUTS) -> Layout:
     """The mapping that the fingerprint of ``df`` selects; ``ignore`` names
-    columns (the conversation id, extra ones) that do not count."""
-    kept = T.StructType([f for f in df.schema.fields if f.name not in ignore])
-    known = {x.fingerprint: x for x in layouts}
-    found = known.get(fingerprint(field_paths(kept)))
-    if found is None:
-        raise ValueError(f"no mapping for the fields {sorted(field_paths(kept))}")
-    return found
+    columns (the conversation id, extra ones) that do not count. A table with
+    more fields than any mapping knows gets the one that covers most of them."""
+    paths = field_paths(T.StructType([f for f in df.schema.fields if f.name not in ignore]))
+    mark = fingerprint(paths)
+    for x in layouts:
+        if x.fingerprint == mark:
+            return x
+    covered = [x for x in layouts if set(x.paths) <= set(paths)]
+    most = max((len(x.paths) for x in covered), default=0)
+    covered = [x for x in covered if len(x.paths) == most]
+    if len(covered) != 1:
+        raise ValueError(f"{'no' if not covered else 'more than one'} mapping for the fields {sorted(paths)}")
+    return covered[0]
 
 
 def _text(column):
@@ -169,12 +175,14 @@ def json_paths(record):
 
 def json_to_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id", layouts=LAYOUTS) -> DataFrame:
     """Rows (conv_id, turn, role, text) from JSON records of mixed layouts. Each
-    row's fingerprint selects its mapping; records of no known layout (or not
-    JSON) give no turns."""
-    r = F.col(f"`{record}`")
-    mark = F.sha2(F.array_join(json_paths(r), "\n"), 256)
+    row's fingerprint selects its mapping (with fields that no mapping knows: the
+    one that covers most of the others); records of no known layout (or not JSON)
+    give no turns."""
+    r, paths = F.col(f"`{record}`"), json_paths(F.col(f"`{record}`"))
+    mark = F.sha2(F.array_join(paths, "\n"), 256)
+    exact = mark.isin([x.fingerprint for x in layouts])
     turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for layout in layouts:
+    for layout in sorted(layouts, key=lambda x: len(x.paths)):  # the largest is asked first
         if layout.items:
             array, role, text = layout.items
             items = F.from_json(F.get_json_object(r, f"$.{array}"), f"array<struct<`{role}`:string,`{text}`:string>>")
@@ -183,7 +191,8 @@ def json_to_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id
             found = _fixed_turns({p: F.get_json_object(r, f"$.{p}") for p in layout.paths}, layout)
         else:
             continue
-        turns = F.when(mark == layout.fingerprint, found).otherwise(turns)
+        covered = F.size(F.array_except(F.array(*[F.lit(p) for p in layout.paths]), paths)) == 0
+        turns = F.when((mark == layout.fingerprint) | (~exact & covered), found).otherwise(turns)
     return (
         df.select(F.col(f"`{conv_id}`").alias("conv_id"), F.explode(turns).alias("_turn"))
         .select("conv_id", "_turn.turn", "_turn.role", "_turn.text")

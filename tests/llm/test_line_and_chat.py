@@ -101,9 +101,14 @@ def test_layouts_give_the_same_turns(spark):
     frames.append(spark.createDataFrame([(1, "", "q", "a")], "conv_id long, system string, prompt string, response string"))
     for df in frames:
         assert [(r["role"], r["text"]) for r in chat.to_turns(df).orderBy("turn").collect()] == want
+    clashing = frames[2]
+    for c in ("_turn", "turn", "role", "formatted", "extra"):
+        clashing = clashing.withColumn(c, F.lit(c))
+    assert [(r["role"], r["text"]) for r in chat.to_turns(clashing).orderBy("turn").collect()] == want
     with pytest.raises(ValueError, match="no mapping"):
-        chat.to_turns(frames[2].withColumn("extra", F.lit(1)))
-    assert chat.to_turns(frames[2].withColumn("extra", F.lit(1)), ignore=("extra",)).count() == 2
+        chat.to_turns(frames[2].withColumnRenamed("prompt", "other"))
+    with pytest.raises(ValueError, match="more than one"):
+        chat.to_turns(frames[2].withColumn("question", F.lit("q")).withColumn("answer", F.lit("a")))
 
 
 def test_json_records_of_mixed_layouts(spark):
@@ -111,7 +116,7 @@ def test_json_records_of_mixed_layouts(spark):
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
         {"prompt": "q", "completion": "a"}, {"instruction": "q", "input": "more", "output": "a"},
-        {"unknown": 1}, "not an object", {},
+        {"unknown": 1}, "not an object", {}, {"prompt": "q", "completion": "a", "extra": {"deep": [1]}},
     ]
     rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{broken")]
     out = chat.json_to_turns(spark.createDataFrame(rows, "conv_id long, record string"))
@@ -119,4 +124,4 @@ def test_json_records_of_mixed_layouts(spark):
     for r in out.orderBy("conv_id", "turn").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     pair = [("user", "q"), ("assistant", "a")]
-    assert got == {0: pair, 1: pair, 2: pair, 3: [("user", "q\nmore"), ("assistant", "a")]}
+    assert got == {0: pair, 1: pair, 2: pair, 3: [("user", "q\nmore"), ("assistant", "a")], 7: pair}
