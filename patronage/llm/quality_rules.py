@@ -210,3 +210,64 @@ def rules_digest(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def _oracle() -> str:
+    rules = ", ".join(f"{{'rule': '{r}', 'v': {r}, 'slack': {s}}}" for r, s in RULES.items())
+    return rf"""
+WITH texts AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), numbered AS (SELECT row_number() OVER () AS id, * FROM texts),
+windows AS (
+    SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x
+    FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM numbered WHERE len(w) >= 3)
+), again AS (
+    SELECT id, count(DISTINCT p) AS n_repeat_words FROM (
+        SELECT id, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT id, i, count(*) OVER (PARTITION BY id, x) AS n FROM windows) WHERE n > 1)
+    GROUP BY id
+), measured AS (
+    SELECT id, doc_id, lang, source, len(w) AS n_words, list_sum([0] || list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+           len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_shouts
+    FROM numbered LEFT JOIN again USING (id)
+), ratios AS (
+    SELECT *, coalesce(n_symbols * 10000 // nullif(word_chars, 0), 0) AS symbols,
+           coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) AS dup_lines,
+           coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) AS repeats,
+           coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length,
+           coalesce(n_upper * 10000 // nullif(word_chars, 0), 0) AS capitals,
+           coalesce(n_shouts * 10000 // nullif(n_words, 0), 0) AS shouts
+    FROM measured
+), each AS (
+    SELECT id, lang, source, e.rule AS rule, e.slack AS slack, e.v AS v,
+           CASE WHEN e.v > 0 THEN ceil(ln(e.v::DOUBLE) / {math.log(GAMMA)!r} - 1e-9)::INT + 1 ELSE 0 END AS bucket
+    FROM (SELECT id, lang, source, unnest([{rules}]) AS e FROM ratios)
+), valued AS (
+    SELECT *, CASE WHEN bucket = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, bucket - 1) / {GAMMA + 1!r} END AS value FROM each
+), limits AS (
+    SELECT *, q75 + {SPREAD} * (q75 - q25) + slack AS top FROM (
+        SELECT grouping(lang, source) AS level, lang, source, rule, any_value(slack) AS slack, count(*) AS n,
+               quantile_disc(value, 0.25) AS q25, quantile_disc(value, 0.75) AS q75
+        FROM valued GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule)))
+), judged AS (
+    SELECT e.id, bool_and(e.v <= CASE WHEN a.n >= 200 THEN a.top WHEN b.n >= 200 THEN b.top ELSE c.top END) AS within
+    FROM each e
+    JOIN limits a ON a.level = 0 AND a.rule = e.rule AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
+    JOIN limits b ON b.level = 1 AND b.rule = e.rule AND b.lang IS NOT DISTINCT FROM e.lang
+    JOIN limits c ON c.level = 3 AND c.rule = e.rule
+    GROUP BY e.id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND within AS kept
+FROM ratios JOIN judged USING (id)
+"""
+
+
+#: DuckDB SQL for rules_digest over ``documents``: quantiles of all bucket values instead of sketches.
+ORACLE_SQL = _oracle()

@@ -74,5 +74,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_format": chat.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
