@@ -10,8 +10,11 @@ does not), and each shard is packed on its histogram of lengths:
   undominated fillings around it are tried in order of waste (a filling is
   dominated if another takes larger pieces in the same room), and a branch ends
   when the waste so far is more than one sequence less than the incumbent
-  allows, or no solution can have fewer sequences than the sum of lengths needs;
-* NODES bounds the search in a shard; the incumbent is always a whole solution.
+  allows, or no solution can have fewer sequences than the sum of lengths or the
+  number of pieces of some length and more needs. The fillings come one at a time
+  from a table of subset sums, whatever the lengths;
+* NODES bounds the search in a shard (a node is one filling looked at); the
+  incumbent is always a whole solution.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each; a null doc_id stays null; an empty table gives no pieces; other
@@ -23,6 +26,7 @@ from __future__ import annotations
 import json
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,6 @@ from .common import cut, short_batches, slices, text_column
 
 SHARD = 16_384
 NODES = 20_000
-CHOICES = 4
 
 # --- tokens ---------------------------------------------------------------------
 
@@ -146,14 +149,53 @@ def best_fit(counts: dict[int, int], room: int) -> list[list[int]]:
 
 
 class _Left:
-    """Pieces left, by length: a histogram, and a bit mask of the lengths there are."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.counts, self.mask = dict(counts), sum(1 << s for s in counts)
+    """Pieces left, by length: a histogram, a bit mask of the lengths there are,
+    and for each length the sums (as bits) that pieces up to it make.
+
+    The sums are not kept up as pieces are taken: sums of more pieces than there
+    are left include all that can be made, so ``_exact`` may follow one in vain but
+    misses none. After a few in vain the table is made anew for the node at hand,
+    and holds until the search goes back before that node."""
+
+    VAIN, TABLES = 4, 32
+
+    def __init__(self, counts: dict[int, int], room: int):
+        self.counts, self.mask, self.room = dict(counts), sum(1 << s for s in counts), room
+        self.depth = self.vain = 0
+        self.tables = [(0, self._sums())]
+
+    def _sums(self) -> list[int]:
+        out, full = [1], (2 << self.room) - 1
+        for s in range(1, self.room + 1):
+            sums, n, step = out[-1], min(self.counts.get(s, 0), self.room // s), 1
+            while n > 0:
+                sums |= (sums << s * min(step, n)) & full
+                n -= step
+                step *= 2
+            out.append(sums)
+        return out
+
+    def makes(self, most: int, total: int) -> int:
+        """Whether pieces up to ``most`` may make ``total``."""
+        return self.tables[-1][1][most] >> total & 1
+
+    def in_vain(self) -> None:
+        self.vain += 1
+        if self.vain >= self.VAIN:
+            self.vain = 0
+            if len(self.tables) > self.TABLES:
+                del self.tables[1]  # an older one holds as well
+            self.tables.append((self.depth, self._sums()))
+
+    def at(self, depth: int) -> None:
+        """The search is at the node of this depth."""
+        self.depth = depth
+        while self.tables[-1][0] > depth:
+            self.tables.pop()
 
     def largest(self, most: int) -> int:
         """The largest length of at most ``most`` (0: none)."""
-        return (self.mask & ((2 << most) - 1)).bit_length() - 1 if most > 0 else 0
+        return (self.mask & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.mask else 0
 
     def take(self, sizes) -> None:
         for s in sizes:
@@ -167,39 +209,78 @@ class _Left:
                 self.mask ^= 1 << s
             self.counts[s] += 1
 
-    def has(self, sizes) -> bool:
-        return all(self.counts.get(s, 0) >= sizes.count(s) for s in sizes)
-
 
-def fillings(left: _Left, room: int, choices: int = CHOICES) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first: the best single piece
-    (an exact one dominates all others), pairs with the best partner, and the
-    greedy filling. All lie in what is left."""
+def _exact(left: _Left, total: int, most: int):
+    """All fillings of just ``total`` by pieces up to ``most``, larger pieces first."""
+    if not total:
+        yield ()
+        return
+    found = False
+    while (s := left.largest(min(most, total))) > 0 and left.makes(s, total):
+        for n in range(min(left.counts[s], total // s), 0, -1):
+            if left.makes(s - 1, total - n * s):
+                for f in _exact(left, total - n * s, s - 1):
+                    found = True
+                    yield (s,) * n + f
+        most = s - 1
+    if not found:
+        left.in_vain()
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...], steps: int = 200) -> bool:
+    """Whether the pieces of ``b`` go into the rooms of the pieces of ``a`` (False
+    also if ``steps`` do not tell: such a filling is tried like any other)."""
+    rooms, rest = Counter(a), Counter(b)
+    common = rooms & rest
+    rooms, rest = sorted((rooms - common).elements(), reverse=True), sorted((rest - common).elements(), reverse=True)
+
+    def place(k: int) -> bool:
+        nonlocal steps
+        if k == len(rest):
+            return True
+        for i in range(len(rooms)):
+            if rest[k] <= rooms[i] and rooms[i] not in rooms[:i]:
+                steps -= 1
+                if steps < 0:
+                    return False
+                rooms[i] -= rest[k]
+                if place(k + 1):
+                    return True
+                rooms[i] += rest[k]
+        return False
+
+    return not rest or bool(rooms) and sum(rest) <= sum(rooms) and rest[0] <= rooms[0] and len(rest) <= steps and place(0)
+
+
+def fillings(left: _Left, room: int):
+    """The fillings of ``room`` by what is left, least waste first and larger
+    pieces first, one at a time: (sizes, waste), or None for one that is dominated
+    by a filling before it (by one of the first 32, which tells nearly all)."""
     first = left.largest(room)
-    if first <= 0:
-        return [()]
-    if first == room:
-        return [(first,)]
-    found = {}
-    a, tried = first, 0
-    while a > 0 and tried < 64 and 2 * a > room // 4:
-        tried += 1
-        sizes, rest, cap = [a], room - a, a
-        while rest:
-            b = left.largest(min(rest, cap))
-            while b > 0 and left.counts[b] <= sizes.count(b):
-                b = left.largest(b - 1)
-            if b <= 0:
-                break
-            sizes.append(b)
-            rest -= b
-            cap = b
-        found.setdefault(tuple(sizes), rest)
-        if not rest and len(sizes) == 2:
-            break
-        a = left.largest(a - 1)
-    ranked = sorted(found, key=lambda s: (found[s], len(s), [-x for x in s]))
-    return ranked[:choices]
+    if first == room:  # fills it alone and dominates all others
+        yield (first,) if room else (), 0
+        return
+    before: list[tuple[int, ...]] = []
+    for total in range(room, -1, -1):
+        if not left.makes(first, total):
+            continue
+        for f in _exact(left, total, first):
+            if any(dominates(x, f) for x in before):
+                yield None
+            else:
+                if len(before) < 32:
+                    before.append(f)
+                yield f, room - total
+
+
+def least_bins(counts: dict[int, int], room: int) -> int:
+    """No solution has fewer bins: by the sum of lengths, and by the number of
+    pieces of each length and more, of which a bin holds room // length."""
+    fewest, n = -(-sum(s * k for s, k in counts.items()) // room), 0
+    for s in sorted(counts, reverse=True):
+        n += counts[s]
+        fewest = max(fewest, -(-n // (room // s)))
+    return fewest
 
 
 def bin_completion(counts: dict[int, int], room: int, nodes: int = NODES) -> list[list[int]]:
@@ -207,44 +288,44 @@ def bin_completion(counts: dict[int, int], room: int, nodes: int = NODES) -> lis
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, room)
     total = sum(s * n for s, n in counts.items())
-    fewest = max(-(-total // room), sum(n for s, n in counts.items() if 2 * s > room))
+    fewest = least_bins(counts, room)
     pieces = sum(counts.values())
     # the first dive alone visits a node a bin, so it never counts against the bound
     budget = nodes + len(best)
     while len(best) > fewest and budget > 0:
         allowed = (len(best) - 1) * room - total  # waste that a better solution may have
-        left, waste, done = _Left(counts), 0, 0
-        stack: list[list] = []  # [choices not tried, filling in use, its waste]
-        solution = None
-        while budget > 0:
-            if done == pieces:
-                solution = [list(x[1]) for x in stack]
-                break
+        left, waste, done = _Left(counts, room), 0, 0
+        stack: list[list] = []  # [largest piece, fillings not tried, filling in use, its waste]
+        deeper = True
+        while budget > 0 and done < pieces:
+            if deeper:
+                top = left.largest(room)
+                left.take((top,))
+                left.at(len(stack))
+                done += 1
+                stack.append([top, fillings(left, room - top), (), 0])
             budget -= 1
-            top = left.largest(room)
-            left.take((top,))
-            options = [
-                ((top, *f), room - top - sum(f)) for f in fillings(left, room - top)
-            ]
-            left.put((top,))
-            options = [o for o in options if waste + o[1] <= allowed]
-            stack.append([options[::-1], None, 0])
-            while stack and not stack[-1][0]:  # nothing left to try here: back up
+            node = stack[-1]
+            found = next(node[1], ((), allowed + 1))  # past the last one: more waste than allowed
+            deeper = found is not None and waste + found[1] <= allowed
+            if deeper:
+                node[2], node[3] = found
+                left.take(node[2])
+                done += len(node[2])
+                waste += node[3]
+            elif found is not None:  # nothing left to try here: back up
+                left.put((node[0],))
+                done -= 1
                 stack.pop()
-                if stack:
-                    left.put(stack[-1][1])
-                    done -= len(stack[-1][1])
-                    waste -= stack[-1][2]
-            if not stack:
-                break
-            sizes, lost = stack[-1][0].pop()
-            stack[-1][1], stack[-1][2] = sizes, lost
-            left.take(sizes)
-            done += len(sizes)
-            waste += lost
-        if solution is None:
+                if not stack:
+                    break
+                left.put(stack[-1][2])
+                done -= len(stack[-1][2])
+                waste -= stack[-1][3]
+                left.at(len(stack) - 1)
+        if done < pieces:
             break
-        best = solution
+        best = [[x[0], *x[2]] for x in stack]
     return best
 
 

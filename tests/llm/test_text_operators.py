@@ -305,6 +305,51 @@ def test_bin_completion_beats_best_fit():
     assert better > 0
 
 
+def test_bin_completion_of_short_pieces():
+    """No piece is near an eighth of the room; a bin holds ten of them at most."""
+    sizes = {s: 16_384 // 20 + (s < 195 + 16_384 % 20) for s in range(195, 215)}
+    got = packing.bin_completion(sizes, 2048)
+    assert all(sum(b) <= 2048 for b in got)
+    assert sorted(x for b in got for x in b) == sorted(s for s, n in sizes.items() for _ in range(n))
+    assert len(packing.best_fit(sizes, 2048)) > 1700 and len(got) == packing.least_bins(sizes, 2048) == 1639
+
+
+def test_fillings_are_all_undominated_ones():
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(40):
+        pieces = [rng.randrange(2, 15) for _ in range(rng.randrange(1, 9))]
+        counts = {s: pieces.count(s) for s in pieces}
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k)}
+        every = {f for f in every if sum(f) <= 30}
+        wanted = {f for f in every if not any(packing.dominates(x, f) for x in every if x != f)}
+        got = [x for x in packing.fillings(packing._Left(counts, 30), 30) if x]
+        assert {f for f, _ in got} == wanted and len(got) == len(wanted)
+        assert [w for _, w in got] == sorted(30 - sum(f) for f in wanted)
+
+
+def test_bin_completion_ends_with_the_fewest():
+    import random
+
+    def fewest(pieces, rooms):
+        if not pieces:
+            return len(rooms)
+        best = fewest(pieces[1:], [*rooms, 40 - pieces[0]])
+        for r in {x for x in rooms if x >= pieces[0]}:
+            rest = list(rooms)
+            rest.remove(r)
+            best = min(best, fewest(pieces[1:], [*rest, r - pieces[0]]))
+        return best
+
+    rng = random.Random(5)
+    for _ in range(30):
+        pieces = sorted((rng.randrange(3, 30) for _ in range(8)), reverse=True)
+        got = packing.bin_completion({s: pieces.count(s) for s in pieces}, 40)
+        assert len(got) == fewest(pieces, []) and all(sum(b) <= 40 for b in got)
+
+
 # --- rules
 
 
