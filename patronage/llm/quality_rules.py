@@ -7,9 +7,11 @@ merging is adding, the order of rows does not matter and the relative error of
 a quantile is at most ACCURACY. Groups of fewer than ``min_group`` documents use
 the merged sketch of their language, or of all documents. A rule's upper limit
 is q75 + SPREAD * (q75 - q25) plus the rule's slack (the resolution below which
-differences do not count); the limits are joined back to the measures by
-language and source, and a document is kept when it passes the base rules and
-no ratio is over its limit.
+differences do not count), and at most what the lower half of the group says by
+itself: q50 + (2 * SPREAD + 1) * (q50 - q25) plus the slack, the same for an even
+spread. So junk moves no limit far until it is half of a group. The limits are
+joined back to the measures by language and source, and a document is kept when
+it passes the base rules and no ratio is over its limit.
 
 Counting is combined map-side, so a source that holds most rows is a few
 hundred counters per task. The limits are one row per language and source;
@@ -166,9 +168,12 @@ def limits(sketch: DataFrame, min_group: int) -> DataFrame:
         .agg(
             F.max("all").alias("n"),
             F.min(F.when(F.expr("4 * upto >= `all`"), F.col("value"))).alias("q25"),
+            F.min(F.when(F.expr("2 * upto >= `all`"), F.col("value"))).alias("q50"),
             F.min(F.when(F.expr("4 * upto >= 3 * `all`"), F.col("value"))).alias("q75"),
         )
-        .withColumn("limit", F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + slack)
+        .withColumn("whole", F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")))
+        .withColumn("lower", F.col("q50") + (2 * SPREAD + 1) * (F.col("q50") - F.col("q25")))
+        .withColumn("limit", F.least("whole", "lower") + slack)
     )
     wide = (
         per_rule.groupBy("level", "lang", "source")

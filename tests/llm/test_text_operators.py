@@ -401,6 +401,15 @@ def test_small_groups_use_the_merged_sketch(documents):
     assert not got[90]["kept"] and all(got[i]["kept"] for i in range(30))
 
 
+def test_a_hot_source_with_much_junk_drops_it(documents):
+    """Two in five texts of a source that holds nearly all rows are junk."""
+    clean = [(i, " ".join(words(80, i))) for i in range(360)]
+    junk = [(1000 + i, " ".join(w + "#$%" for w in words(80, 1000 + i))) for i in range(240)]
+    got = quality_rules.quality_rules(documents(clean + junk)).collect()
+    assert len(got) == 600 and not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, _ in clean}
+
+
 def test_rules_odd_rows(documents):
     got = quality_rules.quality_rules(documents(ODD, clashing=True).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(got) == len(ODD) and not any(r["kept"] for r in got if r["n_words"] < 50)
