@@ -6,7 +6,9 @@ length. A fixed linear classifier turns that into a cost of calling the block
 content and a cost of calling it boilerplate; these are the capacities to the
 two terminals. Neighbouring blocks and blocks under the same element are tied by
 smoothness edges, heavier the closer they stand in the document tree. The
-minimum cut splits the blocks into content and boilerplate.
+minimum cut splits the blocks into content and boilerplate. A boilerplate mark on
+an element around the page's main text (a form over the whole page, a wrapper
+named after the sidebar in it) does not count.
 
 Most blocks are settled before any flow is computed: if a block's terminal
 capacity outweighs all its open edges together, every minimum cut leaves it on
@@ -73,7 +75,9 @@ class Block:
 
 
 def _mark(name: str, attributes: str, inside_content: bool) -> int:
-    """What an element says about the text inside: 1 content, -1 boilerplate, 0 nothing."""
+    """What an element says about the text inside: 1 content, 2 the page's main
+    part, 0 nothing, -1 boilerplate by a form or by one word of a longer name, -2
+    boilerplate by the element or a whole name, -3 text that does not show."""
     found = {}
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -82,25 +86,30 @@ def _mark(name: str, attributes: str, inside_content: bool) -> int:
             else:
                 found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return -1
+        return -3
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return -1
+        return -3
     if name in BOILERPLATE_TAGS:
-        return -1
+        return -1 if name in ("form", "fieldset") else -2
     if name == "header" and not inside_content:
-        return -1
+        return -2
     if name in ("html", "body"):
         return 0
     words: list[str] = []
+    whole = False
     for k in ("class", "id", "role", "itemprop"):
         for part in html.unescape(found.get(k, "")).split():
             own = [w.lower() for w in _WORDS.findall(part)]
             # "with-sidebar", "has-ads", "no-comments" speak of what stands beside
-            words += own if not own or own[0] not in ("with", "has", "no", "without", "is") else []
+            own = own if not own or own[0] not in ("with", "has", "no", "without", "is") else []
+            whole = whole or bool(own) and all(w in BOILERPLATE_WORDS for w in own)
+            words += own
     bad = any(w in BOILERPLATE_WORDS for w in words)
     good = name in CONTENT_TAGS or any(w in CONTENT_WORDS for w in words)
     if bad:
-        return -1
+        return -2 if whole else -1
+    if name == "main" or "main" in found.get("role", "").lower().split():
+        return 2
     return 1 if good else 0
 
 
@@ -229,6 +238,46 @@ def smoothness(a: Block, b: Block) -> float:
     return 1.2 / (1 + apart)
 
 
+def without_wrappers(blocks: list[Block]) -> None:
+    """Clears the boilerplate mark of elements that hold the page's main text: its
+    main part, or most of the running text with the headline, or with no headline
+    and no content elsewhere. Hidden elements keep theirs."""
+    marked = {x[2]: x[1] for b in blocks for x in b.path if -3 < x[1] < 0}
+    if not marked:
+        return
+    inside, main, headline = dict.fromkeys(marked, 0), set(), set()
+    total, free = 0, 0  # running text, and what of it has no boilerplate mark around it
+    free_content = free_headline = False
+    for b in blocks:
+        if any(x[1] == -3 for x in b.path):
+            continue
+        around = [x[2] for x in b.path if x[1] < 0]
+        head = any(x[0] == "h1" for x in b.path)
+        last = max((i for i, x in enumerate(b.path) if x[1] == 2 or x[0] == "main"), default=-1)
+        main.update(x[2] for x in b.path[: last + 1] if x[1] < 0)
+        if head:
+            headline.update(around)
+            free_headline = free_headline or not around
+        if 2 * b.links > len(b.text) or b.text.count(" ") < 11:
+            continue
+        total += len(b.text)
+        for k in around:
+            inside[k] += len(b.text)
+        if not around:
+            free += len(b.text)
+            free_content = free_content or any(x[1] > 0 for x in b.path)
+    wrappers = set(main)
+    for k, mark in marked.items():
+        if 2 * inside[k] <= total:
+            continue
+        alone = not free_headline and not free_content and inside[k] > 2 * free
+        if k in headline or alone or mark == -1 and not free:
+            wrappers.add(k)
+    if wrappers:
+        for b in blocks:
+            b.path = tuple((x[0], 0, x[2]) if x[2] in wrappers else x for x in b.path)
+
+
 # --- minimum cut ---------------------------------------------------------------------
 
 
@@ -303,6 +352,7 @@ def main_text(page: str | None) -> str:
     blocks = read_blocks(page or "")
     if not blocks:
         return ""
+    without_wrappers(blocks)
     gains = [score(b) for b in blocks]
     edges = [(i, i + 1, smoothness(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}

@@ -183,6 +183,42 @@ def test_page_without_marks():
     assert html_text.main_text(page).split("\n") == [*text[:2], "Short.", *text[2:]]
 
 
+STORY = [f"Paragraph {i} of the story, long enough to be told from what is around it by its words alone, and then some." for i in range(4)]
+BESIDE = "<div class='sidebar'><p>Popular posts of the week, with a long enough text to look like one of the article.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div id='content-sidebar-wrap'><main class='content'>", "</main>SIDE</div>"),
+        ("<form id='aspnetForm'><div>", "</div>SIDE</form>"),
+        ("<div class='page-with-sidebar'><div>", "</div>SIDE</div>"),
+        ("<div class='hentry post comments-open'>", "</div>SIDE"),
+        ("<form><div class='page-with-sidebar'>", "</div>SIDE</form>"),
+    ],
+)
+@pytest.mark.parametrize("title", ["The title", ""])
+def test_marks_on_wrappers_of_the_page(before, after, title):
+    story = f"<h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in STORY)
+    nav = "<header><p>Site name</p></header><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>"
+    page = f"<body>{nav}{before}{story}{after.replace('SIDE', BESIDE)}<footer>&copy; 2024 Site</footer>"
+    assert html_text.main_text(page).split("\n") == [title] * bool(title) + STORY
+
+
+@pytest.mark.parametrize("name", ["comments-area", "comments", "sidebar-left"])
+def test_long_boilerplate_beside_a_short_text(name):
+    """Most of the text of the page, but not around its headline and content."""
+    other = "".join(f"<p>{t}</p>" for t in STORY * 3)
+    for story in ("<article><h1>The title</h1><p>{}</p></article>", "<div><h1>The title</h1><p>{}</p></div>"):
+        page = f"<body><main>{story.format(STORY[0])}<div class='{name}'>{other}</div></main>"
+        assert html_text.main_text(page).split("\n") == ["The title", STORY[0]]
+
+
+def test_hidden_text_stays_hidden():
+    page = "<div style='display:none'><main><h1>No</h1>" + "".join(f"<p>{t}</p>" for t in STORY) + "</main></div>"
+    assert html_text.main_text(page) == ""
+
+
 def test_open_form_controls_end_with_their_block():
     page = "<form><select><option>A<option>B</select><button>Go</form><p>The text of the page goes on after the form, as it should.</p>"
     assert html_text.main_text(page) == "The text of the page goes on after the form, as it should."
