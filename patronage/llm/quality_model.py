@@ -6,12 +6,13 @@ of the unbiased risk are quadratic forms of second moments:
 
     R(w) = prior * P[(1 - g)^2] + max(0, U[(1 + g)^2] - prior * P[(1 + g)^2])
 
-(P, U: means over the positives and the unlabelled texts.) So one pass over all
-texts gathers a d x d matrix of moments for P and one for U (d = number of
-features, fixed), and the non-negative risk is minimised exactly over the whole
-corpus on those two matrices: a closed-form start, then descent that, as long
-as the second part is negative, climbs that part instead. Work on the driver
-does not depend on the size of the corpus.
+(P, U: means over the positives and over all training texts, whatever their
+label, which are the unlabelled sample.) So one pass over all texts gathers a
+d x d matrix of moments for P and one for U (d = number of features, fixed), and
+the non-negative risk is minimised exactly over the whole corpus on those two
+matrices: a closed-form start, then descent that, as long as the second part is
+negative, climbs that part instead. Work on the driver does not depend on the
+size of the corpus.
 
 Features come from the text alone: character classes, repeats, word and line
 shape. The prior is the share of 1 among the labels of the training rows, unless
@@ -19,7 +20,7 @@ given. Rows whose crc32 of the id modulo 3 is 1 are held out: neither their
 labels nor their texts are used in fitting.
 
 Defined results: an empty or null text has the features of no words and gets a
-score like any other; without positives or unlabelled texts every score is the
+score like any other; without positives every score is the
 prior (0.5 if there are no labels either); labels that repeat a doc_id count
 once, a null label not at all; a null doc_id is scored and never trained on.
 """
@@ -199,9 +200,7 @@ def fit(
     )
     # features first: the text never meets a shuffle, the joins move short vectors
     vectors = rows.mapInArrow(_vectors, f"_id {rows.schema['_id'].dataType.simpleString()}, _x binary")
-    joined = vectors.join(marks, "_id", "left").select(
-        (F.col("_q") == 1).alias("_positive"), F.col("_q").isNull().alias("_unlabelled"), "_x"
-    )
+    joined = vectors.join(marks, "_id", "left").select((F.col("_q") == 1).alias("_positive"), "_x")
     parts = joined.mapInArrow(_moments, "kind int, n long, at int, m array<double>")
     total = parts.groupBy("kind", "at").agg(
         F.sum("n").alias("n"), *[F.sum(F.element_at("m", i + 1)).alias(f"c{i}") for i in range(FEATURES)]
@@ -226,7 +225,7 @@ def _vectors(batches):
 
 
 def _moments(batches):
-    """Per task: for the unlabelled (0) and the positives (1), the rows of the matrix of sums."""
+    """Per task: for all rows (0) and the positives (1), the rows of the matrix of sums."""
     n = [0, 0]
     sums = [np.zeros((FEATURES, FEATURES)) for _ in n]
     for b in batches:
@@ -234,9 +233,7 @@ def _moments(batches):
             continue
         x = np.frombuffer(b"".join(v.as_py() for v in b.column("_x")), dtype="<f4").reshape(-1, FEATURES).astype(float)
         positive = np.array([bool(v.as_py()) for v in b.column("_positive")])
-        unlabelled = np.array([bool(v.as_py()) for v in b.column("_unlabelled")])
-        for kind, mask in ((0, unlabelled), (1, positive)):
-            part = x[mask]
+        for kind, part in ((0, x), (1, x[positive])):
             n[kind] += len(part)
             sums[kind] += part.T @ part
     for kind in (0, 1):

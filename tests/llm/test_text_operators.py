@@ -478,6 +478,15 @@ def test_held_out_rows_do_not_matter(spark):
     assert np.allclose(a.weights, b.weights) and a.prior == b.prior
 
 
+def test_labels_on_all_rows_still_give_a_model(spark):
+    """The unlabelled sample is all training texts, so none is needed without a label."""
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id").distinct(), "doc_id")
+    got = quality_model.quality_digest(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert {r["quality"] for r in got} == {0, 1}
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) >= 0.97
+
+
 def test_risk_is_minimised_and_not_negative():
     rng = np.random.default_rng(0)
     d = 4
