@@ -7,8 +7,9 @@
 5. packing: what is left is tokenised and packed into sequences.
 
 Every stage works on all that the one before kept; all but the last return the
-columns of ``documents``. Documents are never dropped for what they lose in
-stages 2 and 4, even if their text becomes empty.
+columns of ``documents``. Documents are not dropped in stages 2 and 4 themselves,
+even if their text becomes empty; but texts that are empty after stage 2 are equal
+texts to stage 3, which keeps one row of them (no text is lost by that).
 """
 
 from __future__ import annotations
