@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, html_text, line_dedup, near_dup, packing, pieces, quality_model, quality_rules, suffix_dedup
+from . import (
+    chat, fill_middle, fingerprint, html_text, line_dedup, near_dup, packing, pieces, quality_model, quality_rules,
+    simhash, spelling, suffix_dedup,
+)
 from .common import table
 
 
@@ -59,6 +62,18 @@ def op10_quality_classifier(spark, sf_dir):
     return quality_model.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_middle.fill_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_prob_minhash": op1_prob_minhash,
     "op2_fingerprint": op2_fingerprint,
@@ -70,10 +85,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES = {
     "op4_chat_format": chat.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_fill_in_middle": fill_middle.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
 }
