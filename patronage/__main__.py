@@ -38,6 +38,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--snapshot", default=DEFAULT_SNAPSHOT)
     p.add_argument("--now", default=None, help="fixed current time (default: now)")
     p.add_argument("--page-size", type=int, default=DEFAULT_PAGE_SIZE)
+    p.add_argument("--day-column", help="date partition column of the stored tables: later folders are not read")
     p.add_argument("--allow-duplicates", action="store_true", help="do not fail on duplicate price or name keys")
     return p
 
@@ -49,7 +50,8 @@ def run(args: argparse.Namespace, spark) -> "DataFrame":  # noqa: F821
 
     if args.tables:
         names = ["transfers", "sales", "token_prices", "names"]
-        tables = load_tables(spark, {n: f"{args.tables}/{n}" for n in names})
+        keep = [args.day_column] if args.day_column else []
+        tables = load_tables(spark, {n: f"{args.tables}/{n}" for n in names}, keep=keep)
     else:
         tables = fixture_tables(spark, args.fixture)
     if args.addresses:
@@ -62,6 +64,7 @@ def run(args: argparse.Namespace, spark) -> "DataFrame":  # noqa: F821
         now=args.now,
         page_size=args.page_size,
         validate=not args.allow_duplicates,
+        day_column=args.day_column,
     )
     return BOARDS[args.board](tables, params)
 

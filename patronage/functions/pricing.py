@@ -16,14 +16,10 @@ def is_native_eth(symbol: Column) -> Column:
     return F.coalesce(symbol.isin(*NATIVE_SYMBOLS), F.lit(False))
 
 
-def eth_value(amount: Column, symbol: Column, token_price: Column, weth_price: Column) -> Column:
-    """Amount in ETH: kept for ETH/WETH, else amount * token price / WETH price of that hour.
-
-    A missing price gives null (left out of sums). A zero WETH price gives null
-    instead of a division error.
-    """
-    converted = F.try_divide(amount * token_price, weth_price)
-    return F.when(is_native_eth(symbol), amount).otherwise(converted)
+def eth_value(amount: Column, symbol: Column, rate: Column) -> Column:
+    """Amount in ETH: kept for ETH/WETH, else the amount at that hour's rate (token
+    price / WETH price). Without a rate it is null (left out of sums)."""
+    return F.when(is_native_eth(symbol), amount).otherwise(amount * rate)
 
 
 def div0null(num: Column, den: Column) -> Column:

@@ -1,9 +1,9 @@
 """DataFrame -> DataFrame steps of the two leaderboards."""
 
 from patronage.operators.ordered import previous_in_group, position_in_group
+from patronage.operators.prices import count_cells, hourly_rates, rate_vectors, vectors_for_join
 from patronage.operators.sales import (
     sales_in_scope,
-    hourly_rates,
     sale_eth_values,
     sales_by_seller,
     unpriced_sales,
@@ -21,7 +21,7 @@ from patronage.operators.holding import (
     daily_change,
     days_held,
 )
-from patronage.operators.names import with_display_name
+from patronage.operators.names import with_display_name, with_page_names
 from patronage.operators.checks import (
     DuplicateKeyError,
     assert_unique,
@@ -34,6 +34,9 @@ __all__ = [
     "position_in_group",
     "sales_in_scope",
     "hourly_rates",
+    "rate_vectors",
+    "vectors_for_join",
+    "count_cells",
     "sale_eth_values",
     "sales_by_seller",
     "unpriced_sales",
@@ -47,6 +50,7 @@ __all__ = [
     "daily_change",
     "days_held",
     "with_display_name",
+    "with_page_names",
     "DuplicateKeyError",
     "assert_unique",
     "check_inputs",

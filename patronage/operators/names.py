@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.naming import display_name
@@ -22,10 +22,8 @@ def with_display_name(
 ) -> DataFrame:
     """Add ``ens_or_wallet`` ('<name>.eth' for a wallet with a name in use, else the wallet).
 
-    A plain left join on the wallet. Applied to a top-k page, the left side is
-    k rows; Spark chooses the join from the size of the names side (broadcast
-    when it is small, else one shuffle of the filtered, two-column names
-    table), and the page itself is computed once.
+    A plain left join on the wallet, for tables of any size; a page of a few rows
+    goes through ``with_page_names``.
     """
     in_use = names_in_use(names, smallest_only=smallest_name)
     joined = df.join(in_use, df[wallet_col] == in_use["owner"], "left")
@@ -33,3 +31,40 @@ def with_display_name(
         *[df[c] for c in df.columns],
         display_name(in_use["ens_name"], df[wallet_col]).alias("ens_or_wallet"),
     )
+
+
+def with_page_names(
+    page: DataFrame,
+    names: DataFrame,
+    size: int,
+    wallet_col: str = "wallet",
+    smallest_name: bool = False,
+    unique: bool = True,
+) -> DataFrame:
+    """As ``with_display_name`` for a page of at most ``size`` rows, one a wallet: the
+    names table stays where it is.
+
+    The page is computed once, as the value of a scalar subquery (an array of its
+    rows), and unfolded twice: broadcast to the names, so that each task keeps the
+    names of the page's wallets only, and as the left side of the join with what was
+    found, which is broadcast in turn. Both have a bound that the data cannot exceed:
+    ``size`` rows, and a row a wallet (or ``size`` names a wallet, of which no more
+    can be on the page, if ``unique`` is false).
+
+    With ``unique`` a wallet with several names in use fails the query, unless
+    ``smallest_name`` takes the smallest of them.
+    """
+    rows = page.select(F.collect_list(F.struct(*page.columns)).alias("_rows")).scalar()
+    again = page.sparkSession.range(0, 1, 1, 1).select(rows.alias("_rows")).select(F.inline("_rows"))
+    wanted = F.broadcast(again.select(F.col(wallet_col).alias("_owner")))
+    found = names_in_use(names).join(wanted, F.col("owner") == F.col("_owner")).select("_owner", "ens_name")
+    if unique or smallest_name:
+        found = found.groupBy("_owner").agg(F.min("ens_name").alias("ens_name"), F.count(F.lit(1)).alias("_n"))
+        if not smallest_name:
+            problem = F.raise_error(F.concat(F.lit("names in use: key (owner) is not unique: "), F.col("_owner")))
+            found = found.withColumn("ens_name", F.when(F.col("_n") > 1, problem.cast("string")).otherwise(F.col("ens_name")))
+    else:
+        place = F.row_number().over(Window.partitionBy("_owner").orderBy("ens_name"))
+        found = found.withColumn("_n", place).filter(F.col("_n") <= size)
+    joined = again.join(F.broadcast(found.drop("_n")), F.col(wallet_col) == F.col("_owner"), "left")
+    return joined.select(*page.columns, display_name(F.col("ens_name"), F.col(wallet_col)).alias("ens_or_wallet"))

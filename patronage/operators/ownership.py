@@ -46,7 +46,7 @@ def contract_transfers(
     ERC-1155 transfers are left out unless ``include_erc1155``.
     """
     cond = F.col("block_timestamp") <= snapshot
-    if day_column:
+    if day_column and day_column in transfers.columns:
         cond = cond & (F.col(day_column).cast("date") <= snapshot.cast("date"))
     if not include_erc1155:
         cond = cond & F.col("erc1155_value").isNull()

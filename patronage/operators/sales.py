@@ -2,93 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.pricing import ETH_REFERENCE_SYMBOL, eth_value, is_native_eth
 from patronage.functions.timefuncs import trunc_ntz
 from patronage.operators.contracts import Contracts, in_contracts
+from patronage.operators.prices import prices_in_scope, span_and_place, vectors_for_join
 
 #: Keys over which the sales that need no price are spread in the price join.
 SPREAD = 1024
 
 
-def sales_in_scope(sales: DataFrame, contracts: Contracts, snapshot: Column) -> DataFrame:
+def sales_in_scope(
+    sales: DataFrame, contracts: Contracts, snapshot: Column, day_column: str | None = None
+) -> DataFrame:
     """Sales of the chosen contracts up to the snapshot, with a USD price and a
-    fee that is not negative (a missing fee counts as 0)."""
+    fee that is not negative (a missing fee counts as 0). ``day_column``: a date
+    partition column of ``sales``, so that folders of later days are not read."""
     cond = (
         (F.col("block_timestamp") <= snapshot)
         & (F.col("price_usd") > 0)
         & (F.coalesce(F.col("creator_fee_usd"), F.lit(0.0)) >= 0)
     )
+    if day_column and day_column in sales.columns:
+        cond = cond & (F.col(day_column).cast("date") <= snapshot.cast("date"))
     return in_contracts(sales, "nft_address", contracts, also=cond)
 
 
-def one_price(prices: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """(keys..., price) with one row per key; the query fails when it meets a key
-    that has several prices."""
-    found = prices.groupBy(*keys).agg(F.max("price").alias("_price"), F.count(F.lit(1)).alias("_n"))
-    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    problem = F.raise_error(F.concat(F.lit(f"{what}: key ({', '.join(keys)}) is not unique: "), shown)).cast("double")
-    return found.select(*keys, F.when(F.col("_n") > 1, problem).otherwise(F.col("_price")).alias("price"))
-
-
-def hourly_rates(
-    token_prices: DataFrame, snapshot: Column | None = None, unique: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Token prices (hour, currency_address, token_price) and WETH prices (hour,
-    weth_price) of the hours up to the snapshot. With ``unique`` (one price per
-    key, else the query fails) the WETH table has one row an hour, a bound that
-    the data cannot exceed (about 2 MB in ten years), so it is broadcast."""
-    prices = token_prices
-    if snapshot is not None:
-        prices = prices.filter(F.col("hour") <= trunc_ntz("hour", snapshot))
-    weth = prices.filter(F.col("symbol") == ETH_REFERENCE_SYMBOL)
-    if unique:
-        prices = one_price(prices, ["hour", "token_address"], "hourly token prices")
-        weth = one_price(weth, ["hour"], "WETH prices")
-    tokens = prices.select(
-        "hour", F.col("token_address").alias("currency_address"), F.col("price").alias("token_price")
-    )
-    weth = weth.select("hour", F.col("price").alias("weth_price"))
-    return tokens, F.broadcast(weth) if unique else weth
-
-
 def sale_eth_values(
-    sales: DataFrame, token_prices: DataFrame, contracts: Contracts, snapshot: Column, unique: bool = True
+    sales: DataFrame,
+    token_prices: DataFrame,
+    contracts: Contracts,
+    snapshot: Column,
+    unique: bool = True,
+    day_column: str | None = None,
+    **limits: int,
 ) -> DataFrame:
     """One row per sale in scope with ``price_eth`` and ``creator_fee_eth``.
 
-    One scan of the sales. ETH and WETH sales need no price: they join under keys
-    that no currency has, spread over SPREAD values, so that the busiest
-    currencies never gather in one task when the price join is a shuffle (it is a
-    broadcast where Spark knows the prices to be small).
+    One scan of the sales, one of the prices. The prices become vectors by currency
+    (see ``prices.py``); where these are small, or are counted to be within a limit,
+    they are broadcast and no sale is shuffled. Beyond that the sales are dealt by
+    currency and span: Spark splits a busy currency, and ETH and WETH sales, which
+    need no price, join under keys that no currency has, spread over SPREAD values.
+    ``limits``: ``small_bytes`` and ``broadcast_cells`` of ``vectors_for_join``.
+
+    A price key that is not unique fails the query; with ``unique`` false it
+    multiplies the sales instead, as a plain join with the price table does.
     """
-    scoped = sales_in_scope(sales, contracts, snapshot)
+    scoped = sales_in_scope(sales, contracts, snapshot, day_column)
     symbol = F.col("currency_symbol")
     native = is_native_eth(symbol)
-    # a space: no address has one
-    spread = F.concat(F.lit("no currency "), F.pmod(F.xxhash64("tx_hash"), F.lit(SPREAD)).cast("string"))
-    keyed = scoped.select(
-        F.col("seller_address").alias("wallet"),
-        *[F.col(c) for c in scoped.columns if c != "seller_address"],
-        trunc_ntz("hour", F.col("block_timestamp")).alias("_hour"),
-        F.when(native | F.col("currency_address").isNull(), spread).otherwise(F.col("currency_address")).alias("_currency"),
-    )
-    tokens, weth = hourly_rates(token_prices, snapshot, unique)
-    tokens = tokens.toDF("_hour", "_currency", "token_price")
-    joined = keyed.join(tokens, ["_hour", "_currency"], "left").join(weth.toDF("_hour", "weth_price"), "_hour", "left")
-    token_price, weth_price = F.col("token_price"), F.col("weth_price")
-    return joined.select(
-        *[F.col(c) for c in keyed.columns if not c.startswith("_")],
-        eth_value(F.col("price"), symbol, token_price, weth_price).alias("price_eth"),
-        eth_value(F.col("creator_fee"), symbol, token_price, weth_price).alias("creator_fee_eth"),
-        (native | F.try_divide(token_price, weth_price).isNotNull()).alias("priced"),
+    kept = [F.col("seller_address").alias("wallet"), *[F.col(c) for c in scoped.columns if c != "seller_address"]]
+    if unique:
+        vectors, small = vectors_for_join(token_prices, snapshot, day_column, **limits)
+        priced = _with_rate(scoped.select(*kept), vectors, native, spread=not small)
+    else:
+        priced = _with_any_rate(scoped.select(*kept), prices_in_scope(token_prices, snapshot, day_column), native)
+    rate = F.col("_rate")
+    return priced.select(
+        *[F.col(c) for c in priced.columns if c != "_rate"],
+        eth_value(F.col("price"), symbol, rate).alias("price_eth"),
+        eth_value(F.col("creator_fee"), symbol, rate).alias("creator_fee_eth"),
+        (native | rate.isNotNull()).alias("priced"),
     )
 
 
+def _spread_key(native: Column, spread: bool) -> Column:
+    """The currency that a sale joins prices on; sales without one have none, or a
+    key of their own (a space: no address has one) if they must not gather."""
+    none = F.lit(None).cast("string")
+    if spread:
+        none = F.concat(F.lit("no currency "), F.pmod(F.xxhash64("tx_hash"), F.lit(SPREAD)).cast("string"))
+    return F.when(native | F.col("currency_address").isNull(), none).otherwise(F.col("currency_address"))
+
+
+def _with_rate(rows: DataFrame, vectors: DataFrame, native: Column, spread: bool) -> DataFrame:
+    """``rows`` with ``_rate``, the ETH for a unit of their currency in their hour."""
+    span, place = span_and_place("block_timestamp")
+    keyed = rows.withColumns({"_currency": _spread_key(native, spread), "_span": F.expr(span)})
+    joined = keyed.join(vectors.toDF("_currency", "_span", "_first", "_rates"), ["_currency", "_span"], "left")
+    return joined.select(*rows.columns, F.expr(f"get(_rates, {place} - _first) AS _rate"))
+
+
+def _with_any_rate(rows: DataFrame, prices: DataFrame, native: Column) -> DataFrame:
+    """As ``_with_rate``, for price tables whose keys need not be unique: a sale has a
+    row for every price of its currency and hour, and every WETH price of the hour."""
+    tokens = prices.select(F.col("hour").alias("_hour"), F.col("token_address").alias("_currency"), F.col("price").alias("_token"))
+    weth = prices.filter(F.col("symbol") == ETH_REFERENCE_SYMBOL).select(F.col("hour").alias("_hour"), F.col("price").alias("_weth"))
+    keyed = rows.withColumns({"_hour": trunc_ntz("hour", F.col("block_timestamp")), "_currency": _spread_key(native, True)})
+    joined = keyed.join(tokens, ["_hour", "_currency"], "left").join(weth, "_hour", "left")
+    return joined.select(*rows.columns, F.try_divide("_token", "_weth").alias("_rate"))
+
+
 def sales_by_seller(
     sales: DataFrame,
     token_prices: DataFrame,
@@ -96,21 +103,26 @@ def sales_by_seller(
     snapshot: Column,
     exact_txns: bool = False,
     unique: bool = True,
+    day_column: str | None = None,
+    both_counts: bool = False,
 ) -> DataFrame:
     """Per seller: vol_eth, creator_fee_eth, vol_usd, creator_fee_usd, num_txns.
 
-    ``num_txns`` is approximate (HyperLogLog++) unless ``exact_txns``.
+    ``num_txns`` is approximate (HyperLogLog++) unless ``exact_txns``; with
+    ``both_counts`` the exact one stands beside it (``num_txns_exact``), from the
+    same pass over the sales.
     """
-    rows = sale_eth_values(sales, token_prices, contracts, snapshot, unique)
-    txns = (
-        F.countDistinct("tx_hash") if exact_txns else F.approx_count_distinct("tx_hash")
-    ).alias("num_txns")
+    rows = sale_eth_values(sales, token_prices, contracts, snapshot, unique, day_column)
+    exact, approximate = F.countDistinct("tx_hash"), F.approx_count_distinct("tx_hash")
+    counts = [(exact if exact_txns else approximate).alias("num_txns")]
+    if both_counts:
+        counts.append(exact.alias("num_txns_exact"))
     return rows.groupBy("wallet").agg(
         F.sum("price_eth").alias("vol_eth"),
         F.sum("creator_fee_eth").alias("creator_fee_eth"),
         F.sum("price_usd").alias("vol_usd"),
         F.sum("creator_fee_usd").alias("creator_fee_usd"),
-        txns,
+        *counts,
     )
 
 

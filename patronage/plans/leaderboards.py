@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.pricing import div0null
 from patronage.operators.holding import days_held
-from patronage.operators.names import with_display_name
+from patronage.operators.names import with_page_names
 from patronage.operators.ownership import contract_transfers, current_holders, current_owner
 from patronage.operators.sales import sales_by_seller
 from patronage.plans.params import Params
@@ -50,14 +50,13 @@ def ranked_page(
     numbered after the names are known and cut to the page again: every wallet
     gives at least one row, so the page lies within those wallets. The window
     that numbers them is not partitioned; it sees these few rows only. With
-    ``params.validate`` a wallet with several names fails the query instead.
+    ``params.validate`` a wallet with several names fails the query instead. The
+    names table is not shuffled (``with_page_names``).
     """
     top = rows.orderBy(*order).limit(params.page_size)
-    named = with_display_name(top, tables.names, "wallet", smallest_name=params.smallest_name)
-    if params.validate and not params.smallest_name:
-        several = F.count(F.lit(1)).over(Window.partitionBy("wallet")) > 1
-        problem = F.raise_error(F.concat(F.lit("names in use: key (owner) is not unique: "), F.col("wallet")))
-        named = named.withColumn("ens_or_wallet", F.when(several, problem.cast("string")).otherwise(F.col("ens_or_wallet")))
+    named = with_page_names(
+        top, tables.names, params.page_size, smallest_name=params.smallest_name, unique=params.validate
+    )
     by = Window.orderBy(*order, F.col("ens_or_wallet").asc())
     page = named.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= params.page_size)
     shaped = [F.col(c).alias(c, metadata={"label": LABELS[c]}) for c in ["rank", "ens_or_wallet", *columns]]
@@ -72,8 +71,9 @@ def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
     """
     snap = params.snapshot()
     sellers = sales_by_seller(
-        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=False, unique=params.validate
-    )
+        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=False, unique=params.validate,
+        day_column=params.day_column,
+    )
     scored = sellers.select(
         "wallet",
         F.coalesce(F.col("creator_fee_usd"), F.lit(0.0)).alias("creator_fee_usd"),
@@ -87,11 +87,12 @@ def fee_leaderboard(tables: Tables, params: Params) -> DataFrame:
 def holders_with_fees(tables: Tables, params: Params) -> DataFrame:
     """Current holders (burn addresses out) with their exact-count sales figures."""
     snap = params.snapshot()
-    ct = contract_transfers(tables.transfers, params.addresses, snap)
+    ct = contract_transfers(tables.transfers, params.addresses, snap, day_column=params.day_column)
     holders = current_holders(current_owner(ct), params.excluded_wallets)
     sellers = sales_by_seller(
-        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=True, unique=params.validate
-    )
+        tables.sales, tables.token_prices, params.addresses, snap, exact_txns=True, unique=params.validate,
+        day_column=params.day_column,
+    )
     fees = sellers.select(
         "wallet",
         "creator_fee_usd",
@@ -128,7 +129,7 @@ def holding_period_leaderboard(tables: Tables, params: Params) -> DataFrame:
     the holder leaderboard. Columns: rank, ens_or_wallet, days_held, then the
     holder columns."""
     snap = params.snapshot()
-    ct = contract_transfers(tables.transfers, params.addresses, snap)
+    ct = contract_transfers(tables.transfers, params.addresses, snap, day_column=params.day_column)
     held = days_held(ct, snap).select("wallet", "days_held")
     rows = holders_with_fees(tables, params).join(held, "wallet", "left")
     order = [

@@ -28,6 +28,9 @@ class Params:
     ``validate`` (default): the query fails, while it runs, when it meets a price
     key or a wallet of the page that is not unique; without it duplicate prices
     multiply sales and a wallet with two names has two rows, as plain joins do.
+    ``day_column``: name of a date partition column of the stored tables (kept by
+    ``load_tables(keep=[...])``): folders of days after the snapshot are not read, in
+    each of transfers, sales and prices that has the column.
     ``smallest_name``: if a wallet has several names in use, show the smallest
     instead.
     """
@@ -40,6 +43,7 @@ class Params:
     creator_fee_perc: float = DEFAULT_CREATOR_FEE_PERC
     validate: bool = True
     smallest_name: bool = False
+    day_column: str | None = None
 
     def __post_init__(self) -> None:
         if self.page_size < 1:

@@ -1,6 +1,8 @@
 """Plan shape: filters reach the Parquet scan, top-k is one ordered limit,
 no nested-loop or cartesian join, current owner is an aggregate."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -15,7 +17,21 @@ C1, C2 = contract("a"), contract("b")
 
 
 def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan as text; a subquery that is named in several places (and runs once)
+    is written out in the first only."""
+    seen, kept, skipping = set(), [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if skipping is not None and depth > skipping:
+            continue
+        skipping = None
+        named = re.match(r"[ :+-]*Subquery (subquery#\d+)", line)
+        if named and named[1] in seen:
+            skipping = depth
+        elif named:
+            seen.add(named[1])
+        kept.append(line)
+    return "\n".join(kept)
 
 
 @pytest.fixture(scope="module")
@@ -93,23 +109,38 @@ def test_days_held_windows_are_per_wallet(stored):
         assert "windowspecdefinition(wallet" in line
 
 
-def test_sales_are_priced_in_one_scan(stored):
-    """Small prices are broadcast, so no sale is shuffled; shuffled, the sales that
-    need no price are spread and no null key gathers rows."""
-    values = lambda: ops.sale_eth_values(
-        stored.sales, stored.token_prices, PARAMS.addresses, PARAMS.snapshot()
-    )
-    spark = stored.sales.sparkSession
-    assert _scans_per_table(plan_of(values()))["sales"] == 1
-    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(values())
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
-    assert _scans_per_table(plan)["sales"] == 1
-    assert "SortMergeJoin [_hour" in plan and "BroadcastHashJoin [_hour" in plan  # tokens; WETH, one row an hour
-    assert "no currency" in plan
+@pytest.fixture
+def no_automatic_broadcasts(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    held = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def _values(stored, **limits):
+    return ops.sale_eth_values(stored.sales, stored.token_prices, PARAMS.addresses, PARAMS.snapshot(), **limits)
+
+
+@pytest.mark.parametrize("limits", [{}, {"small_bytes": 0}])
+def test_sales_are_priced_where_they_lie(stored, no_automatic_broadcasts, limits):
+    """Small prices, by Spark's estimate or by the count of their hours, are broadcast
+    whatever the session's thresholds: one scan each, no exchange of sales."""
+    plan = plan_of(_values(stored, **limits))
+    assert _scans_per_table(plan) == {"sales": 1, "token_prices": 1}
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(span" in plan  # the prices, once
+    assert "BroadcastHashJoin [_currency" in plan and "SortMergeJoin" not in plan
+
+
+def test_sales_beyond_the_limit_are_dealt_by_currency(stored, no_automatic_broadcasts):
+    """Then the sales that need no price are spread and no null key gathers rows."""
+    df = _values(stored, small_bytes=0, broadcast_cells=0)
+    plan = plan_of(df)
+    assert _scans_per_table(plan) == {"sales": 1, "token_prices": 1}
+    assert "SortMergeJoin [_currency" in plan and "no currency" in plan
+    assert [r["price_eth"] for r in df.collect()] == [r["price_eth"] for r in _values(stored).collect()]
 
 
 BOARDS = [fee_leaderboard, holder_leaderboard, holding_period_leaderboard]
@@ -181,11 +212,10 @@ def _scans_per_table(plan: str) -> dict:
 @pytest.mark.parametrize(
     "fn,expected",
     [
-        # prices twice: by token, and the WETH price by hour
-        (fee_leaderboard, {"sales": 1, "token_prices": 2, "names": 1}),
-        (holder_leaderboard, {"transfers": 1, "sales": 1, "token_prices": 2, "names": 1}),
+        (fee_leaderboard, {"sales": 1, "token_prices": 1, "names": 1}),
+        (holder_leaderboard, {"transfers": 1, "sales": 1, "token_prices": 1, "names": 1}),
         # transfers once more for days held
-        (holding_period_leaderboard, {"transfers": 2, "sales": 1, "token_prices": 2, "names": 1}),
+        (holding_period_leaderboard, {"transfers": 2, "sales": 1, "token_prices": 1, "names": 1}),
     ],
 )
 def test_no_subtree_computed_twice(stored, fn, expected):
@@ -193,4 +223,58 @@ def test_no_subtree_computed_twice(stored, fn, expected):
 
 
 def test_holder_plans_hold_no_sets(stored):
-    assert "ObjectHashAggregate" not in plan_of(holder_leaderboard(stored, PARAMS))
+    """Lists are made of the hours of a price span and of the rows of the page alone."""
+    plan = plan_of(holder_leaderboard(stored, PARAMS))
+    lists = [line for line in plan.splitlines() if "ObjectHashAggregate" in line or "collect_" in line]
+    assert lists and all("token_address" in line or "keys=[], functions=[" in line or "_cells" in line for line in lists)
+    assert "collect_set" not in plan
+
+
+@pytest.mark.parametrize("fn", BOARDS)
+@pytest.mark.parametrize("options", [{}, {"smallest_name": True}, {"validate": False}])
+def test_names_stay_where_they_are(stored, no_automatic_broadcasts, fn, options):
+    """With all automatic broadcasts off: the names are read once and joined with the
+    broadcast page before anything is dealt; what is dealt are the page's names."""
+    params = Params(addresses=PARAMS.addresses, snapshot_time=PARAMS.snapshot_time, now=PARAMS.now, **options)
+    plan = plan_of(fn(stored, params))
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan parquet [owner" in line)
+    above = lines[: scan + 1][::-1]
+    depth = len(above[0])
+    path = []  # from the scan up to the root
+    for line in above:
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth = indent
+            path.append(line.lstrip(" :+-"))
+    steps = [x.split(" ")[0] for x in path if re.match("Exchange|BroadcastHashJoin|SortMergeJoin|BroadcastExchange", x)]
+    assert steps[0] == "BroadcastHashJoin", steps
+    assert "SortMergeJoin [wallet" not in "\n".join(path) and "BroadcastExchange" in steps
+    assert _scans_per_table(plan)["names"] == 1 and plan.count("TakeOrderedAndProject(limit=10") == 2
+
+
+@pytest.mark.parametrize("fn", BOARDS)
+def test_leaderboards_skip_day_folders(spark, stored, tmp_path, fn):
+    from pyspark.sql import functions as F
+
+    paths = {}
+    for name, time in (("transfers", "block_timestamp"), ("sales", "block_timestamp"), ("token_prices", "hour"), ("names", None)):
+        table = getattr(stored, name)
+        paths[name] = str(tmp_path / name)
+        if time is None:
+            table.write.parquet(paths[name])
+            continue
+        late = table.withColumn(time, F.col(time) + F.expr("INTERVAL 60 DAYS"))
+        late = late.withColumns({c: late[c] for c in table.columns})
+        days = table.union(late.select(table.columns)).withColumn("on_day", F.col(time).cast("date"))
+        days.write.partitionBy("on_day").parquet(paths[name])
+    tables = load_tables(spark, paths, keep=["on_day"])
+    want = fn(stored, PARAMS).collect()
+    for column in (None, "on_day"):
+        params = Params(addresses=PARAMS.addresses, snapshot_time=PARAMS.snapshot_time, now=PARAMS.now, day_column=column)
+        df = fn(tables, params)
+        assert df.collect() == want
+        scans = [x for x in plan_of(df).splitlines() if "FileScan parquet" in x and "nft_" in x or "token_address" in x and "FileScan" in x]
+        assert scans
+        for scan in scans:
+            assert ("PartitionFilters: [isnotnull(on_day" in scan) == (column is not None)
