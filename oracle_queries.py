@@ -109,6 +109,10 @@ QUERIES: dict[str, str] = {
     ),
     "sales_by_seller": _sql(f"SELECT wallet, {_SUMS}, true AS num_txns_close FROM sellers"),
     "sales_by_seller_exact": _sql(f"SELECT wallet, {_SUMS}, num_txns FROM sellers"),
+    "sales_by_seller_merged": _sql(f"SELECT wallet, {_SUMS}, true AS num_txns_close FROM sellers"),
+    "sales_of_contract_table": _sql(
+        f"SELECT contract AS nft_address, count(*) AS num_sales FROM happened WHERE contract IN {_texts(CHOSEN)} GROUP BY contract"
+    ),
     "eth_value": _sql(
         f"""SELECT wallet, tx_hash, ts AS block_timestamp, symbol AS currency_symbol, {_rounded('price', 'price_usd')},
         round(price * in_eth, 6) AS price_eth, round(fee * in_eth, 6) AS creator_fee_eth FROM valued"""
@@ -125,6 +129,10 @@ QUERIES: dict[str, str] = {
     "transfer_rank_asc": _sql(
         f"SELECT {_MOVED}, n AS block_number, count(*) OVER (PARTITION BY contract, token ORDER BY n) AS rank_asc FROM moved"
     ),
+    "transfer_ranks": _sql(
+        f"""SELECT {_MOVED}, n AS block_number, count(*) OVER (PARTITION BY contract, token ORDER BY n DESC) AS rank_desc,
+        count(*) OVER (PARTITION BY contract, token ORDER BY n) AS rank_asc FROM moved"""
+    ),
     "erc721_holdings": _sql(f"SELECT wallet, {_MOVED}, 1::BIGINT AS num_held FROM owners"),
     "erc1155_holdings": _sql(f"SELECT wallet, {_MOVED}, num_held FROM balances"),
     "all_holdings_both": _sql(

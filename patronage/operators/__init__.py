@@ -1,13 +1,16 @@
 """DataFrame -> DataFrame steps of the two leaderboards."""
 
-from patronage.operators.ordered import previous_in_group, position_in_group
+from patronage.operators.ordered import previous_in_group, position_in_group, positions_in_group
 from patronage.operators.prices import count_cells, hourly_rates, rate_vectors, vectors_for_join
 from patronage.operators.sales import (
     sales_in_scope,
     sale_eth_values,
     sales_by_seller,
+    seller_days,
+    merge_seller_days,
     unpriced_sales,
 )
+from patronage.operators.contracts import in_contracts, maybe_in
 from patronage.operators.ownership import (
     contract_transfers,
     current_owner,
@@ -32,6 +35,7 @@ from patronage.operators.checks import (
 __all__ = [
     "previous_in_group",
     "position_in_group",
+    "positions_in_group",
     "sales_in_scope",
     "hourly_rates",
     "rate_vectors",
@@ -39,7 +43,11 @@ __all__ = [
     "count_cells",
     "sale_eth_values",
     "sales_by_seller",
+    "seller_days",
+    "merge_seller_days",
     "unpriced_sales",
+    "in_contracts",
+    "maybe_in",
     "contract_transfers",
     "current_owner",
     "token_balances",

@@ -15,6 +15,9 @@ Contracts = str | Iterable[str] | DataFrame
 LITERAL_ADDRESSES = 1_000
 #: One of at most this many is broadcast (about 60 MB).
 BROADCAST_ADDRESSES = 1_000_000
+#: Words of 64 bits in the Bloom filter of a longer one, at most, and addresses a word
+#: below that: 64 MB, and about 1 of 60 other rows let through.
+BLOOM_WORDS, BLOOM_ADDRESSES_A_WORD = 4_000_000, 4
 
 
 def in_contracts(
@@ -32,9 +35,11 @@ def in_contracts(
     the Parquet reader uses to skip row groups. A DataFrame (first column holds
     the addresses) is validated with the same rule and counted first, up to the
     limits: few addresses become a literal list, more are broadcast, and beyond
-    that the rows are joined by shuffle. The shuffle key is a struct around the
-    address, so the rows do not count as dealt by contract afterwards: a later
-    aggregate by token deals them anew instead of leaving one contract to one task.
+    that the rows are joined by shuffle, after a Bloom filter of the addresses has
+    taken out nearly all rows of other contracts (``maybe_in``). The shuffle key is a
+    struct around the address, so the rows do not count as dealt by contract
+    afterwards: a later aggregate by token deals them anew instead of leaving one
+    contract to one task.
     """
     if not isinstance(contracts, DataFrame):
         cond = F.col(column).isin(parse_contract_list(contracts))
@@ -46,5 +51,32 @@ def in_contracts(
     if n <= literal:
         return kept.filter(F.col(column).isin([r[0] for r in wanted.limit(literal).collect()]))
     key = wanted.select(F.struct("_address").alias("_wanted"))
-    key = F.broadcast(key) if n <= broadcast else key
-    return kept.join(key, F.struct(F.col(column).alias("_address")) == F.col("_wanted"), "left_semi")
+    same = F.struct(F.col(column).alias("_address")) == F.col("_wanted")
+    if n <= broadcast:
+        return kept.join(F.broadcast(key), same, "left_semi")
+    # the addresses are distinct; Spark would move a semi join below the filter's join
+    return maybe_in(kept, column, wanted, wanted.count()).join(key, same).select(*df.columns)
+
+
+def _word_and_bits(address: Column, words: int) -> tuple[Column, Column]:
+    """The word of the filter that an address falls on, and its four bits there."""
+    place = F.xxhash64(F.lit(1), address)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(place, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.xxhash64(address), F.lit(words)), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame, n: int, most_words: int = BLOOM_WORDS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be one of the ``n`` addresses of ``wanted``
+    (its first column): all that are, and few others. Null is none of them.
+
+    A blocked Bloom filter: an address sets four bits in one word of 64, the words are
+    combined by a bitwise or (map-side first), and rows look their word up in
+    the broadcast words. These are at most ``most_words`` whatever ``n`` is; with more
+    addresses than they are made for, more other rows pass.
+    """
+    words = max(1, min(most_words, -(-n // BLOOM_ADDRESSES_A_WORD)))
+    word, bits = _word_and_bits(F.col(wanted.columns[0]), words)
+    bloom = wanted.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_held"))
+    word, bits = _word_and_bits(F.col(column), words)
+    found = df.filter(F.col(column).isNotNull()).withColumns({"_word": word, "_bits": bits}).join(F.broadcast(bloom), "_word")
+    return found.filter(F.col("_held").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(*df.columns)

@@ -87,3 +87,37 @@ def position_in_group(
         .filter(~F.col(_CARRY_FLAG))
         .drop(_CARRY_FLAG, _CARRY)
     )
+
+
+def positions_in_group(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    forward: str,
+    backward: str,
+) -> DataFrame:
+    """Add both 1-based positions of each row in its ``keys`` group: ``forward`` in
+    ascending ``order``, ``backward`` in descending order.
+
+    One shuffle of the rows: the carry row of a chunk brings the rows before it and
+    the rows of the whole group, and the backward position follows from the forward
+    one.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys).orderBy(chunk)
+    earlier = F.coalesce(F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carry = counts.select(*keys, chunk, F.struct(earlier.alias("earlier"), total.alias("total")).alias(_CARRY))
+
+    both = _with_carry_rows(df.withColumn(_CARRY, F.lit(None).cast(carry.schema[_CARRY].dataType)), carry)
+    in_chunk = Window.partitionBy(*keys, chunk).orderBy(F.col(_CARRY_FLAG).desc(), *[F.col(c).asc() for c in order])
+    brought = F.first(F.col(_CARRY), ignorenulls=True).over(in_chunk)
+    return (
+        both.withColumns({_CARRY: brought, forward: F.row_number().over(in_chunk)})
+        .filter(~F.col(_CARRY_FLAG))
+        .withColumn(forward, (F.col(forward) - 1 + F.col(_CARRY)["earlier"]).cast("long"))
+        .withColumn(backward, (F.col(_CARRY)["total"] + 1 - F.col(forward)).cast("long"))
+        .drop(_CARRY_FLAG, _CARRY)
+    )

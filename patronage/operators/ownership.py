@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patronage.functions.addresses import DEFAULT_EXCLUDED_WALLETS
 from patronage.functions.timefuncs import trunc_ntz
 from patronage.operators.contracts import Contracts, in_contracts
-from patronage.operators.ordered import position_in_group
+from patronage.operators.ordered import position_in_group, positions_in_group
 
 # Blocks per chunk of the per-token rank window: one task sorts at most the
 # transfers of one token within this many blocks.
@@ -42,7 +42,8 @@ def contract_transfers(
     Columns: nft_contract_address, token_id, block_time, day, from_address,
     to_address, amount (ERC-1155 value, else 1), is_erc1155, block_number,
     event_index; with ``with_rank`` also ``rank_desc`` (1 = latest transfer of
-    the token), with ``with_rank_asc`` also ``rank_asc`` (1 = mint).
+    the token), with ``with_rank_asc`` also ``rank_asc`` (1 = mint); both together
+    come from one shuffle of the rows.
     ERC-1155 transfers are left out unless ``include_erc1155``.
     """
     cond = F.col("block_timestamp") <= snapshot
@@ -67,6 +68,9 @@ def contract_transfers(
         return out
     out = out.withColumn("_chunk", F.expr(f"block_number div {int(chunk_blocks)}"))
     keys = ("block_number", "event_index", "to_address", "from_address")
+    if with_rank and with_rank_asc:
+        out = positions_in_group(out, TOKEN_SORT_KEYS, "_chunk", keys, "rank_asc", "rank_desc")
+        return out.select(*[c for c in out.columns if c not in ("_chunk", "rank_asc", "rank_desc")], "rank_desc", "rank_asc")
     if with_rank:
         out = position_in_group(
             out, TOKEN_SORT_KEYS, "_chunk", [F.col(c).desc() for c in keys], "rank_desc", descending=True

@@ -126,6 +126,41 @@ def sales_by_seller(
     )
 
 
+def seller_days(
+    sales: DataFrame,
+    token_prices: DataFrame,
+    contracts: Contracts,
+    snapshot: Column,
+    unique: bool = True,
+    day_column: str | None = None,
+    log_size: int = 12,
+) -> DataFrame:
+    """Per seller and day, what ``merge_seller_days`` adds up over any days: the sums
+    of ``sales_by_seller`` and a sketch of the day's transactions (HyperLogLog,
+    ``2 ** log_size`` registers; at most 4 KB for 12).
+
+    Written once a day, a later leaderboard reads these rows instead of the sales.
+    """
+    rows = sale_eth_values(sales, token_prices, contracts, snapshot, unique, day_column)
+    return rows.groupBy("wallet", F.col("block_timestamp").cast("date").alias("day")).agg(
+        F.sum("price_eth").alias("vol_eth"),
+        F.sum("creator_fee_eth").alias("creator_fee_eth"),
+        F.sum("price_usd").alias("vol_usd"),
+        F.sum("creator_fee_usd").alias("creator_fee_usd"),
+        F.hll_sketch_agg(F.col("tx_hash").cast("string"), F.lit(log_size)).alias("txns"),
+    )
+
+
+def merge_seller_days(days: DataFrame) -> DataFrame:
+    """``sales_by_seller`` (``num_txns`` estimated) from the rows of ``seller_days``, of
+    one table or of a union of several: a transaction that several days hold counts
+    once."""
+    sums = ["vol_eth", "creator_fee_eth", "vol_usd", "creator_fee_usd"]
+    return days.groupBy("wallet").agg(
+        *[F.sum(c).alias(c) for c in sums], F.hll_sketch_estimate(F.hll_union_agg("txns")).alias("num_txns")
+    )
+
+
 def unpriced_sales(
     sales: DataFrame, token_prices: DataFrame, contracts: Contracts, snapshot: Column
 ) -> DataFrame:

@@ -1,0 +1,143 @@
+"""Long contract tables through a Bloom filter, both ranks in one pass, sketches
+of transactions that merge."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import contract, wallet
+from test_edges import _params, _sale
+from test_plans import plan_of
+from patronage import operators as ops
+from patronage.operators import contracts
+
+C1 = contract("a")
+
+
+def addresses(spark, n):
+    """0x and 40 digits, as wallets are."""
+    return spark.range(n).selectExpr("concat('0x', lpad(CAST(id AS STRING), 40, '0')) AS address")
+
+
+def test_filter_lets_all_members_and_few_others_through(spark):
+    rows = addresses(spark, 40_000).withColumn("n", F.lit(1))
+    wanted = addresses(spark, 10_000)
+    found = ops.maybe_in(rows.union(rows.limit(1).select(F.lit(None).cast("string"), "n")), "address", wanted, 10_000)
+    assert found.columns == rows.columns
+    seen = {r[0] for r in found.select("address").collect()}
+    assert None not in seen
+    assert {r[0] for r in wanted.collect()} <= seen
+    assert len(seen) - 10_000 < 30_000 / 25
+    crowded = ops.maybe_in(rows, "address", wanted, 10_000, most_words=100)  # far too few words: still all members
+    assert crowded.join(wanted, "address", "left_semi").count() == 10_000
+    assert ops.maybe_in(rows, "address", wanted.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("words", [contracts.BLOOM_WORDS, 1])
+def test_long_contract_tables_are_exact(spark, monkeypatch, words):
+    monkeypatch.setattr(contracts.maybe_in, "__defaults__", (words,))
+    rng = random.Random(7)
+    rows = [(wallet(rng.randrange(300)) if rng.random() < 0.9 else None, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "nft_address string, n int")
+    chosen = [wallet(i) for i in range(0, 300, 3)]
+    messy = [(f" {x.upper().replace('0X', '0x')} ",) for x in chosen] + [("nonsense",), (None,)] + [(x,) for x in chosen[:5]]
+    wanted = spark.createDataFrame(messy, "address string")
+    also = F.col("n") % 2 == 0
+    got = ops.in_contracts(df, "nft_address", wanted, also=also, literal=0, broadcast=0).collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] in set(chosen) and r[1] % 2 == 0)
+
+
+def test_only_rows_that_pass_the_filter_are_shuffled(spark):
+    df = addresses(spark, 1000).withColumnRenamed("address", "nft_address")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(ops.in_contracts(df, "nft_address", addresses(spark, 50), literal=0, broadcast=0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    lines = [x.lstrip(" :+-") for x in plan.splitlines()]
+    top = next(i for i, x in enumerate(lines) if x.startswith("SortMergeJoin"))
+    exchange = next(i for i, x in enumerate(lines) if i > top and x.startswith("Exchange"))
+    bloom = next(i for i, x in enumerate(lines) if x.startswith("BroadcastHashJoin [_word"))
+    assert top < exchange < bloom
+
+
+def _ranked(spark, seed, chunk):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.randrange(200), i, rng.choice(["x", "y", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, block long, event int, v string")
+    return df.withColumn("c", F.expr(f"block div {chunk}"))
+
+
+@pytest.mark.parametrize("chunk", [1, 17, 1000])
+def test_both_positions_are_those_of_two_passes(spark, chunk):
+    order = ["block", "event", "v"]
+    df = _ranked(spark, chunk, chunk)
+    got = ops.positions_in_group(df, ["k", "t"], "c", order, "up", "down")
+    one = ops.position_in_group(df, ["k", "t"], "c", [F.col(c).asc() for c in order], "up")
+    two = ops.position_in_group(one, ["k", "t"], "c", [F.col(c).desc() for c in order], "down", descending=True)
+    assert got.columns == two.columns and got.dtypes == two.dtypes
+    of_rows = lambda d: len(re.findall(r"Exchange hashpartitioning\(k#\d+, t#\d+, c#", plan_of(d)))
+    assert of_rows(got) == 2 and of_rows(two) >= 4  # the rows once, and their counts
+    assert sorted(map(str, got.collect())) == sorted(map(str, two.collect()))
+
+
+def test_both_ranks_from_one_shuffle(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    queries = E.queries()
+    both = queries["transfer_ranks"](spark, SF_SMALL)
+    asc = queries["transfer_rank_asc"](spark, SF_SMALL)
+    desc = queries["nft_transfers"](spark, SF_SMALL).select("nft_contract_address", "token_id", "block_number", "rank_desc")
+    want = desc.join(asc, ["nft_contract_address", "token_id", "block_number"])
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _some_sales(seed, n=3000):
+    """Transactions that several sellers and several days share."""
+    rng = random.Random(seed)
+    return [
+        _sale(wallet(5 + rng.randrange(3)), C1, f"2024-01-{1 + rng.randrange(20):02d} {rng.randrange(24):02d}:00:00",
+              rng.randrange(900), "ETH", "ETH", 1.0, 2.0, 0.1, 0.25)
+        for _ in range(n)
+    ]
+
+
+def test_days_merge_to_the_whole(make_tables, tmp_path, spark):
+    t = make_tables(sales=_some_sales(1))
+    snap = _params().snapshot()
+    whole = {r["wallet"]: r for r in ops.sales_by_seller(t.sales, t.token_prices, C1, snap, exact_txns=True).collect()}
+    days = ops.seller_days(t.sales, t.token_prices, C1, snap)
+    days.write.partitionBy("day").parquet(str(tmp_path / "days"))
+    stored = spark.read.parquet(str(tmp_path / "days"))
+    assert stored.count() == 60
+    early, late = stored.filter("day < '2024-01-11'"), stored.filter("day >= '2024-01-11'")
+    for merged in (ops.merge_seller_days(days), ops.merge_seller_days(stored), ops.merge_seller_days(late.union(early))):
+        rows = merged.collect()
+        assert merged.columns == ["wallet", "vol_eth", "creator_fee_eth", "vol_usd", "creator_fee_usd", "num_txns"]
+        assert {r["wallet"] for r in rows} == set(whole)
+        for r in rows:
+            want = whole[r["wallet"]]
+            for c in ("vol_eth", "creator_fee_eth", "vol_usd", "creator_fee_usd"):
+                assert r[c] == pytest.approx(want[c])
+            assert abs(r["num_txns"] - want["num_txns"]) <= 0.08 * want["num_txns"]
+
+
+def test_new_days_leave_stored_ones_unread(make_tables, tmp_path, spark):
+    """Stored days and the day after: what a later snapshot has."""
+    t = make_tables(sales=_some_sales(2, 400))
+    early = ops.seller_days(t.sales, t.token_prices, C1, _params(snapshot_time="2024-01-10 00:00:00").snapshot())
+    new = t.sales.filter("block_timestamp > '2024-01-10'")
+    later = ops.seller_days(new, t.token_prices, C1, _params().snapshot())
+    merged = {r["wallet"]: r for r in ops.merge_seller_days(early.union(later)).collect()}
+    for r in ops.sales_by_seller(t.sales, t.token_prices, C1, _params().snapshot(), exact_txns=True).collect():
+        assert merged[r["wallet"]]["vol_usd"] == pytest.approx(r["vol_usd"])
+        assert abs(merged[r["wallet"]]["num_txns"] - r["num_txns"]) <= max(2, 0.08 * r["num_txns"])
+
+
+def test_no_sales_no_days(make_tables):
+    t = make_tables()
+    assert ops.merge_seller_days(ops.seller_days(t.sales, t.token_prices, C1, _params().snapshot())).collect() == []
