@@ -139,6 +139,10 @@ QUERIES: dict[str, str] = {
         f"""SELECT wallet, {_MOVED}, num_held FROM balances
         UNION ALL SELECT wallet, {_MOVED}, 1 FROM owners"""
     ),
+    "all_holdings_kept_up": _sql(
+        f"""SELECT wallet, {_MOVED}, num_held FROM balances
+        UNION ALL SELECT wallet, {_MOVED}, 1 FROM owners"""
+    ),
     "current_holders": _sql("SELECT wallet, num_collections, num_held FROM held"),
     "first_acquisition": _sql("SELECT * FROM first_got"),
     "calendar": _sql(
@@ -147,6 +151,7 @@ QUERIES: dict[str, str] = {
     ),
     "daily_change": _sql("SELECT day AS time, wallet, net AS daily_change FROM changes"),
     "days_held": _sql("SELECT wallet, days_held, time_first_acquisition FROM stayed JOIN first_got USING (wallet)"),
+    "days_held_kept_up": _sql("SELECT wallet, days_held, time_first_acquisition FROM stayed JOIN first_got USING (wallet)"),
     "snapshot_check": """SELECT t.name AS "case", CASE WHEN (SELECT max(ts) FROM events e
             WHERE e.ts > t.clock - INTERVAL 1 DAY) < t.planned THEN t.planned - INTERVAL 1 DAY ELSE t.planned END AS actual_snapshot_time
         FROM (VALUES ('back', TIMESTAMP '2024-01-31', TIMESTAMP '2024-01-31 00:10:00'),

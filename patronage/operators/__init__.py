@@ -24,6 +24,18 @@ from patronage.operators.holding import (
     daily_change,
     days_held,
 )
+from patronage.operators.kept import (
+    balance_state,
+    balances_of,
+    change_state,
+    changes_of,
+    days_held_of,
+    merge_balances,
+    merge_changes,
+    merge_owners,
+    owner_state,
+    owners_of,
+)
 from patronage.operators.names import with_display_name, with_page_names
 from patronage.operators.checks import (
     DuplicateKeyError,
@@ -57,6 +69,16 @@ __all__ = [
     "calendar",
     "daily_change",
     "days_held",
+    "balance_state",
+    "balances_of",
+    "change_state",
+    "changes_of",
+    "days_held_of",
+    "merge_balances",
+    "merge_changes",
+    "merge_owners",
+    "owner_state",
+    "owners_of",
     "with_display_name",
     "with_page_names",
     "DuplicateKeyError",

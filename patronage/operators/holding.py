@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.timefuncs import trunc_ntz
+from patronage.operators.kept import change_state, days_held_of
 from patronage.operators.ownership import signed_moves
 
 
@@ -56,41 +57,4 @@ def days_held(ctransfers: DataFrame, snapshot: Column) -> DataFrame:
     receipt, so no second aggregate and no join are needed. Wallets that
     never received are left out.
     """
-    after_end = F.date_add(trunc_ntz("day", snapshot).cast("date"), 1)
-    moves = F.explode(
-        F.array(
-            F.struct(
-                F.col("to_address").alias("wallet"),
-                F.col("amount").alias("delta"),
-                F.col("block_time").alias("received"),
-            ),
-            F.struct(
-                F.col("from_address").alias("wallet"),
-                (-F.col("amount")).alias("delta"),
-                F.lit(None).cast("timestamp_ntz").alias("received"),
-            ),
-        )
-    ).alias("m")
-    per_day = (
-        ctransfers.select("day", moves)
-        .select("day", "m.wallet", "m.delta", "m.received")
-        .filter(F.col("wallet").isNotNull())
-        .groupBy(F.col("day").alias("time"), "wallet")
-        .agg(F.sum("delta").alias("daily_change"), F.min("received").alias("first_received"))
-    )
-    per_wallet = Window.partitionBy("wallet").orderBy("time")
-    balance = F.sum("daily_change").over(per_wallet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    day = F.col("time").cast("date")
-    # Days this change stands for: up to the next change, cut after the
-    # snapshot's day (least() skips the null lead of a wallet's last change).
-    span = F.datediff(F.least(F.lead(day).over(per_wallet), after_end), day)
-    counted = F.when(balance > 0, F.greatest(span, F.lit(0))).otherwise(0)
-    return (
-        per_day.select("wallet", "first_received", counted.alias("_days"))
-        .groupBy("wallet")
-        .agg(
-            F.sum("_days").cast("long").alias("days_held"),
-            F.min("first_received").alias("time_first_acquisition"),
-        )
-        .filter(F.col("time_first_acquisition").isNotNull() & (F.col("days_held") > 0))
-    )
+    return days_held_of(change_state(ctransfers), snapshot)
