@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.naming import display_name
+from patronage.operators.prices import estimated_bytes
+
+#: Names tables of at most this many bytes (Spark's estimate) are broadcast whole.
+SMALL_BYTES = 10 << 20
 
 
 def names_in_use(names: DataFrame, smallest_only: bool = False) -> DataFrame:
@@ -40,11 +44,14 @@ def with_page_names(
     wallet_col: str = "wallet",
     smallest_name: bool = False,
     unique: bool = True,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """As ``with_display_name`` for a page of at most ``size`` rows, one a wallet: the
-    names table stays where it is.
+    names table is not shuffled.
 
-    The page is computed once, as the value of a scalar subquery (an array of its
+    A table that Spark estimates at ``small_bytes`` or less (SMALL_BYTES if None) is
+    broadcast, read while the page is computed. Any other stays where it is: the
+    page is computed once, as the value of a scalar subquery (an array of its
     rows), and unfolded twice: broadcast to the names, so that each task keeps the
     names of the page's wallets only, and as the left side of the join with what was
     found, which is broadcast in turn. Both have a bound that the data cannot exceed:
@@ -54,15 +61,26 @@ def with_page_names(
     With ``unique`` a wallet with several names in use fails the query, unless
     ``smallest_name`` takes the smallest of them.
     """
+    problem = F.raise_error(F.concat(F.lit("names in use: key (owner) is not unique: "), F.col(wallet_col))).cast("string")
+    if estimated_bytes(names) <= (SMALL_BYTES if small_bytes is None else small_bytes):
+        small = F.broadcast(names_in_use(names, smallest_only=smallest_name))
+        named = page.join(small, F.col(wallet_col) == F.col("owner"), "left")
+        shown = display_name(F.col("ens_name"), F.col(wallet_col))
+        if unique and not smallest_name:  # the page is one partition, so this moves nothing
+            shown = F.when(F.count(F.lit(1)).over(Window.partitionBy(wallet_col)) > 1, problem).otherwise(shown)
+        return named.select(*page.columns, shown.alias("ens_or_wallet"))
     rows = page.select(F.collect_list(F.struct(*page.columns)).alias("_rows")).scalar()
-    again = page.sparkSession.range(0, 1, 1, 1).select(rows.alias("_rows")).select(F.inline("_rows"))
+    # the outer form: Spark infers no filters on the array, each of which would have the
+    # subquery optimised once more; an empty page gives a row without a place
+    once = page.sparkSession.range(0, 1, 1, 1).select(rows.alias("_rows"))
+    again = once.select(F.posexplode_outer("_rows").alias("_place", "_row")).filter("_place IS NOT NULL").select("_row.*")
     wanted = F.broadcast(again.select(F.col(wallet_col).alias("_owner")))
     found = names_in_use(names).join(wanted, F.col("owner") == F.col("_owner")).select("_owner", "ens_name")
     if unique or smallest_name:
         found = found.groupBy("_owner").agg(F.min("ens_name").alias("ens_name"), F.count(F.lit(1)).alias("_n"))
         if not smallest_name:
-            problem = F.raise_error(F.concat(F.lit("names in use: key (owner) is not unique: "), F.col("_owner")))
-            found = found.withColumn("ens_name", F.when(F.col("_n") > 1, problem.cast("string")).otherwise(F.col("ens_name")))
+            found = found.withColumn(wallet_col, F.col("_owner"))
+            found = found.select("_owner", F.when(F.col("_n") > 1, problem).otherwise(F.col("ens_name")).alias("ens_name"), "_n")
     else:
         place = F.row_number().over(Window.partitionBy("_owner").orderBy("ens_name"))
         found = found.withColumn("_n", place).filter(F.col("_n") <= size)

@@ -12,6 +12,7 @@ from patronage.plans.leaderboards import fee_leaderboard, holder_leaderboard, ho
 from patronage.plans.params import Params
 from patronage.sources.tables import load_tables
 from patronage import operators as ops
+from patronage.operators import names
 
 C1, C2 = contract("a"), contract("b")
 
@@ -232,9 +233,21 @@ def test_holder_plans_hold_no_sets(stored):
 
 @pytest.mark.parametrize("fn", BOARDS)
 @pytest.mark.parametrize("options", [{}, {"smallest_name": True}, {"validate": False}])
-def test_names_stay_where_they_are(stored, no_automatic_broadcasts, fn, options):
+def test_small_names_are_broadcast(stored, no_automatic_broadcasts, fn, options):
+    params = Params(addresses=PARAMS.addresses, snapshot_time=PARAMS.snapshot_time, now=PARAMS.now, **options)
+    plan = plan_of(fn(stored, params))
+    assert "BroadcastHashJoin [wallet" in plan and "SortMergeJoin [_owner" not in plan
+    if "smallest_name" not in options:
+        assert not re.search(r"Exchange hashpartitioning\((owner|ens_name)", plan)
+    assert _scans_per_table(plan)["names"] == 1 and plan.count("TakeOrderedAndProject(limit=10") == 2
+
+
+@pytest.mark.parametrize("fn", BOARDS)
+@pytest.mark.parametrize("options", [{}, {"smallest_name": True}, {"validate": False}])
+def test_names_stay_where_they_are(stored, no_automatic_broadcasts, monkeypatch, fn, options):
     """With all automatic broadcasts off: the names are read once and joined with the
     broadcast page before anything is dealt; what is dealt are the page's names."""
+    monkeypatch.setattr(names, "SMALL_BYTES", -1)
     params = Params(addresses=PARAMS.addresses, snapshot_time=PARAMS.snapshot_time, now=PARAMS.now, **options)
     plan = plan_of(fn(stored, params))
     lines = plan.splitlines()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import NAMES_SCHEMA, SALES_SCHEMA, TOKEN_PRICES_SCHEMA, contract, ts, wallet
 from test_edges import _params, _sale, _sellers
 from patronage import operators as ops
+from patronage.operators import names as names_module
 from patronage.operators.prices import SPAN_HOURS
 from patronage.plans.leaderboards import fee_leaderboard
 
@@ -129,24 +130,27 @@ def test_one_price_of_a_busy_hour_lies_in_one_group(spark):
     assert rates.drop("rate").count() == 1
 
 
+@pytest.mark.parametrize("small", [{}, {"small_bytes": -1}])
 @pytest.mark.parametrize("options", [{}, {"smallest_name": True}, {"unique": False}])
-def test_names_of_a_page_are_those_of_the_join(spark, options):
+def test_names_of_a_page_are_those_of_the_join(spark, options, small):
     rng = random.Random(3)
     several = [] if not options else [(wallet(rng.randrange(40)), f"n{i % 50}", "Y") for i in range(200)]
     names = [(wallet(i), f"own{i}", "Y" if i % 3 else "N") for i in range(60)] + several + [(None, "nobody", "Y"), (wallet(3), None, "N")]
     n = spark.createDataFrame(names, NAMES_SCHEMA)
     for size in (1, 7, 100):
         page = spark.range(size).selectExpr("concat('0x', lpad(CAST(id AS STRING), 40, '0')) AS wallet", "id AS score")
-        got = ops.with_page_names(page, n, 1000, **options)
+        got = ops.with_page_names(page, n, 1000, **options, **small)
         want = ops.with_display_name(page, n, smallest_name=options.get("smallest_name", False))
         assert got.columns == want.columns
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    empty = ops.with_page_names(page.limit(0), n, 10, **options)
+    empty = ops.with_page_names(page.limit(0), n, 10, **options, **small)
     assert empty.collect() == []
 
 
-def test_a_wallet_with_very_many_names(make_tables, spark):
-    """No more of its names than the page can show are broadcast."""
+@pytest.mark.parametrize("small_bytes", [10 << 20, -1])
+def test_a_wallet_with_very_many_names(make_tables, spark, monkeypatch, small_bytes):
+    """Of a large table, no more of its names than the page can show are broadcast."""
+    monkeypatch.setattr(names_module, "SMALL_BYTES", small_bytes)
     t = make_tables(sales=_sellers(3))
     names = spark.range(5000).selectExpr(f"'{wallet(13)}' AS owner", "lpad(CAST(id AS STRING), 5, '0') AS ens_name", "'Y' AS ens_set")
     many = type(t)(t.transfers, t.sales, t.token_prices, names)
