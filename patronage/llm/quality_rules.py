@@ -4,14 +4,21 @@ Each text is measured by whole-number ratios (parts of 10,000). For every
 language and source a mergeable quantile sketch of each ratio is kept: a
 histogram over logarithmic buckets (a DDSketch), so a sketch is a set of counts,
 merging is adding, the order of rows does not matter and the relative error of
-a quantile is at most ACCURACY. Groups of fewer than ``min_group`` documents use
-the merged sketch of their language, or of all documents. A rule's upper limit
-is q75 + SPREAD * (q75 - q25) plus the rule's slack (the resolution below which
-differences do not count), and at most what the lower half of the group says by
-itself: q50 + (2 * SPREAD + 1) * (q50 - q25) plus the slack, the same for an even
-spread. So junk moves no limit far until it is half of a group. The limits are
-joined back to the measures by language and source, and a document is kept when
-it passes the base rules and no ratio is over its limit.
+a value is at most ACCURACY.
+
+The sketch alone sets the limit of a rule: going up from the median, the group's
+main body ends at the first gap, a stretch without texts (but for buckets with
+less than one text in RARE) as wide as ERRORS standard errors of the ratio in a
+text of the group's mean length. So a tail that grows out of the body, however
+long, is kept, and a population of its own above it is not, up to half of the
+group. Few texts leave chance gaps: the limit of a group of n texts counts n
+times, that of its language ``shrink`` times, and likewise the language's with
+that of all texts, so that small groups lean on the merged sketches without any
+switch. A text is over a limit when it exceeds it by more than ERRORS standard
+errors of a text of its own length (the variance is that of a count with mean
+``limit``, plus one event, see EVENTS). The limits are joined back to the measures
+by language and source, and a document is kept when it passes the base rules and
+no ratio is over its limit.
 
 Counting is combined map-side, so a source that holds most rows is a few
 hundred counters per task. The limits are one row per language and source;
@@ -35,16 +42,20 @@ from .common import cut, shingle_hashes, short_batches, slices, text_column, wor
 
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-SPREAD = 3
-#: Rule -> slack, in parts of 10,000 (word length: of 100 characters a word).
-RULES = {
-    "symbols": 200,  # symbols per character of words
-    "dup_lines": 4000,  # repeated lines per line with a word
-    "repeats": 3000,  # words in repeated windows per word
-    "word_length": 100,  # characters per word, times 100
-    "capitals": 1000,  # upper-case letters per character of words
-    "shouts": 1000,  # exclamation marks per word
+#: Standard errors: the width of a gap, and what a text may exceed a limit by.
+ERRORS = 3
+#: Buckets with less than one in this many texts of the group do not close a gap.
+RARE = 10_000
+#: Rule -> (what is counted, its size where it occurs once, of what, parts).
+EVENTS = {
+    "symbols": ("n_symbols", 1, "word_chars", 10000),
+    "dup_lines": ("n_dup_lines", 1, "n_lines", 10000),
+    "repeats": ("n_repeat_words", 6, "n_words", 10000),  # two windows of three words
+    "word_length": ("word_chars", 1, "n_words", 100),
+    "capitals": ("n_upper", 1, "word_chars", 10000),
+    "shouts": ("n_shouts", 1, "n_words", 10000),
 }
+RULES = tuple(EVENTS)
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
@@ -108,36 +119,29 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, source string, {MEASURES}")
 
 
-def _ratio(a, b, times: int):
-    return F.when(F.col(b) > 0, F.floor(F.expr(f"{a} * {times} / {b}"))).otherwise(F.lit(0)).cast("long")
-
-
 def _with_ratios(m: DataFrame) -> DataFrame:
-    return m.withColumns(
-        {
-            "symbols": _ratio("n_symbols", "word_chars", 10000),
-            "dup_lines": _ratio("n_dup_lines", "n_lines", 10000),
-            "repeats": _ratio("n_repeat_words", "n_words", 10000),
-            "word_length": _ratio("word_chars", "n_words", 100),
-            "capitals": _ratio("n_upper", "word_chars", 10000),
-            "shouts": _ratio("n_shouts", "n_words", 10000),
-        }
-    )
+    """The ratio of each rule under its name and what one event adds to it
+    under ``step_<rule>``, in thousandths, so that sums are whole numbers."""
+    out = {}
+    for rule, (count, size, of, parts) in EVENTS.items():
+        out[rule] = F.expr(f"CASE WHEN {of} > 0 THEN {count} * {parts} div {of} ELSE 0L END")
+        out[f"step_{rule}"] = F.expr(f"CASE WHEN {of} > 0 THEN {size * parts * 1000} div {of} ELSE 0L END")
+    return m.withColumns(out)
 
 
 def sketches(ratios: DataFrame) -> DataFrame:
-    """(level, lang, source, rule, bucket, n): level 0 by language and source, 1 by
-    language, 2 all. Bucket 0 holds the zeros, bucket i values up to GAMMA^(i-1)."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in RULES]))
+    """(level, lang, source, rule, bucket, n, steps): level 0 by language and source, 1 by
+    language, 2 all; ``steps`` is the sum of the texts' steps in thousandths. Bucket 0 holds the zeros, bucket i values up to GAMMA^(i-1)."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v"), F.col(f"step_{r}").alias("step")) for r in RULES]))
     # 1e-9: a whole power of GAMMA belongs to its own bucket whatever the last digit of the logarithm
     bucket = F.when(F.col("e.v") <= 0, 0).otherwise(
         F.ceil(F.log(F.col("e.v").cast("double")) / F.lit(math.log(GAMMA)) - F.lit(1e-9)) + 1
     )
     counts = (
         ratios.select("lang", "source", each.alias("e"))
-        .select("lang", "source", "e.rule", bucket.cast("int").alias("bucket"))
+        .select("lang", "source", "e.rule", "e.step", bucket.cast("int").alias("bucket"))
         .groupBy("lang", "source", "rule", "bucket")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.sum("step").alias("steps"))
     )
     none = F.lit(None).cast("string")
     levels = F.explode(
@@ -148,32 +152,39 @@ def sketches(ratios: DataFrame) -> DataFrame:
         )
     )
     return (
-        counts.select(levels.alias("k"), "rule", "bucket", "n")
+        counts.select(levels.alias("k"), "rule", "bucket", "n", "steps")
         .groupBy(F.col("k.level").alias("level"), F.col("k.l").alias("lang"), F.col("k.s").alias("source"), "rule", "bucket")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("steps").alias("steps"))
     )
 
 
-def limits(sketch: DataFrame, min_group: int) -> DataFrame:
+def _error(limit, step):
+    """The standard error of a ratio about ``limit`` in a text where one event adds ``step``."""
+    return F.sqrt((limit + step) * step)
+
+
+def limits(sketch: DataFrame, shrink: int = 100) -> DataFrame:
     """One row per language and source with a limit per rule."""
     by = Window.partitionBy("level", "lang", "source", "rule")
-    ranked = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
     value = F.when(F.col("bucket") == 0, 0.0).otherwise(
         2 * F.pow(F.lit(GAMMA), F.col("bucket") - 1) / F.lit(GAMMA + 1)
     )
-    ranked = ranked.withColumn("value", value)
-    slack = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("rule"))
+    counted = sketch.withColumns(
+        {
+            "value": value,
+            "upto": F.sum("n").over(by.orderBy("bucket")),
+            "all": F.sum("n").over(by),
+            "step": F.sum("steps").over(by) / F.sum("n").over(by) / 1000,
+        }
+    )
+    # from the median on, without the rare buckets above it
+    body = counted.where(f"2 * upto >= `all` AND (n * {RARE} >= `all` OR 2 * (upto - n) < `all`)")
+    following = F.lead("value").over(by.orderBy("bucket"))
+    reach = F.col("value") + ERRORS * _error(F.col("value"), F.col("step"))
     per_rule = (
-        ranked.groupBy("level", "lang", "source", "rule")
-        .agg(
-            F.max("all").alias("n"),
-            F.min(F.when(F.expr("4 * upto >= `all`"), F.col("value"))).alias("q25"),
-            F.min(F.when(F.expr("2 * upto >= `all`"), F.col("value"))).alias("q50"),
-            F.min(F.when(F.expr("4 * upto >= 3 * `all`"), F.col("value"))).alias("q75"),
-        )
-        .withColumn("whole", F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")))
-        .withColumn("lower", F.col("q50") + (2 * SPREAD + 1) * (F.col("q50") - F.col("q25")))
-        .withColumn("limit", F.least("whole", "lower") + slack)
+        body.withColumn("last", following.isNull() | (following > reach))
+        .groupBy("level", "lang", "source", "rule")
+        .agg(F.max("all").alias("n"), F.min(F.when(F.col("last"), F.col("value"))).alias("limit"))
     )
     wide = (
         per_rule.groupBy("level", "lang", "source")
@@ -183,27 +194,28 @@ def limits(sketch: DataFrame, min_group: int) -> DataFrame:
     own = wide.where("level = 0").select("lang", "source", "n", "limit")
     of_lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.col("n").alias("n1"), F.col("limit").alias("limit1"))
     of_all = wide.where("level = 2").select("limit").scalar()  # one row
-    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-    chosen = (
-        F.when(F.col("n") >= min_group, F.col("limit"))
-        .when(F.col("n1") >= min_group, F.col("limit1"))
-        .otherwise(of_all)
-    )
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), chosen.alias("limits"))
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").withColumn("limit2", of_all)
 
+    def leaning(n, limit, wider):
+        return (F.col(n) * F.col(limit) + shrink * wider) / (F.col(n) + shrink)
 
-def quality_rules(docs: DataFrame, min_group: int = 200, **columns) -> DataFrame:
+    shrunk = [leaning("n", f"limit.{r}", leaning("n1", f"limit1.{r}", F.col(f"limit2.{r}"))).alias(r) for r in RULES]
+    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*shrunk).alias("limits"))
+
+
+def quality_rules(docs: DataFrame, shrink: int = 100, **columns) -> DataFrame:
     """Per row: doc_id, lang, source, the measures, base_failed, kept, the ratios
     (struct ``ratios``) and the limits that held (struct ``limits``)."""
     ratios = _with_ratios(cut(measures(docs, **columns)))
-    table = limits(sketches(ratios), min_group)
+    table = limits(sketches(ratios), shrink)
     joined = ratios.join(
         table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     within = F.lit(True)
     for r in RULES:
-        within = within & (F.col(r) <= F.col(f"limits.{r}"))
+        limit = F.col(f"limits.{r}")
+        within = within & (F.col(r) <= limit + ERRORS * _error(limit, F.col(f"step_{r}") / 1000))
     names = [x.split()[0] for x in MEASURES.split(", ")]
     return joined.select(
         "doc_id", "lang", "source", *names, base.alias("base_failed"), (~base & within).alias("kept"),
@@ -218,7 +230,10 @@ def rules_digest(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    rules = ", ".join(f"{{'rule': '{r}', 'v': {r}, 'slack': {s}}}" for r, s in RULES.items())
+    rules = ", ".join(
+        f"{{'rule': '{r}', 'v': coalesce({count} * {parts} // nullif({of}, 0), 0), 'step': coalesce({size * parts * 1000} // nullif({of}, 0), 0) / 1000}}"
+        for r, (count, size, of, parts) in EVENTS.items()
+    )
     return rf"""
 WITH texts AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -240,39 +255,42 @@ windows AS (
            coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
            len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_shouts
     FROM numbered LEFT JOIN again USING (id)
-), ratios AS (
-    SELECT *, coalesce(n_symbols * 10000 // nullif(word_chars, 0), 0) AS symbols,
-           coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) AS dup_lines,
-           coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) AS repeats,
-           coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length,
-           coalesce(n_upper * 10000 // nullif(word_chars, 0), 0) AS capitals,
-           coalesce(n_shouts * 10000 // nullif(n_words, 0), 0) AS shouts
-    FROM measured
 ), each AS (
-    SELECT id, lang, source, e.rule AS rule, e.slack AS slack, e.v AS v,
+    SELECT id, lang, source, e.rule AS rule, e.step AS step, e.v AS v,
            CASE WHEN e.v > 0 THEN ceil(ln(e.v::DOUBLE) / {math.log(GAMMA)!r} - 1e-9)::INT + 1 ELSE 0 END AS bucket
-    FROM (SELECT id, lang, source, unnest([{rules}]) AS e FROM ratios)
-), valued AS (
-    SELECT *, CASE WHEN bucket = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, bucket - 1) / {GAMMA + 1!r} END AS value FROM each
+    FROM (SELECT id, lang, source, unnest([{rules}]) AS e FROM measured)
+), spread AS (
+    SELECT grouping(lang, source) AS level, lang, source, rule, count(*) AS texts, avg(step) AS step, quantile_disc(bucket, 0.5) AS middle
+    FROM each GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))
+), counted AS (
+    SELECT grouping(lang, source) AS level, lang, source, rule, bucket, count(*) AS n
+    FROM each GROUP BY GROUPING SETS ((lang, source, rule, bucket), (lang, rule, bucket), (rule, bucket))
+), body AS (
+    SELECT s.*, c.bucket, CASE WHEN c.bucket = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, c.bucket - 1) / {GAMMA + 1!r} END AS value
+    FROM counted c JOIN spread s ON s.level = c.level AND s.rule = c.rule
+        AND s.lang IS NOT DISTINCT FROM c.lang AND s.source IS NOT DISTINCT FROM c.source
+    WHERE c.bucket >= middle AND (c.bucket = middle OR c.n * {RARE} >= texts)
 ), limits AS (
-    SELECT *, q75 + {SPREAD} * (q75 - q25) + slack AS top FROM (
-        SELECT grouping(lang, source) AS level, lang, source, rule, any_value(slack) AS slack, count(*) AS n,
-               quantile_disc(value, 0.25) AS q25, quantile_disc(value, 0.75) AS q75
-        FROM valued GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule)))
+    SELECT level, lang, source, rule, any_value(texts) AS n, min(value) AS top FROM (
+        SELECT *, lead(value) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS further FROM body)
+    WHERE further IS NULL OR further > value + {ERRORS} * sqrt((value + step) * step)
+    GROUP BY level, lang, source, rule
+), shrunk AS (
+    SELECT a.lang, a.source, a.rule, (a.n * a.top + 100 * ((b.n * b.top + 100 * c.top) / (b.n + 100))) / (a.n + 100) AS top
+    FROM limits a
+    JOIN limits b ON a.level = 0 AND b.level = 1 AND b.rule = a.rule AND b.lang IS NOT DISTINCT FROM a.lang
+    JOIN limits c ON c.level = 3 AND c.rule = a.rule
 ), judged AS (
-    SELECT e.id, bool_and(e.v <= CASE WHEN a.n >= 200 THEN a.top WHEN b.n >= 200 THEN b.top ELSE c.top END) AS within
-    FROM each e
-    JOIN limits a ON a.level = 0 AND a.rule = e.rule AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
-    JOIN limits b ON b.level = 1 AND b.rule = e.rule AND b.lang IS NOT DISTINCT FROM e.lang
-    JOIN limits c ON c.level = 3 AND c.rule = e.rule
+    SELECT e.id, bool_and(e.v <= top + {ERRORS} * sqrt((top + e.step) * e.step)) AS within
+    FROM each e JOIN shrunk s ON s.rule = e.rule AND s.lang IS NOT DISTINCT FROM e.lang AND s.source IS NOT DISTINCT FROM e.source
     GROUP BY e.id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND within AS kept
-FROM ratios JOIN judged USING (id)
+FROM measured JOIN judged USING (id)
 """
 
 
-#: DuckDB SQL for rules_digest over ``documents``: quantiles of all bucket values instead of sketches.
+#: DuckDB SQL for rules_digest over ``documents``, by the same rule.
 ORACLE_SQL = _oracle()

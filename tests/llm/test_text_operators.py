@@ -2,6 +2,7 @@
 round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -414,21 +415,61 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert all(clean) and sum(junk) <= 0.1 * len(junk)
 
 
-def test_limits_are_quantiles_of_the_group(spark):
-    import random
+def brute_edge(values, steps):
+    """The end of the main body: from the median up to the first gap of three standard errors."""
+    step, order = sum(steps) / len(steps) / 1000, sorted(values)
+    at = (len(order) + 1) // 2 - 1
+    while at + 1 < len(order) and order[at + 1] <= order[at] + 3 * ((order[at] + step) * step) ** 0.5:
+        at += 1
+    return order[at]
+
 
+def test_limits_end_where_the_group_ends(spark):
+    """Against plain sorting: a body, a tail that grows out of it, and a population beyond a gap."""
     rng = random.Random(6)
-    rows = [(i, "en", "a" if i % 3 else None, rng.randrange(0, 5000)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, symbols long")
+    rows = []
+    for i in range(3000):
+        source, step = ("a" if i % 3 else None), rng.randrange(5, 15)
+        body = rng.randrange(0, 300) if source else rng.randrange(0, 60)
+        rows.append((i, "en", source, rng.randrange(2500, 3500) if rng.random() < 0.4 else body, 1000 * step))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, symbols long, step_symbols long")
     for r in quality_rules.RULES:
         if r != "symbols":
-            df = df.withColumn(r, F.lit(0).cast("long"))
-    found = {r["_source"]: r["limits"]["symbols"] for r in quality_rules.limits(quality_rules.sketches(df), 200).collect()}
-    for source in ("a", None):
-        values = sorted(v for _, _, s, v in rows if s == source)
-        low, high = values[(len(values) + 3) // 4 - 1], values[(3 * len(values) + 3) // 4 - 1]
-        exact = high + 3 * (high - low) + 200
-        assert found[source] == pytest.approx(exact, rel=0.05)
+            df = df.withColumn(r, F.lit(0).cast("long")).withColumn(f"step_{r}", F.lit(1).cast("long"))
+    edge = {s: brute_edge([r[3] for r in rows if r[2] == s], [r[4] for r in rows if r[2] == s]) for s in ("a", None)}
+    merged = brute_edge([r[3] for r in rows], [r[4] for r in rows])
+    assert edge["a"] >= 290 and 50 <= edge[None] < 60
+    for shrink in (0, 100):
+        found = {r["_source"]: r["limits"]["symbols"] for r in quality_rules.limits(quality_rules.sketches(df), shrink).collect()}
+        for s in edge:
+            n = sum(r[2] == s for r in rows)
+            assert found[s] == pytest.approx((n * edge[s] + shrink * merged) / (n + shrink), rel=0.03)
+
+
+BAD = {
+    "symbols": lambda w: [x + "#" if i % 4 == 0 else x for i, x in enumerate(w)],
+    "word_length": lambda w: [x + "abcdef" for x in w],
+    "capitals": lambda w: [x.upper() if i % 4 == 0 else x for i, x in enumerate(w)],
+    "shouts": lambda w: [x + "!" if i % 4 == 0 else x for i, x in enumerate(w)],
+    "repeats": lambda w: w[:240] + w[:70],
+}
+
+
+@pytest.mark.parametrize("rule", [*BAD, "dup_lines"])
+def test_a_rule_adapts_to_its_source(documents, rule):
+    """What is odd in source a is how source b writes: the same texts go from a and stay in b."""
+    if rule == "dup_lines":
+        plain = lambda i: "\n".join(words(200, i))
+        bad = lambda i: "\n".join((w := words(200, i)) + w[80::-1])
+    else:
+        plain = lambda i: " ".join(words(300, i))
+        bad = lambda i: " ".join(BAD[rule](words(300, i)))
+    rows = [(i, plain(i)) for i in range(200)] + [(200 + i, bad(200 + i)) for i in range(20)]
+    rows += [(300 + i, bad(200 + i)) for i in range(200)]
+    df = documents(rows).withColumn("source", F.when(F.col("doc_id") < 300, "a").otherwise("b"))
+    got = quality_rules.quality_rules(df, shrink=20).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(200, 220))
 
 
 def test_small_groups_use_the_merged_sketch(documents):
