@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 Each text is measured by whole-number ratios (parts of 10,000). For every
-language and source a mergeable quantile sketch of each ratio is kept: a
+language and source a mergeable quantile sketch of each ratio is kept, of the
+texts that pass the base rules (very short ones would blur all limits): a
 histogram over logarithmic buckets (a DDSketch), so a sketch is a set of counts,
 merging is adding, the order of rows does not matter and the relative error of
 a value is at most ACCURACY.
@@ -207,11 +208,11 @@ def quality_rules(docs: DataFrame, shrink: int = 100, **columns) -> DataFrame:
     """Per row: doc_id, lang, source, the measures, base_failed, kept, the ratios
     (struct ``ratios``) and the limits that held (struct ``limits``)."""
     ratios = _with_ratios(cut(measures(docs, **columns)))
-    table = limits(sketches(ratios), shrink)
+    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    table = limits(sketches(ratios.where(~base)), shrink)
     joined = ratios.join(
         table, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     within = F.lit(True)
     for r in RULES:
         limit = F.col(f"limits.{r}")
@@ -256,15 +257,15 @@ windows AS (
            len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_shouts
     FROM numbered LEFT JOIN again USING (id)
 ), each AS (
-    SELECT id, lang, source, e.rule AS rule, e.step AS step, e.v AS v,
+    SELECT id, lang, source, failed, e.rule AS rule, e.step AS step, e.v AS v,
            CASE WHEN e.v > 0 THEN ceil(ln(e.v::DOUBLE) / {math.log(GAMMA)!r} - 1e-9)::INT + 1 ELSE 0 END AS bucket
-    FROM (SELECT id, lang, source, unnest([{rules}]) AS e FROM measured)
+    FROM (SELECT id, lang, source, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, unnest([{rules}]) AS e FROM measured)
 ), spread AS (
     SELECT grouping(lang, source) AS level, lang, source, rule, count(*) AS texts, avg(step) AS step, quantile_disc(bucket, 0.5) AS middle
-    FROM each GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))
+    FROM each WHERE NOT failed GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))
 ), counted AS (
     SELECT grouping(lang, source) AS level, lang, source, rule, bucket, count(*) AS n
-    FROM each GROUP BY GROUPING SETS ((lang, source, rule, bucket), (lang, rule, bucket), (rule, bucket))
+    FROM each WHERE NOT failed GROUP BY GROUPING SETS ((lang, source, rule, bucket), (lang, rule, bucket), (rule, bucket))
 ), body AS (
     SELECT s.*, c.bucket, CASE WHEN c.bucket = 0 THEN 0 ELSE 2 * pow({GAMMA!r}, c.bucket - 1) / {GAMMA + 1!r} END AS value
     FROM counted c JOIN spread s ON s.level = c.level AND s.rule = c.rule
@@ -287,8 +288,8 @@ windows AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND within AS kept
-FROM measured JOIN judged USING (id)
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(within, false) AS kept
+FROM measured LEFT JOIN judged USING (id)
 """
 
 
