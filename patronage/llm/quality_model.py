@@ -14,14 +14,23 @@ matrices: a closed-form start, then descent that, as long as the second part is
 negative, climbs that part instead. Work on the driver does not depend on the
 size of the corpus.
 
+The prior, unless given, is estimated from the positives and the unlabelled texts
+alone; no label 0 is ever read. The density ratio of P to U, fitted by least squares
+on the same matrices, orders the texts; above any threshold lies at least the
+prior times as large a share of U as of P, and just that share where no negative
+is above it. So the prior is the least ratio of the two shares, each threshold
+weighed by its sampling error, read from one histogram of the ratios for P and
+one for U (a second pass over the stored features; BINS counts each).
+
+A score is the logistic function of 2 g(x): no two texts of different g share one.
+
 Features come from the text alone: character classes, repeats, word and line
-shape. The prior is the share of 1 among the labels of the training rows, unless
-given. Rows whose crc32 of the id modulo 3 is 1 are held out: neither their
+shape. Rows whose crc32 of the id modulo 3 is 1 are held out: neither their
 labels nor their texts are used in fitting.
 
 Defined results: an empty or null text has the features of no words and gets a
 score like any other; without positives every score is the
-prior (0.5 if there are no labels either); labels that repeat a doc_id count
+given prior, or 0.5 where none is given; labels that repeat a doc_id count
 once, a null label not at all; a null doc_id is scored and never trained on.
 """
 
@@ -36,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, shingle_hashes, short_batches, slices, span_hashes, text_column, word_spans
+from .common import cut, free_name, shingle_hashes, short_batches, slices, span_hashes, text_column, word_spans
 
 # --- features -----------------------------------------------------------------
 
@@ -147,10 +156,35 @@ class Model:
     prior: float
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows @ np.array(self.weights) + 1) / 2, 0.0, 1.0)
+        return 1 / (1 + np.exp(-2 * (rows @ np.array(self.weights))))
+
+
+#: The histograms of density ratios: bins of equal width from LEAST to MOST, the
+#: outer ones take what lies beyond.
+BINS, LEAST, MOST = 2000, -1.0, 3.0
+RIDGE = 3e-3
+
+
+def density_ratio(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Weights whose product with the features approximates the density of P over that of U."""
+    return np.linalg.solve(u + RIDGE * np.eye(len(u)), p[0])
+
+
+def bins_of(ratios: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((ratios - LEAST) / (MOST - LEAST) * BINS), 0, BINS - 1).astype(np.int64)
+
 
+def estimate_prior(of_p: np.ndarray, of_u: np.ndarray) -> float:
+    """The share of positives in U from the histograms of both: the least ratio of the
+    shares of U and P above a threshold, the threshold chosen with its sampling error added."""
+    n_p, n_u = of_p.sum(), of_u.sum()
+    above_p, above_u = of_p[::-1].cumsum() / n_p, of_u[::-1].cumsum() / n_u
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))  # both shares, at 95 %
+    at = np.argmin(np.where(above_p > 0, (above_u + error) / np.maximum(above_p, 1 / n_p), np.inf))
+    return float(min(above_u[at] / above_p[at], 1.0))
 
-def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 3e-3, steps: int = 500) -> np.ndarray:
+
+def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = RIDGE, steps: int = 500) -> np.ndarray:
     """Weights that minimise the non-negative risk; ``p`` and ``u`` are the mean
     second moments of the features (the first feature is the constant 1)."""
     d = len(p)
@@ -186,7 +220,8 @@ def fit(
     docs: DataFrame, labels: DataFrame, prior: float | None = None, doc_id: str = "doc_id", text: str = "text",
     quality: str = "quality",
 ) -> Model:
-    """Gather the moments over all training rows (one pass) and minimise the risk."""
+    """Gather the moments over all training rows (one pass over the texts), estimate the
+    prior unless it is given, and minimise the risk."""
     short_batches(docs.sparkSession)
     marks = (
         labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{quality}`").cast("int").alias("_q"))
@@ -200,7 +235,7 @@ def fit(
     )
     # features first: the text never meets a shuffle, the joins move short vectors
     vectors = rows.mapInArrow(_vectors, f"_id {rows.schema['_id'].dataType.simpleString()}, _x binary")
-    joined = vectors.join(marks, "_id", "left").select((F.col("_q") == 1).alias("_positive"), "_x")
+    joined = cut(vectors.join(marks, "_id", "left").select((F.col("_q") == 1).alias("_positive"), "_x"))
     parts = joined.mapInArrow(_moments, "kind int, n long, at int, m array<double>")
     total = parts.groupBy("kind", "at").agg(
         F.sum("n").alias("n"), *[F.sum(F.element_at("m", i + 1)).alias(f"c{i}") for i in range(FEATURES)]
@@ -209,13 +244,18 @@ def fit(
     for r in total.collect():  # 2 x FEATURES rows
         found[r["kind"]][0] = r["n"]
         found[r["kind"]][1][r["at"]] = [r[f"c{i}"] for i in range(FEATURES)]
-    if prior is None:
-        share = marks.agg(F.avg(F.col("_q").cast("double")).alias("p")).collect()[0]["p"]
-        prior = 0.5 if share is None else float(share)
     (n_u, u), (n_p, p) = found[0], found[1]
     if not n_p or not n_u:
-        return Model((2 * prior - 1, *[0.0] * (FEATURES - 1)), prior)
-    return Model(tuple(minimise_risk(p / n_p, u / n_u, prior)), prior)
+        known = min(max(0.5 if prior is None else prior, 1e-6), 1 - 1e-6)
+        return Model((float(np.log(known / (1 - known)) / 2), *[0.0] * (FEATURES - 1)), known)
+    u, p = u / n_u, p / n_p
+    if prior is None:
+        counts = np.zeros((2, BINS))
+        bins = joined.mapInArrow(_histograms(density_ratio(p, u)), "kind int, bin int, n long")
+        for r in bins.groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 x BINS rows
+            counts[r["kind"], r["bin"]] = r["n"]
+        prior = estimate_prior(counts[1], counts[0])
+    return Model(tuple(minimise_risk(p, u, prior)), prior)
 
 
 def _vectors(batches):
@@ -224,6 +264,32 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(x, pa.binary())], ["_id", "_x"])
 
 
+def _unpacked(b) -> tuple[np.ndarray, np.ndarray]:
+    """The feature rows of a batch and which of them are positives."""
+    x = np.frombuffer(b"".join(v.as_py() for v in b.column("_x")), dtype="<f4").reshape(-1, FEATURES).astype(float)
+    return x, np.array([bool(v.as_py()) for v in b.column("_positive")])
+
+
+def _histograms(weights: np.ndarray):
+    """Per task: for all rows (0) and the positives (1), the counts of their ratios by bin."""
+
+    def run(batches):
+        counts = np.zeros((2, BINS), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                x, positive = _unpacked(b)
+                at = bins_of(x @ weights)
+                counts[0] += np.bincount(at, minlength=BINS)
+                counts[1] += np.bincount(at[positive], minlength=BINS)
+        kind, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[kind, at], pa.int64())],
+            ["kind", "bin", "n"],
+        )
+
+    return run
+
+
 def _moments(batches):
     """Per task: for all rows (0) and the positives (1), the rows of the matrix of sums."""
     n = [0, 0]
@@ -231,8 +297,7 @@ def _moments(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        x = np.frombuffer(b"".join(v.as_py() for v in b.column("_x")), dtype="<f4").reshape(-1, FEATURES).astype(float)
-        positive = np.array([bool(v.as_py()) for v in b.column("_positive")])
+        x, positive = _unpacked(b)
         for kind, part in ((0, x), (1, x[positive])):
             n[kind] += len(part)
             sums[kind] += part.T @ part

@@ -528,6 +528,35 @@ def test_labels_on_all_rows_still_give_a_model(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in got]) >= 0.97
 
 
+@pytest.mark.parametrize("left", [0, 10])
+def test_scarce_negative_labels_do_not_matter(spark, left):
+    """All or nine of ten labels 0 removed: the same model, since no label 0 is read."""
+    docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
+    few = labels.where((F.col("quality") == 1) | (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 100 < left))
+    rows = quality_model.quality_digest(docs, few).where("held_out").join(labels, "doc_id").collect()
+    assert {r["quality"] for r in rows} == {0, 1}
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.97
+    scores = [r["score"] for r in rows]
+    assert 0 < min(scores) and max(scores) < 1 and len(set(scores)) > 0.9 * len(scores)
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(3)
+    for prior in (0.2, 0.5, 0.9):
+        n = 20_000
+        pos = np.column_stack([np.ones(3000), rng.normal(1.5, 0.6, (3000, 2))])
+        k = int(prior * n)
+        unl = np.column_stack([np.ones(n), np.concatenate([rng.normal(1.5, 0.6, (k, 2)), rng.normal(-1.5, 0.6, (n - k, 2))])])
+        w = quality_model.density_ratio(pos.T @ pos / len(pos), unl.T @ unl / n)
+        of_p, of_u = (np.bincount(quality_model.bins_of(x @ w), minlength=quality_model.BINS) for x in (pos, unl))
+        got = quality_model.estimate_prior(of_p, of_u)
+        assert got == pytest.approx(prior, abs=0.04)
+        # brute force over all thresholds at the texts' own ratios: never below the least share by more than the error
+        rp, ru = pos @ w, unl @ w
+        best = min((ru >= c).mean() / (rp >= c).mean() for c in np.quantile(rp, np.linspace(0, 0.9, 50)))
+        assert got >= best - 0.03
+
+
 def test_risk_is_minimised_and_not_negative():
     rng = np.random.default_rng(0)
     d = 4
