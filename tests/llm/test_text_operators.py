@@ -274,10 +274,9 @@ def test_encoder_equals_tokenizers(spark):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(VOCABULARY)
-    theirs.encode_special_tokens = True
     own = packing.encoder(VOCABULARY)
     texts = [r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(50).collect()]
-    for t in [*texts, "", "<|endoftext|> x", "\n\n  \t", "日本語 😀 don't", "a" * 3000, "\x00 "]:
+    for t in [*texts, "", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "<<|endoftext|>>", "\n\n  \t", "日本語 😀 don't", "a" * 3000, "\x00 "]:
         assert own(t) == theirs.encode(t, add_special_tokens=False).ids
 
 
