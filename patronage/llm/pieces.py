@@ -2,9 +2,18 @@
 
 A model file gives pieces with scores; a text is cut so that the sum of scores
 is greatest. The text is read once. Only the last ``longest`` positions (the
-length of the longest piece) can begin a piece still to come, so only the paths
-that end there survive; as soon as all of them run through one boundary, the
-ids before it are final and are handed out, and the window moves on.
+length of the longest piece) can begin a piece still to come; scores are kept
+for them alone. Behind them a boundary is live while a path that goes on runs
+through it: it knows how many live boundaries follow it directly, and dies when
+there are none left (and then, perhaps, the one before it). As soon as one live
+boundary alone follows the last one handed out, all paths run through it, and the
+ids up to it are final. Each boundary dies once, so the work grows with the length
+of the text, whatever it holds.
+
+What is kept behind the window are the boundaries back to where all paths meet, 24
+bytes each, given back TRIM at a time. In words and most long runs these are some
+dozens; in a text where the paths never meet (one letter again and again, whose
+repetitions are pieces) they are all of it.
 
 Some boundaries are known beforehand: no piece crosses from another character
 into a word mark, and characters that only occur alone stand alone. So the text
@@ -24,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -36,6 +46,8 @@ from .common import short_batches, slices, text_column
 MARK = "▁"
 #: Stretches whose ids are remembered by a worker.
 REMEMBERED = 500_000
+#: Boundaries handed out before their places are given back.
+TRIM = 4096
 #: An unknown character scores this much below the lowest piece.
 UNKNOWN = 10.0
 NEVER = float("-inf")
@@ -85,22 +97,53 @@ class Pieces:
     def viterbi(self, text: str):
         """Yield the ids of ``text`` in runs, each as soon as it is final."""
         root, unknown, longest, n = self.root, self.unknown, self.longest, len(text)
-        done = 0  # boundary before which all is handed out; the lists below begin there
-        none = min(n, 2 * longest) + 1
-        score, back, ids = [NEVER] * none, [0] * none, [-1] * none  # by boundary: best score, boundary before, piece between
+        # the window, by boundary from ``shift`` on: best score, boundary before, piece between (-1: bytes)
+        shift, size = 0, min(n, 2 * longest) + 1
+        score, back, ids = [NEVER] * size, [0] * size, [-1] * size
         score[0] = 0.0
+        # up to it, by boundary from ``first`` on: boundary before, piece between, live boundaries after, sum of these
+        first = 0
+        before, piece, after, total = (array("q", [0]), array("i", [-1]), array("i", [0]), array("q", [0]))
+        done = 0  # boundary up to which all is handed out
+        long = n > longest  # else the window holds it all
         for start in range(n):
-            at = start - done
+            at = start - shift
+            if long:
+                if at >= longest and n > 2 * longest:  # move the window on, once in ``longest`` steps
+                    base = score[at]
+                    score = [x - base for x in score[at:]] + [NEVER] * at
+                    back, ids = back[at:] + [0] * at, ids[at:] + [-1] * at
+                    shift, at = start, 0
+            if long and start:
+                before.append(back[at])
+                piece.append(ids[at])
+                after.append(0)
+                total.append(0)
+                after[back[at] - first] += 1
+                total[back[at] - first] += start
+                dead = past = start - longest  # no piece to come begins up to here
+                while done < dead <= past and not after[dead - first]:
+                    follows = before[dead - first]
+                    after[follows - first] -= 1
+                    total[follows - first] -= dead
+                    dead = follows
+                run = []
+                while done <= past and after[done - first] == 1:
+                    end = total[done - first]
+                    run += self._ids_of(text, done, end, piece[end - first])
+                    done = end
+                if run:
+                    yield run
+                if done - first >= TRIM and 2 * (done - first) >= len(piece):
+                    for kept in (before, piece, after, total):
+                        del kept[: done - first]
+                    first = done
             base, k = score[at], at + 1
-            if len(score) <= at + longest and len(score) <= n - done:  # no common boundary for long: a wider window
-                score += [NEVER] * longest
-                back += [0] * longest
-                ids += [-1] * longest
             node = root.get(text[start])
             best = base + (unknown if node is None or node[ID] < 0 else node[SCORE])  # no piece for it: bytes
             if best > score[k]:
                 score[k] = best
-                back[k] = at
+                back[k] = start
                 ids[k] = -1 if node is None else node[ID]
             if node is not None:
                 for c in text[start + 1 : start + longest]:
@@ -111,41 +154,24 @@ class Pieces:
                     best = base + node[SCORE]
                     if best > score[k]:
                         score[k] = best
-                        back[k] = at
+                        back[k] = start
                         ids[k] = node[ID]
-            if start + 1 == n:
-                meet = at + 1
-            elif (at + 1) % longest:
-                continue
-            else:  # the paths that go on end at a boundary after this character
-                meet = self._meeting(back, [k for k in range(at + 1, len(score)) if score[k] > NEVER])
-            if meet:
-                yield self._path(text[done : done + meet], back, ids, meet)
-                done += meet
-                if done < n:
-                    score = [x - score[meet] for x in score[meet:]] + [NEVER] * meet
-                    back, ids = [x - meet for x in back[meet:]] + [0] * meet, ids[meet:] + [-1] * meet
-
-    @staticmethod
-    def _meeting(back: list[int], ends) -> int:
-        """The last boundary that the paths to all ``ends`` run through."""
-        live = set(ends)
-        while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(back[last])
-        return live.pop()
-
-    def _path(self, text: str, back: list[int], ids: list[int], end: int) -> list[int]:
-        out = []
-        while end:
-            start = back[end]
-            if ids[end] < 0:
+        out, end = [], n
+        while end > done:
+            if long and end < n:
+                start, i = before[end - first], piece[end - first]
+            else:
+                start, i = back[end - shift], ids[end - shift]
+            if i < 0:
                 out.extend(self.bytes[b] for b in reversed(text[start:end].encode()))
             else:
-                out.append(ids[end])
+                out.append(i)
             end = start
-        return out[::-1]
+        if out:
+            yield out[::-1]
+
+    def _ids_of(self, text: str, start: int, end: int, piece: int):
+        return (piece,) if piece >= 0 else [self.bytes[b] for b in text[start:end].encode()]
 
     def _remembered(self, stretch: str) -> tuple[int, ...]:
         ids = self.memory.get(stretch)

@@ -4,6 +4,7 @@ round trips, held-out accuracy, odd rows."""
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -140,6 +141,50 @@ def test_pieces_commit_early_and_bounded():
     assert sum(score.get(i, m.unknown) for i in ids) == pytest.approx(best[-1])
 
 
+def full_table(m, text):
+    """The best cut from a table of all boundaries."""
+    best, last = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
+    for start in range(len(text)):
+        for end in range(start + 1, min(len(text), start + m.longest) + 1):
+            p = m.pieces.get(text[start:end])
+            score = best[start] + (p[1] if p else m.unknown if end == start + 1 else float("-inf"))
+            if score > best[end]:
+                best[end], last[end] = score, (start, [p[0]] if p else [m.bytes[b] for b in text[start:end].encode()])
+    out, end = [], len(text)
+    while end:
+        end, ids = last[end]
+        out = ids + out
+    return out
+
+
+def test_pieces_equal_a_full_table():
+    m, rng = pieces.model(MODEL), random.Random(1)
+    for alphabet in ("a", "ab", "=-", "etaoin shrdlu", "aé日x"):
+        for _ in range(60):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 140))).replace(" ", pieces.MARK)
+            assert [i for run in m.viterbi(text) for i in run] == full_table(m, text), text
+
+
+def test_pieces_of_one_letter_in_linear_time():
+    """The paths of a run of one letter never meet; four times the text takes about four times as long."""
+    m, took = pieces.model(MODEL), []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        ids = m.encode("a" * n)
+        took.append(time.process_time() - began)
+        assert m.decode(ids) == "a" * n
+    assert took[1] < 10 * took[0] and took[1] < 20
+
+
+def test_pieces_give_places_back():
+    """A long text whose paths meet comes out in short runs."""
+    m, rng = pieces.model(MODEL), random.Random(2)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(50_000))
+    runs = list(m.viterbi(text))
+    assert len(runs) > 5000 and max(map(len, runs)) < 200
+    assert "".join(m.surface[i].decode() for run in runs for i in run) == text
+
+
 @pytest.mark.parametrize("text", ["", " ", "  a  b ", "▁", "a▁ ▁b", "\n\n x\t", "日本語😀", "\x00", "x" * 30_000, " " * 400])
 def test_pieces_round_trip(text):
     m = pieces.model(MODEL)
