@@ -36,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shingle_hashes, short_batches, slices, text_column, word_spans
@@ -164,30 +164,33 @@ def _error(limit, step):
     return F.sqrt((limit + step) * step)
 
 
+#: The end of the main body of a sketch: ``b`` its buckets in order (bounded by the
+#: largest ratio: some hundreds), ``n`` the texts, ``step`` their mean step.
+BODY_END = f"""aggregate(
+    transform(b, x -> named_struct('n', x.n, 'v', CASE WHEN x.bucket = 0 THEN 0D
+        ELSE 2 * pow({GAMMA!r}D, x.bucket - 1) / {GAMMA + 1!r}D END)),
+    named_struct('upto', 0L, 'at', CAST(NULL AS DOUBLE), 'ended', false),
+    (s, x) -> CASE
+        WHEN s.ended OR 2 * (s.upto + x.n) < n OR (2 * s.upto >= n AND x.n * {RARE} < n)
+            THEN named_struct('upto', s.upto + x.n, 'at', s.at, 'ended', s.ended)
+        WHEN s.at IS NULL OR x.v <= s.at + {ERRORS} * sqrt((s.at + step) * step)
+            THEN named_struct('upto', s.upto + x.n, 'at', x.v, 'ended', false)
+        ELSE named_struct('upto', s.upto + x.n, 'at', s.at, 'ended', true) END,
+    s -> s.at)"""
+
+
 def limits(sketch: DataFrame, shrink: int = 100) -> DataFrame:
     """One row per language and source with a limit per rule."""
-    by = Window.partitionBy("level", "lang", "source", "rule")
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(
-        2 * F.pow(F.lit(GAMMA), F.col("bucket") - 1) / F.lit(GAMMA + 1)
-    )
-    counted = sketch.withColumns(
-        {
-            "value": value,
-            "upto": F.sum("n").over(by.orderBy("bucket")),
-            "all": F.sum("n").over(by),
-            "step": F.sum("steps").over(by) / F.sum("n").over(by) / 1000,
-        }
-    )
-    # from the median on, without the rare buckets above it
-    body = counted.where(f"2 * upto >= `all` AND (n * {RARE} >= `all` OR 2 * (upto - n) < `all`)")
-    following = F.lead("value").over(by.orderBy("bucket"))
-    reach = F.col("value") + ERRORS * _error(F.col("value"), F.col("step"))
     per_rule = (
-        body.withColumn("last", following.isNull() | (following > reach))
-        .groupBy("level", "lang", "source", "rule")
-        .agg(F.max("all").alias("n"), F.min(F.when(F.col("last"), F.col("value"))).alias("limit"))
+        sketch.groupBy("level", "lang", "source", "rule")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"),
+            F.sum("n").alias("n"),
+            (F.sum("steps") / F.sum("n") / 1000).alias("step"),
+        )
+        .withColumn("limit", F.expr(BODY_END))
     )
-    wide = (
+    wide = cut(  # read three times
         per_rule.groupBy("level", "lang", "source")
         .agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(r) for r in RULES])
         .select("level", "lang", "source", "n", F.struct(*RULES).alias("limit"))
