@@ -1,7 +1,9 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A text is a weighted set of shingles (runs of WORDS words; the weight of one is
-its count to the power ``power``, by default 0: plain sets). ProbMinHash: every
+its count to the power ``power``, by default 0: plain sets; the registered query
+takes POWER, so that what a text says again and again weighs more than what it says
+once, but less than its count). ProbMinHash: every
 shingle is the seed of a Poisson process whose rate is its weight; its arrivals
 fall on random registers, and each register keeps the shingle of its earliest
 arrival. A shingle is left as soon as its next arrival comes after the latest
@@ -22,8 +24,10 @@ Exact copies are one node (hash of the text). No group is ever paired in full:
   shingles: shingles are put in one order (those of one component first, they
   cannot link two; then by the number of texts that have them), and two texts of
   similarity S must share a shingle before the last share S of either. This
-  prefix is exact, so no bucket, partner or candidate is cut off, and a passage
-  that many texts share is too frequent to pair them.
+  prefix is exact, so no bucket, partner or candidate is cut off. A passage that
+  many texts share is too frequent to pair them if it is less than the share S of
+  each; one of S to about 0.89 of each (similarity below S) still pairs them all, and
+  every pair is looked at.
 
 Result: one row per document with ``class_id``, the smallest doc_id of its class.
 
@@ -45,6 +49,8 @@ from .common import NULL_ID, cut, digest128, free_name, id_column, mix, shingle_
 
 WORDS = 5
 SIMILARITY = 0.8
+#: The weight of a shingle in the registered query is its count to this power.
+POWER = 0.5
 ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
 

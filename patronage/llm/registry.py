@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_prob_minhash(spark, sf_dir):
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), power=near_dup.POWER)
 
 
 def op2_fingerprint(spark, sf_dir):

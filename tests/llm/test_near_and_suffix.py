@@ -76,6 +76,44 @@ def test_classes_equal_all_pairs(documents, rows):
         assert {(r["doc_id"], r["class_id"]) for r in got} == pairs
 
 
+def weighted(text, k=5):
+    """{shingle: share of the text's weight}, the weight of one the root of its count."""
+    w = (text or "").encode().split()
+    every = [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    total = sum(every.count(s) ** 0.5 for s in set(every))
+    return {s: every.count(s) ** 0.5 / total for s in set(every)}
+
+
+def brute_probability_jaccard(x, y):
+    both = set(x) | set(y)
+    return sum(1 / sum(max(x.get(z, 0) / x[s], y.get(z, 0) / y[s]) for z in both) for s in set(x) & set(y))
+
+
+def test_weighted_classes_equal_all_pairs(documents):
+    """Texts in which a passage comes many times: two that differ in what they say once
+    are alike by weight, though not as sets, and the other way round."""
+    rows = []
+    for g in range(6):
+        again, base = " ".join(words(12, 900 + g)), words(40, 950 + g)
+        for i in range(6):
+            often = again + " "
+            rows.append((100 * g + i, often * (4 + 3 * (i % 3)) + edited(" ".join(base), i // 2 * 2, 20 * g + i)))
+    shares = {i: weighted(t) for i, t in rows}
+    sets = {i: shingles(t) for i, t in rows}
+    parent, changed = {i: i for i, _ in rows}, 0
+    for a, _ in rows:
+        for b, _ in rows:
+            if a < b:
+                near = brute_probability_jaccard(shares[a], shares[b]) >= 0.8
+                changed += near != (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+                if near:
+                    low, high = sorted((parent[a], parent[b]))
+                    parent = {i: low if p == high else p for i, p in parent.items()}
+    assert changed > 0
+    got = near_dup.near_duplicates(documents(rows), power=near_dup.POWER).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == parent
+
+
 def test_one_of_each_class_stays(documents):
     rows = planted()
     df = documents([*rows, rows[0], rows[0]], clashing=True)  # a row three times
