@@ -1,8 +1,8 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A text is a weighted set of shingles (runs of WORDS words; the weight of one is
-its count to the power ``power``, by default 0: plain sets; the registered query
-takes POWER, so that what a text says again and again weighs more than what it says
+its count to the power ``power``, by default and in the registered query 0: plain
+sets; with POWER what a text says again and again weighs more than what it says
 once, but less than its count). ProbMinHash: every
 shingle is the seed of a Poisson process whose rate is its weight; its arrivals
 fall on random registers, and each register keeps the shingle of its earliest
@@ -49,7 +49,7 @@ from .common import NULL_ID, cut, digest128, free_name, id_column, mix, shingle_
 
 WORDS = 5
 SIMILARITY = 0.8
-#: The weight of a shingle in the registered query is its count to this power.
+#: A power between plain sets and counts, for weighted classes.
 POWER = 0.5
 ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
